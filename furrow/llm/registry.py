@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import exact_dedup, mixing, sharding
-from furrow.llm.common import documents
+from furrow.llm import exact_dedup, mixing, packing, sharding, token_store
+from furrow.llm.common import documents, shared_folder
 
 SHARDS = 40
 MIX_WEIGHTS = [5, 2, 1]
@@ -22,12 +25,23 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/token-store-{uuid.uuid4().hex}"
+    token_store.write_store(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_store.read_digests(spark, path)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(documents(spark, sf_dir), MIX_WEIGHTS)
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op6_mixing)}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capacity = packing.Capacity(tokens=2048)
+    return packing.pack(packing.pieces(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 0, capacity.tokens), capacity)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_token_store, op6_mixing, op9_packing)}
 
 ORACLES = {
     "op1_exact_dedup": """
