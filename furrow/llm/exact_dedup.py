@@ -4,8 +4,7 @@ Pass one sets, for every document, a few cells of a bit array and keeps the cell
 text that occurs again has all its cells among those, so pass two sends only rows with every cell repeated to the
 exact grouping by SHA-256; all other rows go straight to the result.
 
-The filter has BITS_PER_ROW bits a row, up to MAX_FILTER_BITS (a parameter), so what is broadcast never exceeds
-MAX_FILTER_BITS / 8 bytes. Past that size more single rows are taken for possible repeats and shuffle (an id and a
+What is broadcast never exceeds max_filter_bits / 8 bytes (see bloom). Past that size more single rows are taken for possible repeats and shuffle (an id and a
 32-byte digest each where only decisions are asked for); results don't change.
 
 Defined results: a null text counts as empty; null ids rank below all others, and a group without any id keeps all
@@ -15,61 +14,22 @@ them; an empty table gives an empty result; other columns are carried whatever t
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furrow.llm import bloom
 from furrow.llm.common import carried, materialize, whole_text
 
-BITS_PER_ROW = 16
-MAX_FILTER_BITS = 1 << 28
-#: A bitmap of the filter table has 4096 bytes.
-BITMAP_BITS = 32768
-
-
-def filter_bits(rows: int, most: int = MAX_FILTER_BITS) -> int:
-    """Bits of each of the filter's two arrays: a power of two that gives both together BITS_PER_ROW bits a row."""
-    return max(BITMAP_BITS, min(most // 2, 1 << max(1, rows * BITS_PER_ROW // 2 - 1).bit_length()))
-
-
-def cells(digest: Column, bits: int) -> list[Column]:
-    """Two cells of a 64-bit hash, from its low and its high half, each in an array of its own."""
-    low = digest.bitwiseAND(F.lit(bits - 1))
-    high = F.shiftrightunsigned(digest, 32).bitwiseAND(F.lit(bits - 1))
-    return [low, high + F.lit(bits)]
-
-
-def repeated_cells(hashes: DataFrame, digest: str, bits: int) -> DataFrame:
-    """The filter: bitmaps of the cells that at least two rows set. At most 2 * bits / BITMAP_BITS rows of 4 KB."""
-    touched = hashes.select(F.explode(F.array(*cells(F.col(digest), bits))).alias("cell"))
-    twice = touched.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    position = F.col("cell").bitwiseAND(F.lit(BITMAP_BITS - 1))
-    return twice.groupBy(F.shiftright("cell", 15).alias("bucket")).agg(F.bitmap_construct_agg(position).alias("bitmap"))
-
-
-def possibly_repeated(rows: DataFrame, digest: str, repeats: DataFrame, bits: int) -> DataFrame:
-    """rows with `maybe`: whether every cell of the hash is in the filter."""
-    out, tests = rows, []
-    for k, cell in enumerate(cells(F.col(digest), bits)):
-        side = repeats.select(F.col("bucket").alias(f"bucket_{k}"), F.col("bitmap").alias(f"bitmap_{k}"))
-        out = out.join(F.broadcast(side), F.shiftright(cell, 15) == F.col(f"bucket_{k}"), "left")  # bounded by MAX_FILTER_BITS
-        at = cell.bitwiseAND(F.lit(BITMAP_BITS - 1))
-        byte = F.conv(F.hex(F.substring(F.col(f"bitmap_{k}"), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        tests.append(F.coalesce(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False)))
-    return out.withColumn("maybe", reduce(lambda a, b: a & b, tests)).select(*rows.columns, "maybe")
-
-
-def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
+def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bits: int = bloom.MAX_FILTER_BITS) -> DataFrame:
     """Every row as `row`, with id, text_sha256, group_size, keep_id, ties and kept.
 
     Of equal texts the row with the largest id is kept; ties is the number of rows that share that id and text.
     """
     text = whole_text(docs, text_col)
     rows = carried(docs, id=docs[id_col], digest=F.xxhash64(text), text_sha256=F.sha2(text, 256))
-    bits = filter_bits(docs.count(), max_filter_bits)
-    repeats = materialize(repeated_cells(rows.select("digest"), "digest", bits), "dedup-filter")
-    tested = possibly_repeated(rows, "digest", repeats, bits)
+    bits = bloom.array_bits(docs.count(), max_filter_bits)
+    repeats = bloom.build(rows.select("digest"), "digest", bits, at_least=2)
+    tested = bloom.probe(rows, "digest", repeats, bits)
 
     candidates = tested.filter("maybe").select("row", "id", "text_sha256")
     per_id = candidates.groupBy("text_sha256", "id").agg(F.count("*").alias("n"))

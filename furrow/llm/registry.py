@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import exact_dedup, mixing, packing, sharding, token_store
+from furrow.llm import exact_dedup, fingerprints, mixing, packing, quality, sharding, simhash, token_store
 from furrow.llm.common import documents, shared_folder
 
 SHARDS = 40
@@ -31,17 +31,33 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, path)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.clusters(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(documents(spark, sf_dir), MIX_WEIGHTS)
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.scored(docs, quality.fit(docs, labels))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     capacity = packing.Capacity(tokens=2048)
     return packing.pack(packing.pieces(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 0, capacity.tokens), capacity)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_token_store, op6_mixing, op9_packing)}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.compare_edits(documents(spark, sf_dir))
+    prints = [fingerprints.as_text(F.col(a)).alias(b) for a, b in (("samples", "fingerprint"), ("edited_samples", "edited_fingerprint"))]
+    return found.select(F.col("id").alias("doc_id"), F.col("n_chars").cast("long"), "edited_sha256", *prints, "near_edited", "near_next")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_token_store, op5_simhash, op6_mixing, op7_quality, op9_packing, op10_fingerprints)}
 
 ORACLES = {
     "op1_exact_dedup": """

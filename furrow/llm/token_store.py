@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from furrow.llm import exact_dedup
+from furrow.llm import bloom
 from furrow.llm.common import materialize, ranged, running_totals, whole_text
 from furrow.llm.tokens import encoder
 
@@ -129,9 +129,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     encoded = materialize(_encode(docs, tokenizer, end_id, width, id_col, text_col), "encoded")
 
     chunks = encoded.select(F.explode("chunks").alias("c")).select("c.*").withColumn("digest", F.xxhash64("chunk"))
-    bits = exact_dedup.filter_bits(encoded.agg(F.sum(F.size("chunks"))).first()[0] or 0)
-    repeats = materialize(exact_dedup.repeated_cells(chunks.select("digest"), "digest", bits), "chunk-filter")
-    tested = exact_dedup.possibly_repeated(chunks, "digest", repeats, bits)
+    bits = bloom.array_bits(encoded.agg(F.sum(F.size("chunks"))).first()[0] or 0)
+    repeats = bloom.build(chunks.select("digest"), "digest", bits, at_least=2)
+    tested = bloom.probe(chunks, "digest", repeats, bits)
     once = tested.filter(~F.col("maybe")).select("chunk", "n", "ids")
     again = tested.filter("maybe").groupBy("chunk").agg(F.first("n").alias("n"), F.first("ids").alias("ids"))
     once.unionByName(again).write.parquet(f"{path}/chunks")
