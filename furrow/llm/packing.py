@@ -50,8 +50,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, tokens: int, id_col: st
         ids_of = encoder(tokenizer).ids
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = ids_of(text.as_py()) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), ids_of(batch.column(1).cast(pa.binary()).to_pylist()), strict=True):
+                ids += end
                 for k in range(0, len(ids), 4 * tokens):
                     part = ids[k : k + 4 * tokens]
                     out.append((doc, k // (4 * tokens), k // 4, len(part) // 4, zlib.crc32(part), *[part] * keep_ids))

@@ -56,17 +56,21 @@ def rolling(ids: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    marks = np.flatnonzero(rolling(ids) >> np.uint64(32) < np.uint64((1 << 32) // MEAN_CHUNK)) + 1
-    ends, begin = [], 0
-    for mark in [*marks.tolist(), len(ids)]:
-        while mark - begin > MAX_CHUNK:
-            begin += MAX_CHUNK
+def chunk_ends(ids: np.ndarray, counts: list[int]) -> Iterator[list[int]]:
+    """For each of the documents whose ids follow one another, the places where its chunks end.
+
+    Nothing before MIN_CHUNK ids ends a chunk, so the hash there has seen ids of its own document only.
+    """
+    marks = (np.flatnonzero(rolling(ids) >> np.uint64(32) < np.uint64((1 << 32) // MEAN_CHUNK)) + 1).tolist()
+    begin = at = 0
+    for stop in np.cumsum(counts).tolist():
+        ends = []
+        while begin < stop:
+            while at < len(marks) and marks[at] - begin < MIN_CHUNK:
+                at += 1
+            begin = min(stop, begin + MAX_CHUNK, marks[at] if at < len(marks) else stop)
             ends.append(begin)
-        if mark - begin >= MIN_CHUNK or mark == len(ids) > begin:
-            ends.append(mark)
-            begin = mark
-    return ends
+        yield ends
 
 
 def merkle_root(leaves: list[bytes]) -> bytes:
@@ -86,19 +90,21 @@ def _encode(docs: DataFrame, tokenizer: str, end_id: int, width: int, id_col: st
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
-                counts, roots, offsets, chunks, sizes, parts = [], [], [0], [], [], []
-                for text in batch.column(1):
-                    ids = np.frombuffer(ids_of(text.as_py()) + end, "<u4")
-                    begin, own = 0, []
-                    for stop in chunk_ends(ids):
-                        part = ids[begin:stop].astype(kind).tobytes()
+                coded = [i + end for i in ids_of(batch.column(1).cast(pa.binary()).to_pylist())]
+                counts = [len(i) // 4 for i in coded]
+                ids = np.frombuffer(b"".join(coded), "<u4")
+                raw = ids.astype(kind).tobytes()
+                roots, offsets, chunks, sizes, parts, begin = [], [0], [], [], [], 0
+                for ends in chunk_ends(ids, counts):
+                    own = []
+                    for stop in ends:
+                        part = raw[width * begin : width * stop]
                         own.append(hashlib.sha256(part).digest())
                         parts.append(part)
                         sizes.append(stop - begin)
                         begin = stop
                     chunks += own
                     offsets.append(len(chunks))
-                    counts.append(len(ids))
                     roots.append(merkle_root(own))
                 struct = pa.StructArray.from_arrays([pa.array(chunks, pa.binary()), pa.array(sizes, pa.int32()), pa.array(parts, pa.binary())], ["chunk", "n", "ids"])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)

@@ -1,9 +1,9 @@
 """Encoding whole texts by the tokenizers library, a word at a time with a memory of words.
 
-Both of the tokenizers used here split a text before any merge, and never across the end of a run of
-non-space characters. A text's ids are therefore those of its words, one after the other, and a word seen before
-need not be encoded again. A text's new words are encoded in one call.
-Texts in which other white space stands before ASCII white space are encoded whole.
+The tokenizers used here split a text before any merge, never inside white space that precedes a word and always
+after a word's last character. A text's ids are therefore those of its words, one after the other, and a word seen
+before need not be encoded again. The words that are new to a block of texts are encoded in one call. Texts in which other
+white space stands before ASCII white space are encoded whole.
 """
 
 from __future__ import annotations
@@ -11,21 +11,25 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
-#: A unit is a word with the ASCII white space before it, or white space at the end of a text.
-_SPACE = rb" \t\n\x0b\x0c\r"
-_UNIT = re.compile(rb"[%s]*[^%s]+|[%s]+" % (_SPACE, _SPACE, _SPACE))
-#: Other white space, in UTF-8, before ASCII white space: there the end of a unit is no safe place to cut.
-_UNSAFE = re.compile(rb"(?:[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf)[%s]" % _SPACE)
+#: A word with the ASCII white space before it, or white space at the end of a text.
+_UNIT = re.compile(rb"\s*\S+|\s+")
+#: Other white space, in UTF-8, before ASCII white space: there the end of a word is no safe place to cut. The first pattern finds texts that may have it.
+_UNUSUAL = re.compile(rb"[\x1c-\x1f\xc2\xe1-\xe3\xef]")
+_UNSAFE = re.compile(rb"(?:[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf)\s")
 
-#: Words kept in memory by each Python worker, and the longest of them; about 150 bytes a word.
+#: Words in each of the two generations of a Python worker's memory, and the longest of them; about 150 bytes a word.
 MAX_WORDS = 500_000
 MAX_WORD_BYTES = 64
+#: A block ends with the text that brings it to so many bytes.
+BLOCK_BYTES = 1 << 20
 
 
 class Encoder:
-    """ids(text) gives a text's ids as little-endian unsigned 32-bit integers, special tokens' strings as plain text."""
+    """Gives texts' ids as little-endian unsigned 32-bit integers; special tokens' strings are plain text."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -34,32 +38,61 @@ class Encoder:
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
         self.vocab_size = self.plain.get_vocab_size()
-        # White space either opens the next word's unit or gives no ids at all; nothing else is taken apart.
-        kept = self._whole(b" a b") != self._whole(b"a b") or self._whole(b"a\nb") != self._whole(b"a b")
-        self.split = _UNIT.findall if kept else bytes.split
+        self.drops_space = self._whole(b" a\n\nb ") == self._whole(b"a b")
+        self.drops_case = self._whole(b"AbC") == self._whole(b"abc")
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _whole(self, text: bytes) -> bytes:
         return array("I", self.plain.encode(text.decode(), add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, units: list[bytes]) -> dict[bytes, bytes]:
-        encoded = self.plain.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)
-        found = {u: array("I", e.ids).tobytes() for u, e in zip(units, encoded, strict=True)}
+    def _units(self, text: bytes) -> list[bytes]:
+        text = text.lower() if self.drops_case else text
+        return text.split() if self.drops_space else _UNIT.findall(text)
+
+    def _learn(self, units: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that aren't in `words`; they are put there, and a full generation becomes the older one."""
+        found = {u: self.older[u] for u in units if u in self.older} if self.older else {}
+        new = [u for u in units if u not in found]
+        encoded = self.plain.encode_batch_fast([u.decode() for u in new], add_special_tokens=False)
+        found.update((u, array("I", e.ids).tobytes()) for u, e in zip(new, encoded, strict=True))
         if len(self.words) + len(found) > MAX_WORDS:
-            self.words.clear()
+            self.older, self.words = self.words, {}
         self.words.update(item for item in found.items() if len(item[0]) <= MAX_WORD_BYTES)
         return found
 
-    def ids(self, text: str) -> bytes:
-        raw = text.encode()
-        if _UNSAFE.search(raw):
-            return self._whole(raw)
-        units = self.split(raw)
-        parts = list(map(self.words.get, units))
-        if None in parts:
-            found = self._learn(list({u for u, p in zip(units, parts, strict=True) if p is None}))
-            parts = [found[u] if p is None else p for u, p in zip(units, parts, strict=True)]
-        return b"".join(parts)
+    def _block(self, texts: list[bytes]) -> list[bytes]:
+        split = [None if _UNUSUAL.search(t) and _UNSAFE.search(t) else self._units(t) for t in texts]
+        unknown = set(chain.from_iterable(u for u in split if u)).difference(self.words)
+        words = self.words
+        if unknown:
+            found = self._learn(unknown)
+            if self.words is not words or not found.keys() <= self.words.keys():
+                words = _Both(words, found)
+        get = words.__getitem__
+        return [self._whole(t) if u is None else b"".join(map(get, u)) for t, u in zip(texts, split, strict=True)]
+
+    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of UTF-8 texts, in their order; a block of texts is held at a time."""
+        block, size = [], 0
+        for text in texts:
+            block.append(text)
+            size += len(text)
+            if size >= BLOCK_BYTES:
+                yield from self._block(block)
+                block, size = [], 0
+        yield from self._block(block)
+
+
+class _Both:
+    """Looks words up in two dictionaries."""
+
+    def __init__(self, first: dict[bytes, bytes], second: dict[bytes, bytes]):
+        self.first, self.second = first, second
+
+    def __getitem__(self, word: bytes) -> bytes:
+        found = self.first.get(word)
+        return self.second[word] if found is None else found
 
 
 @cache
