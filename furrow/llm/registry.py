@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import exact_dedup, fingerprints, mixing, packing, quality, sharding, simhash, token_store
+from furrow.llm import exact_dedup, fingerprints, mixing, packing, pii, quality, sharding, simhash, token_counts, token_store
 from furrow.llm.common import documents, shared_folder
 
 SHARDS = 40
 MIX_WEIGHTS = [5, 2, 1]
+#: A deployment passes its own secret; this one keeps the query's results the same from run to run.
+PSEUDONYM_KEY = "example key"
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +34,16 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, path)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymise(documents(spark, sf_dir), PSEUDONYM_KEY)
+    counts = [F.size(F.filter("kinds", _is(kind))).alias(f"n_{kind}") for kind in pii.KINDS]
+    return done.select("row.doc_id", "text", *counts)
+
+
+def _is(kind: str) -> Callable[[Column], Column]:
+    return lambda found: found == kind
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.clusters(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -46,6 +59,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.fit(docs, labels))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     capacity = packing.Capacity(tokens=2048)
     return packing.pack(packing.pieces(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 0, capacity.tokens), capacity)
@@ -57,7 +74,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n_chars").cast("long"), "edited_sha256", *prints, "near_edited", "near_next")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_token_store, op5_simhash, op6_mixing, op7_quality, op9_packing, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_token_store, op4_pii, op5_simhash, op6_mixing, op7_quality, op8_token_counts, op9_packing, op10_fingerprints)}
 
 ORACLES = {
     "op1_exact_dedup": """
