@@ -10,6 +10,7 @@ from hashlib import sha256
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 from furrow.functions import js
 
@@ -31,7 +32,7 @@ SECRET_KEYS = ("token", "password", "apikey", "api_key", "secret")
 MASK = "***"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
@@ -61,7 +62,7 @@ def service_url(url: Column) -> Column:
 
 
 def cookies(header: Column) -> Column:
-    pairs = F.filter(F.transform(F.split(header, ";"), F.trim), lambda p: F.contains(p, F.lit("=")))
+    pairs = F.filter(F.transform(F.split(header, ";"), lambda p: F.trim(p)), lambda p: F.contains(p, F.lit("=")))
     return F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)), F.trim(F.substr(p, F.instr(p, "=") + 1)))))
 
 
@@ -120,7 +121,7 @@ def _masked(value: object) -> object:
     return [_masked(v) for v in value] if isinstance(value, list) else value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def mask_json(text: pd.Series) -> pd.Series:
     """JSON with secrets masked at any depth; what isn't JSON gives null."""
 
@@ -136,7 +137,7 @@ def mask_json(text: pd.Series) -> pd.Series:
 def signature_holds(secret: str):
     """A function of (body, signature) columns: whether the signature is sha256=HMAC of the body."""
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(BooleanType())
     def check(body: pd.Series, signature: pd.Series) -> pd.Series:
         made = ["sha256=" + hmac.new(secret.encode(), (b or "").encode(), sha256).hexdigest() for b in body]
         return pd.Series([hmac.compare_digest(m, s or "") for m, s in zip(made, signature, strict=True)])
