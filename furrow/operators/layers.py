@@ -115,11 +115,11 @@ def natural_breaks_by(values: DataFrame, by: list[str], column: str, classes: in
 
 
 def class_index(value: Column, breaks: Column) -> Column:
-    """The class, from 0, in which a value lies; the last class takes all that no other does, values below the first break too."""
+    """The class, from 0, in which a value lies; null is in class 0, and the last class takes all that no other does, values below the first break too."""
     last = F.size(breaks) - 2
     places = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
     inside = F.filter(places, lambda i: (value >= F.get(breaks, i)) & (value < F.get(breaks, i + 1)))
-    return F.coalesce(F.get(inside, 0), last)
+    return F.when(value.isNull(), F.lit(0)).otherwise(F.coalesce(F.get(inside, 0), last))
 
 
 def above_threshold(values: DataFrame, column: str, quantile: float = 0.8, threshold: float | None = None) -> DataFrame:

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.plans import layers, relations, series, streams, texts
+from furrow.plans import catalogs, layers, relations, series, streams, texts
 
-_PLANS = (series, layers, relations, texts, streams)
+_PLANS = (catalogs, series, layers, relations, texts, streams)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _PLANS for k, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: s for m in _PLANS for k, s in m.ORACLES.items()}
