@@ -44,19 +44,19 @@ class Capacity:
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, tokens: int, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """A row for each piece; keep_ids adds its ids as little-endian unsigned 32-bit integers."""
-    end = end_id.to_bytes(4, "little")
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(tokenizer).ids
+        blocks = encoder(tokenizer).blocks
         for batch in batches:
-            out = []
-            for doc, ids in zip(batch.column(0).to_pylist(), ids_of(batch.column(1).cast(pa.binary()).to_pylist()), strict=True):
-                ids += end
-                for k in range(0, len(ids), 4 * tokens):
-                    part = ids[k : k + 4 * tokens]
-                    out.append((doc, k // (4 * tokens), k // 4, len(part) // 4, zlib.crc32(part), *[part] * keep_ids))
-            arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            docs_of = batch.column(0).to_pylist()
+            for first, ids, counts in blocks(batch.column(1), end_id):
+                raw, at, out = ids.tobytes(), 0, []
+                for doc, count in zip(docs_of[first : first + len(counts)], counts.tolist(), strict=True):
+                    for k in range(0, count, tokens):
+                        length = min(tokens, count - k)
+                        part = raw[4 * (at + k) : 4 * (at + k + length)]
+                        out.append((doc, k // tokens, k, length, zlib.crc32(part), *[part] * keep_ids))
+                    at += count
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * keep_ids]

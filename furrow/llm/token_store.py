@@ -5,7 +5,7 @@ passages give equal chunks wherever they stand. A chunk's address is the SHA-256
 The store is a folder of four tables:
 
 - chunks(chunk, n, ids): every distinct chunk once; ids are little-endian, `width` bytes each (2 or 4 by vocabulary);
-- recipes(place, doc_id, start, n_tokens, chunks, root): one row a document in ascending id order, with the addresses
+- recipes(slice, place, doc_id, start, n_tokens, chunks, root): one row a document in ascending id order, in a folder for each slice, with the addresses
   of its chunks in order, the ids of all documents before it, and the Merkle root of the addresses;
 - manifest(level, node, hash): a Merkle tree over the recipes' roots in that order, FAN_OUT children to a node;
 - format(width, end_id, fan_out): one row.
@@ -38,8 +38,8 @@ MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 64, 256, 2048
 #: The rolling hash sees so many ids; no more than MIN_CHUNK.
 WINDOW = 16
 FAN_OUT = 1024
-BATCH = 256
-ENCODED = "doc_id long, n_tokens long, root binary, chunks array<struct<chunk binary, n int, ids binary>>"
+RECIPES = "slice int, place long, doc_id long, start long, n_tokens long, chunks array<binary>, root binary"
+ENCODED = "doc_id long, n_tokens long, root binary, n_chunks int, chunks array<binary>, ids array<binary>"
 
 
 def rolling(ids: np.ndarray) -> np.ndarray:
@@ -56,7 +56,7 @@ def rolling(ids: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunk_ends(ids: np.ndarray, counts: list[int]) -> Iterator[list[int]]:
+def chunk_ends(ids: np.ndarray, counts: np.ndarray) -> Iterator[list[int]]:
     """For each of the documents whose ids follow one another, the places where its chunks end.
 
     Nothing before MIN_CHUNK ids ends a chunk, so the hash there has seen ids of its own document only.
@@ -82,38 +82,37 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 
 def _encode(docs: DataFrame, tokenizer: str, end_id: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    end = end_id.to_bytes(4, "little")
+    """A row for each document, with the addresses of its chunks and their ids."""
     kind = np.dtype(f"<u{width}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(tokenizer).ids
-        for whole in batches:
-            for at in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(at, BATCH)
-                coded = [i + end for i in ids_of(batch.column(1).cast(pa.binary()).to_pylist())]
-                counts = [len(i) // 4 for i in coded]
-                ids = np.frombuffer(b"".join(coded), "<u4")
+        blocks = encoder(tokenizer).blocks
+        for batch in batches:
+            for first, ids, counts in blocks(batch.column(1), end_id):
                 raw = ids.astype(kind).tobytes()
-                roots, offsets, chunks, sizes, parts, begin = [], [0], [], [], [], 0
+                roots, offsets, chunks, parts, begin = [], [0], [], [], 0
                 for ends in chunk_ends(ids, counts):
                     own = []
                     for stop in ends:
                         part = raw[width * begin : width * stop]
                         own.append(hashlib.sha256(part).digest())
                         parts.append(part)
-                        sizes.append(stop - begin)
                         begin = stop
                     chunks += own
                     offsets.append(len(chunks))
                     roots.append(merkle_root(own))
-                struct = pa.StructArray.from_arrays([pa.array(chunks, pa.binary()), pa.array(sizes, pa.int32()), pa.array(parts, pa.binary())], ["chunk", "n", "ids"])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(roots, pa.binary()), lists], ["doc_id", "n_tokens", "root", "chunks"])
+                lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.binary())) for values in (chunks, parts)]
+                heads = [batch.column(0).slice(first, len(counts)), pa.array(counts, pa.int64()), pa.array(roots, pa.binary()), pa.array(np.diff(offsets), pa.int32())]
+                yield pa.RecordBatch.from_arrays([*heads, *lists], ["doc_id", "n_tokens", "root", "n_chunks", "chunks", "ids"])
 
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), whole_text(docs, text_col).alias("text"))
     return texts.mapInArrow(run, ENCODED)
 
 
+def _recipes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(RECIPES).parquet(f"{path}/recipes")
+
+
 def _manifest(recipes: DataFrame) -> DataFrame:
     """Level 0 hashes FAN_OUT roots a node, and so on up to one node."""
     level, nodes = 0, recipes.select("place", F.col("root").alias("hash"))
@@ -134,19 +133,22 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     width = 2 if max(encoder(tokenizer).vocab_size - 1, end_id) < 1 << 16 else 4
     encoded = materialize(_encode(docs, tokenizer, end_id, width, id_col, text_col), "encoded")
 
-    chunks = encoded.select(F.explode("chunks").alias("c")).select("c.*").withColumn("digest", F.xxhash64("chunk"))
-    bits = bloom.array_bits(encoded.agg(F.sum(F.size("chunks"))).first()[0] or 0)
-    repeats = bloom.build(chunks.select("digest"), "digest", bits, at_least=2)
-    tested = bloom.probe(chunks, "digest", repeats, bits)
+    bits = bloom.array_bits(encoded.agg(F.sum("n_chunks")).first()[0] or 0)
+    addresses = encoded.select(F.explode("chunks").alias("chunk")).select(F.xxhash64("chunk").alias("digest"))
+    repeats = bloom.build(addresses, "digest", bits, at_least=2)
+    chunks = encoded.select(F.inline(F.arrays_zip("chunks", "ids"))).select(F.col("chunks").alias("chunk"), (F.octet_length("ids") / width).cast("int").alias("n"), "ids")
+    tested = bloom.probe(chunks.withColumn("digest", F.xxhash64("chunk")), "digest", repeats, bits)
     once = tested.filter(~F.col("maybe")).select("chunk", "n", "ids")
     again = tested.filter("maybe").groupBy("chunk").agg(F.first("n").alias("n"), F.first("ids").alias("ids"))
     once.unionByName(again).write.parquet(f"{path}/chunks")
 
     order = ["doc_id", "root"]
-    slim = encoded.select("doc_id", "n_tokens", "root", F.transform("chunks", lambda c: c["chunk"]).alias("chunks"))
+    slim = encoded.select("doc_id", "n_tokens", "root", "chunks")
     placed = running_totals(ranged(slim, order, "recipes"), order, start=F.col("n_tokens"), place=F.lit(1).cast("long"))
-    placed.repartitionByRange("place").sortWithinPartitions("place").select("place", "doc_id", "start", "n_tokens", "chunks", "root").write.parquet(f"{path}/recipes")
-    _manifest(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+    # A folder for each slice, slices and places ascending.
+    recipes = placed.select("slice", "place", "doc_id", "start", "n_tokens", "chunks", "root").sortWithinPartitions("slice", "place")
+    recipes.write.partitionBy("slice").parquet(f"{path}/recipes")
+    _manifest(_recipes(spark, path)).write.parquet(f"{path}/manifest")
     spark.createDataFrame([(width, end_id, FAN_OUT)], "width int, end_id int, fan_out int").write.parquet(f"{path}/format")
 
 
@@ -198,7 +200,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     A chunk is read and checked once, however many documents have it; a document's checksum is put together from
     those of its chunks, so ids needn't move.
     """
-    recipes = spark.read.parquet(f"{path}/recipes")
+    recipes = _recipes(spark, path)
     refs = recipes.select("place", F.posexplode("chunks").alias("pos", "chunk"))
     found = refs.join(materialize(checked_chunks(spark, path), "checked"), "chunk", "left")
     per_doc = found.groupBy("place").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "crc32", "chunk", "ok"))).alias("parts"))  # a document's own chunks
@@ -220,7 +222,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ids(spark: SparkSession, path: str, places: DataFrame | None = None) -> DataFrame:
     """place, doc_id and ids (as the file holds them) of all documents, or of those in places(place)."""
-    recipes = spark.read.parquet(f"{path}/recipes")
+    recipes = _recipes(spark, path)
     recipes = recipes if places is None else recipes.join(places, "place", "left_semi")
     refs = recipes.select("place", "doc_id", F.posexplode("chunks").alias("pos", "chunk"))
     parts = F.array_sort(F.collect_list(F.struct("pos", "ids")))
@@ -230,5 +232,5 @@ def read_ids(spark: SparkSession, path: str, places: DataFrame | None = None) ->
 
 def manifest_holds(spark: SparkSession, path: str) -> bool:
     """Whether the Merkle tree, made again from the recipes, is the one in the store."""
-    again, stored = _manifest(spark.read.parquet(f"{path}/recipes")), spark.read.parquet(f"{path}/manifest")
+    again, stored = _manifest(_recipes(spark, path)), spark.read.parquet(f"{path}/manifest")
     return again.exceptAll(stored).isEmpty() and stored.exceptAll(again).isEmpty()

@@ -1,9 +1,10 @@
 """Encoding whole texts by the tokenizers library, a word at a time with a memory of words.
 
-The tokenizers used here split a text before any merge, never inside white space that precedes a word and always
-after a word's last character. A text's ids are therefore those of its words, one after the other, and a word seen
-before need not be encoded again. The words that are new to a block of texts are encoded in one call. Texts in which other
-white space stands before ASCII white space are encoded whole.
+The tokenizers used here split a text before any merge, and always between a character that isn't white space and
+ASCII white space. A text's ids are therefore those of its words (with the white space before them, if it counts), one
+after the other, and a word seen before need not be encoded again. Arrow cuts a block of texts at single spaces and
+numbers its distinct words; only these are looked up, and those that are new are encoded in one call. Texts with
+other white space beside a space are cut by a pattern, or encoded whole where no cut is safe.
 """
 
 from __future__ import annotations
@@ -13,23 +14,27 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Texts that can't be cut at every space: with a space at an end or beside other ASCII white space, or other white space before ASCII white space.
+_IRREGULAR = r"^ | $| [ \t\n\x0b\x0c\r]|[\t\n\x0b\x0c\r] |[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}][ \t\n\x0b\x0c\r]"
 #: A word with the ASCII white space before it, or white space at the end of a text.
 _UNIT = re.compile(rb"\s*\S+|\s+")
-#: Other white space, in UTF-8, before ASCII white space: there the end of a word is no safe place to cut. The first pattern finds texts that may have it.
-_UNUSUAL = re.compile(rb"[\x1c-\x1f\xc2\xe1-\xe3\xef]")
+#: Other white space, in UTF-8, before ASCII white space: there the end of a word is no safe place to cut.
 _UNSAFE = re.compile(rb"(?:[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf)\s")
 
-#: Words in each of the two generations of a Python worker's memory, and the longest of them; about 150 bytes a word.
-MAX_WORDS = 500_000
+#: Words in each of the two generations of a Python worker's memory, and the longest of them; about 170 bytes a word.
+MAX_WORDS = 400_000
 MAX_WORD_BYTES = 64
 #: A block ends with the text that brings it to so many bytes.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 4 << 20
 
 
 class Encoder:
-    """Gives texts' ids as little-endian unsigned 32-bit integers; special tokens' strings are plain text."""
+    """Gives texts' ids as unsigned 32-bit integers; special tokens' strings are plain text."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,61 +43,84 @@ class Encoder:
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
         self.vocab_size = self.plain.get_vocab_size()
-        self.drops_space = self._whole(b" a\n\nb ") == self._whole(b"a b")
-        self.drops_case = self._whole(b"AbC") == self._whole(b"abc")
-        self.words: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def _whole(self, text: bytes) -> bytes:
-        return array("I", self.plain.encode(text.decode(), add_special_tokens=False).ids).tobytes()
+        self.drops_space = self._whole(" a\n\nb ") == self._whole("a b")
+        self.drops_case = self._whole("AbC") == self._whole("abc")
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _units(self, text: bytes) -> list[bytes]:
-        text = text.lower() if self.drops_case else text
-        return text.split() if self.drops_space else _UNIT.findall(text)
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.plain.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, units: set[bytes]) -> dict[bytes, bytes]:
+    def _learn(self, new: list[str]) -> list[bytes]:
         """The ids of words that aren't in `words`; they are put there, and a full generation becomes the older one."""
-        found = {u: self.older[u] for u in units if u in self.older} if self.older else {}
-        new = [u for u in units if u not in found]
-        encoded = self.plain.encode_batch_fast([u.decode() for u in new], add_special_tokens=False)
-        found.update((u, array("I", e.ids).tobytes()) for u, e in zip(new, encoded, strict=True))
-        if len(self.words) + len(found) > MAX_WORDS:
+        found = list(map(self.older.get, new))
+        unknown = [u for u, ids in zip(new, found, strict=True) if ids is None]
+        encoded = self.plain.encode_batch_fast(unknown, add_special_tokens=False)
+        learned = iter([array("I", e.ids).tobytes() for e in encoded])
+        found = [next(learned) if ids is None else ids for ids in found]
+        if len(self.words) + len(new) > MAX_WORDS:
             self.older, self.words = self.words, {}
-        self.words.update(item for item in found.items() if len(item[0]) <= MAX_WORD_BYTES)
+        self.words.update(zip(new, found, strict=True))
+        for long in [u for u in new if len(u) > MAX_WORD_BYTES]:
+            del self.words[long]
         return found
 
-    def _block(self, texts: list[bytes]) -> list[bytes]:
-        split = [None if _UNUSUAL.search(t) and _UNSAFE.search(t) else self._units(t) for t in texts]
-        unknown = set(chain.from_iterable(u for u in split if u)).difference(self.words)
-        words = self.words
-        if unknown:
-            found = self._learn(unknown)
-            if self.words is not words or not found.keys() <= self.words.keys():
-                words = _Both(words, found)
-        get = words.__getitem__
-        return [self._whole(t) if u is None else b"".join(map(get, u)) for t, u in zip(texts, split, strict=True)]
-
-    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of UTF-8 texts, in their order; a block of texts is held at a time."""
-        block, size = [], 0
-        for text in texts:
-            block.append(text)
-            size += len(text)
-            if size >= BLOCK_BYTES:
-                yield from self._block(block)
-                block, size = [], 0
-        yield from self._block(block)
-
-
-class _Both:
-    """Looks words up in two dictionaries."""
-
-    def __init__(self, first: dict[bytes, bytes], second: dict[bytes, bytes]):
-        self.first, self.second = first, second
-
-    def __getitem__(self, word: bytes) -> bytes:
-        found = self.first.get(word)
-        return self.second[word] if found is None else found
+    def _ids_of(self, units: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        known = list(map(self.words.get, units))
+        new = [u for u, ids in zip(units, known, strict=True) if ids is None]
+        learned = iter(self._learn(new))
+        return [next(learned) if ids is None else ids for ids in known]
+
+    def _irregular(self, text: str) -> bytes:
+        raw = text.encode()
+        if _UNSAFE.search(raw):
+            return self._whole(text)
+        units = [u.decode() for u in _UNIT.findall(raw)]
+        distinct = list(dict.fromkeys(units))
+        return b"".join(map(dict(zip(distinct, self._ids_of(distinct), strict=True)).__getitem__, units))
+
+    def _block(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.drops_space:
+            odd = np.zeros(len(texts), bool)
+            cut = pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.drops_case else texts)
+        else:
+            odd = pc.match_substring_regex(texts, _IRREGULAR).to_numpy(zero_copy_only=False)
+            cut = pc.split_pattern(pc.if_else(odd, "", texts) if odd.any() else texts, " ")
+        flat = pc.list_flatten(cut).dictionary_encode()
+        units = flat.dictionary.to_pylist()
+        places = flat.indices.to_numpy()
+        offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())]).astype(np.int64)
+        if not self.drops_space:  # all but a text's first word have their space
+            first = pc.take(pc.list_flatten(cut), pa.array(offsets[:-1])).dictionary_encode()
+            places = places.copy()
+            places[offsets[:-1]] = first.indices.to_numpy() + len(units)
+            units = [" " + u for u in units] + first.dictionary.to_pylist()
+        parts = self._ids_of(units)
+        # Irregular texts stand as one more word each, and the end id as the last.
+        own = np.flatnonzero(odd)
+        places = places.astype(np.int64)
+        places[offsets[own]] = len(parts) + np.arange(len(own))
+        parts += [self._irregular(texts[int(i)].as_py()) for i in own]
+        places = np.insert(places, offsets[1:], len(parts))
+        parts.append(end.to_bytes(4, "little"))
+        starts = offsets[:-1] + np.arange(len(texts))
+
+        vocabulary = np.frombuffer(b"".join(parts), "<u4")
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        begins = np.cumsum(sizes) - sizes
+        each = sizes[places]
+        until = np.cumsum(each)
+        ids = vocabulary[np.repeat(begins[places] - (until - each), each) + np.arange(until[-1])]
+        return ids, np.add.reduceat(each, starts)
+
+    def blocks(self, texts: pa.Array, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of texts before, ids one text after the other, ids in each text) of blocks of texts; every text's ids end with `end`."""
+        filled = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // BLOCK_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(filled)) + 1).tolist(), len(texts)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b > a:
+                yield a, *self._block(texts.slice(a, b - a), end)
 
 
 @cache
