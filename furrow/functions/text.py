@@ -93,6 +93,36 @@ def wants_detail(text: Column) -> Column:
     return F.lower(text).rlike("detail|more|full")
 
 
+# What is added to a message about the weather, or else about pests.
+CONTEXTS = {
+    "weather|rain|temperature": "[System Injection - Mock Weather Data]\nCurrent Conditions: 36.2°C, 42% Humidity. Risk: High Temp.",
+    "pest|bug|worm": "[System Injection - Mock Database]\nFound Organic Remedy: Neem Oil Solution (2%). Application: Evening spray.",
+}
+CONTEXT_FRAME = "{}\n\nCONTEXT_DATA:\n{}\n\nInstruction: Use the provided context data to answer the user's question."
+PLANTS = {"tomato": "Tomato", "cucumber": "Cucumber", "date|palm": "Date Palm"}
+
+
+def with_context(message: Column) -> Column:
+    """The message with the first context that a word of it asks for."""
+    before, between, after = CONTEXT_FRAME.split("{}")
+    context = F.lit(None).cast("string")
+    for words, added in reversed(CONTEXTS.items()):
+        context = F.when(F.lower(message).rlike(words), added).otherwise(context)
+    return F.coalesce(F.concat(F.lit(before), message, F.lit(between), context, F.lit(after)), message)
+
+
+def guessed_plant(message: Column) -> Column:
+    plant = F.lit("Unidentified")
+    for words, name in reversed(PLANTS.items()):
+        plant = F.when(F.lower(message).rlike(words), name).otherwise(plant)
+    return plant
+
+
+def filled_time(time: Column, ref_ts: Column) -> Column:
+    """A blank time as hours and minutes of ref_ts."""
+    return F.coalesce(js.nonblank(time), F.date_format(ref_ts, "HH:mm"))
+
+
 def without_bold(text: Column) -> Column:
     return F.replace(text, F.lit("**"), F.lit(""))
 
