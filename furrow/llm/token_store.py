@@ -21,12 +21,13 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.llm import bloom
@@ -172,12 +173,26 @@ def _times(a: int, b: int) -> int:
     return out
 
 
-def joined_crc(parts: list[tuple[int, int]]) -> int:
-    """The CRC-32 of a concatenation, from (CRC-32, bytes) of its parts."""
-    crc = 0
-    for part, size in parts:
-        crc = _times(_shift(size), crc) ^ part
-    return crc
+def joined_crcs(parts: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The CRC-32 of each of several concatenations, from the CRC-32 and bytes of all their parts in order and the number of parts of each."""
+    kinds, at = np.unique(sizes, return_inverse=True)
+    shifts = np.array([_shift(int(n)) for n in kinds], np.uint32)[at]
+    parts, firsts = parts.astype(np.uint32), np.cumsum(counts) - counts
+    out = np.zeros(len(counts), np.uint32)
+    for k in range(int(counts.max(initial=0))):
+        has = np.flatnonzero(counts > k)
+        place = firsts[has] + k
+        out[has] = _times_all(shifts[place], out[has]) ^ parts[place]
+    return out
+
+
+def _times_all(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """_times for arrays."""
+    out, one = np.zeros_like(b), np.uint32(1)
+    for bit in range(31, -1, -1):
+        out ^= b * (a >> np.uint32(bit) & one)
+        b = b >> one ^ np.uint32(0xEDB88320) * (b & one)
+    return out
 
 
 def checked_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -203,23 +218,36 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     recipes = _recipes(spark, path)
     refs = recipes.select("place", F.posexplode("chunks").alias("pos", "chunk"))
     found = refs.join(materialize(checked_chunks(spark, path), "checked"), "chunk", "left")
-    per_doc = found.groupBy("place").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "crc32", "chunk", "ok"))).alias("parts"))  # a document's own chunks
+    parts = F.array_sort(F.collect_list(F.struct("pos", "n", "crc32", "chunk", "ok"))).alias("parts")  # a document's own chunks
+    per_doc = found.groupBy("place").agg(parts).select(
+        "place", F.forall("parts", lambda p: F.coalesce(p["ok"], F.lit(False))).alias("ok"), *[F.transform("parts", _field(n)).alias(n) for n in ("n", "crc32", "chunk")]
+    )
     heads = recipes.select("place", "doc_id", "start", "n_tokens", "root")
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", "verified"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            out = []
-            for r in rows:
-                parts = r["parts"]
-                whole = all(p["ok"] for p in parts) and sum(p["n"] for p in parts) == r["n_tokens"] and merkle_root([p["chunk"] for p in parts]) == r["root"]
-                out.append((r["doc_id"], r["start"], sum(p["n"] or 0 for p in parts), joined_crc([(p["crc32"] or 0, 4 * (p["n"] or 0)) for p in parts]), whole))
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.bool_()], strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
+            lists = batch.column("chunk")
+            counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = pc.fill_null(pc.list_flatten(batch.column("n")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            crcs = pc.fill_null(pc.list_flatten(batch.column("crc32")), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(counts)
+            totals = np.concatenate([[0], np.cumsum(sizes)])
+            tokens = totals[ends] - totals[ends - counts]
+            chunks = pc.list_flatten(lists).to_pylist()
+            roots = [merkle_root(chunks[e - c : e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+            whole = np.array([r == root for r, root in zip(roots, batch.column("root").to_pylist(), strict=True)], bool)
+            whole &= batch.column("ok").to_numpy(zero_copy_only=False).astype(bool) & (tokens == batch.column("n_tokens").to_numpy(zero_copy_only=False))
+            crc = joined_crcs(crcs, 4 * sizes, counts).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(tokens), pa.array(crc), pa.array(whole)], names)
 
     return heads.join(per_doc, "place").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
 
 
+def _field(name: str) -> Callable[[Column], Column]:
+    return lambda part: part[name]
+
+
 def read_ids(spark: SparkSession, path: str, places: DataFrame | None = None) -> DataFrame:
     """place, doc_id and ids (as the file holds them) of all documents, or of those in places(place)."""
     recipes = _recipes(spark, path)
