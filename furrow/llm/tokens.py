@@ -14,6 +14,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,16 @@ _UNIT = re.compile(rb"\s*\S+|\s+")
 #: Other white space, in UTF-8, before ASCII white space: there the end of a word is no safe place to cut.
 _UNSAFE = re.compile(rb"(?:[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf)\s")
 
+#: A word that may be encoded with others in one text: a space before it and no white space, or what counts as such, in it.
+_PLAIN = re.compile(r" [^\s\u180e\u200b-\u200f\u2060\ufeff]+\Z")
+#: How many of them at a time.
+JOINED = 64
+
 #: Words in each of the two generations of a Python worker's memory, and the longest of them; about 170 bytes a word.
-MAX_WORDS = 400_000
+MAX_WORDS = 150_000
 MAX_WORD_BYTES = 64
 #: A block ends with the text that brings it to so many bytes.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 
 
 class Encoder:
@@ -45,18 +51,44 @@ class Encoder:
         self.vocab_size = self.plain.get_vocab_size()
         self.drops_space = self._whole(" a\n\nb ") == self._whole("a b")
         self.drops_case = self._whole("AbC") == self._whole("abc")
+        # A byte-level vocabulary writes a space as this sign: a piece that begins with it begins a word.
+        self.opens = np.array([(self.plain.id_to_token(i) or "").startswith("\u0120") for i in range(self.vocab_size)])
+        self.joins = not self.drops_space and self._whole(" ab cd") == self._whole(" ab") + self._whole(" cd")
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.plain.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _alone(self, units: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.plain.encode_batch_fast(units, add_special_tokens=False)]
+
+    def _encode(self, units: list[str]) -> list[bytes]:
+        """The ids of each word; many words in one text where the ids themselves say which begins where."""
+        if not self.joins:
+            return self._alone(units)
+        fit = [_PLAIN.match(u) is not None for u in units]
+        plain = list(compress(units, fit))
+        groups = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
+        made: list[bytes] = []
+        for group, e in zip(groups, self.plain.encode_batch_fast(list(map("".join, groups)), add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            begins = (4 * np.flatnonzero(self.opens[ids])).tolist()
+            if len(begins) == len(group) and begins[0] == 0:
+                raw = ids.tobytes()
+                made += [raw[a:b] for a, b in pairwise([*begins, len(raw)])]
+            else:
+                made += self._alone(group)
+        if len(plain) == len(units):
+            return made
+        joined, others = iter(made), iter(self._alone([u for u, ok in zip(units, fit, strict=True) if not ok]))
+        return [next(joined) if ok else next(others) for ok in fit]
+
     def _learn(self, new: list[str]) -> list[bytes]:
         """The ids of words that aren't in `words`; they are put there, and a full generation becomes the older one."""
         found = list(map(self.older.get, new))
         unknown = [u for u, ids in zip(new, found, strict=True) if ids is None]
-        encoded = self.plain.encode_batch_fast(unknown, add_special_tokens=False)
-        learned = iter([array("I", e.ids).tobytes() for e in encoded])
+        learned = iter(self._encode(unknown))
         found = [next(learned) if ids is None else ids for ids in found]
         if len(self.words) + len(new) > MAX_WORDS:
             self.older, self.words = self.words, {}
@@ -88,14 +120,14 @@ class Encoder:
             odd = pc.match_substring_regex(texts, _IRREGULAR).to_numpy(zero_copy_only=False)
             cut = pc.split_pattern(pc.if_else(odd, "", texts) if odd.any() else texts, " ")
         flat = pc.list_flatten(cut).dictionary_encode()
-        units = flat.dictionary.to_pylist()
+        units = _strings(flat.dictionary)
         places = flat.indices.to_numpy()
         offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())]).astype(np.int64)
         if not self.drops_space:  # all but a text's first word have their space
             first = pc.take(pc.list_flatten(cut), pa.array(offsets[:-1])).dictionary_encode()
             places = places.copy()
             places[offsets[:-1]] = first.indices.to_numpy() + len(units)
-            units = [" " + u for u in units] + first.dictionary.to_pylist()
+            units = [" " + u for u in units] + _strings(first.dictionary)
         parts = self._ids_of(units)
         # Irregular texts stand as one more word each, and the end id as the last.
         own = np.flatnonzero(odd)
@@ -111,7 +143,10 @@ class Encoder:
         begins = np.cumsum(sizes) - sizes
         each = sizes[places]
         until = np.cumsum(each)
-        ids = vocabulary[np.repeat(begins[places] - (until - each), each) + np.arange(until[-1])]
+        kind = np.int32 if until[-1] + len(vocabulary) < 1 << 31 else np.int64
+        index = np.repeat((begins[places] - (until - each)).astype(kind), each)
+        index += np.arange(until[-1], dtype=kind)
+        ids = vocabulary[index]
         return ids, np.add.reduceat(each, starts)
 
     def blocks(self, texts: pa.Array, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -123,6 +158,10 @@ class Encoder:
                 yield a, *self._block(texts.slice(a, b - a), end)
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 @cache
 def encoder(path: str) -> Encoder:
     """One encoder for each file and Python worker; it lasts from task to task."""
