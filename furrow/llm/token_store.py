@@ -46,13 +46,13 @@ ENCODED = "doc_id long, n_tokens long, root binary, n_chunks int, chunks array<b
 def rolling(ids: np.ndarray) -> np.ndarray:
     """At every place a hash of the WINDOW ids up to it."""
     x = ids.astype(np.uint64)
-    x = (x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x += np.uint64(1)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
     width = 1
     while width < WINDOW:
-        older = np.zeros_like(x)
-        older[width:] = x[:-width] if width < len(x) else x[:0]
-        x = x + older * np.uint64(pow(3, width, 1 << 64))
+        x[width:] += x[:-width] * np.uint64(pow(3, width, 1 << 64))
         width *= 2
     return x
 
