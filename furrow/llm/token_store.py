@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.llm import bloom
-from furrow.llm.common import materialize, ranged, running_totals, whole_text
+from furrow.llm.common import materialize, ranged, running_totals, small_batches, whole_text
 from furrow.llm.tokens import encoder
 
 #: Ids in a chunk: none but a document's last is shorter than MIN_CHUNK, none longer than MAX_CHUNK; beyond MIN_CHUNK one place in MEAN_CHUNK ends it.
@@ -132,7 +132,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     """Writes the store of docs to path, a folder that doesn't exist yet."""
     spark = docs.sparkSession
     width = 2 if max(encoder(tokenizer).vocab_size - 1, end_id) < 1 << 16 else 4
-    encoded = materialize(_encode(docs, tokenizer, end_id, width, id_col, text_col), "encoded")
+    with small_batches(spark):
+        encoded = materialize(_encode(docs, tokenizer, end_id, width, id_col, text_col), "encoded")
 
     bits = bloom.array_bits(encoded.agg(F.sum("n_chunks")).first()[0] or 0)
     addresses = encoded.select(F.explode("chunks").alias("chunk")).select(F.xxhash64("chunk").alias("digest"))

@@ -35,7 +35,7 @@ JOINED = 64
 #: Words in each of the two generations of a Python worker's memory, and the longest of them; about 170 bytes a word.
 MAX_WORDS = 150_000
 MAX_WORD_BYTES = 64
-#: A block ends with the text that brings it to so many bytes.
+#: Texts that come together are cut into blocks of about so many bytes.
 BLOCK_BYTES = 6 << 20
 
 
@@ -151,7 +151,9 @@ class Encoder:
 
     def blocks(self, texts: pa.Array, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(number of texts before, ids one text after the other, ids in each text) of blocks of texts; every text's ids end with `end`."""
-        filled = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // BLOCK_BYTES
+        filled = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+        total = int(filled[-1]) if len(filled) else 0
+        filled = filled * max(1, round(total / BLOCK_BYTES)) // (total + 1)
         edges = [0, *(np.flatnonzero(np.diff(filled)) + 1).tolist(), len(texts)]
         for a, b in zip(edges, edges[1:], strict=False):
             if b > a:
