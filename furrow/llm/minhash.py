@@ -1,0 +1,140 @@
+"""Near-deduplication by the Jaccard similarity of word shingles.
+
+Every text becomes the set of its shingles' XXH64 values; equal sets are one node. MinHash values in BANDS bands of ROWS propose
+candidates: a pair at similarity 0.8 shares a bucket with probability 0.99993, one at 0.9 practically always. What links is
+the similarity of the two sets themselves, so that no candidate is linked by an estimate.
+
+A bucket's pairs aren't all made. First each member is compared with one other, drawn anew in every bucket; what links is in
+one component, and needs no comparison within it. Then the members outside their bucket's main component are compared with all others of
+other components. The components are those of all pairs in the buckets, while a large group of near copies stays linear.
+
+Defined results: null and empty texts have one shingle, the empty one; a text of fewer words than a shingle is one shingle; ids,
+components and carried columns as in simhash.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from furrow.llm.common import materialize, small_batches, whole_text
+from furrow.llm.simhash import components
+
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
+BANDS, ROWS = 24, 5
+SEED = 42
+#: Shingles hashed at a time, so that a very long text needs no more memory than others.
+BLOCK = 1 << 12
+#: Texts whose sets are given on at a time.
+TEXTS = 500
+
+_DRAW = np.random.default_rng(SEED)
+_MIX, _ODD = (_DRAW.integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64) for _ in range(2))
+_ODD |= np.uint64(1)
+_JOIN = _DRAW.integers(0, 1 << 64, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
+
+
+def shingles(text: str, size: int = SHINGLE_WORDS) -> np.ndarray:
+    """The distinct XXH64 values of the text's runs of `size` words, ascending."""
+    from xxhash import xxh64_intdigest
+
+    words = text.encode().lower().split()
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    if len(words) <= size:
+        return np.array([xxh64_intdigest(joined, SEED)], np.uint64)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    spans = zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)
+    return np.unique(np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - size + 1))
+
+
+def buckets(found: np.ndarray) -> np.ndarray:
+    """One number for each band."""
+    least = np.full((BANDS * ROWS,), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(found), BLOCK):
+        least = np.minimum(least, ((found[k : k + BLOCK] ^ _MIX) * _ODD).min(axis=1))
+    mixed = least.reshape(BANDS, ROWS)
+    mixed = (mixed ^ mixed >> np.uint64(31)) * _JOIN
+    return (mixed ^ mixed >> np.uint64(29)).sum(axis=1, dtype=np.uint64)
+
+
+def sets(rows: DataFrame, size: int) -> DataFrame:
+    """rows(id, text, key) with node (a hash of the set), buckets and the set in place of text; key is carried."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for whole in batches:
+            for k in range(0, len(whole), TEXTS):
+                batch = whole.slice(k, TEXTS)
+                found = [shingles(t.as_py(), size) for t in batch.column(1)]
+                nodes = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts).view(np.int64))) for parts in ([buckets(s) for s in found], found)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes), *lists], ["id", "key", "node", "buckets", "shingles"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "text", "key").mapInArrow(run, f"id {kind}, key long, node long, buckets array<long>, shingles array<long>")
+
+
+def similar(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Those of pairs(a, b) whose sets in nodes(node, shingles) have a Jaccard similarity of `least` or more."""
+    one, other = (nodes.select(F.col("node").alias(n), F.col("shingles").alias(f"of_{n}")) for n in ("a", "b"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    # Compared as a product, with room for the rounding of `least` alone.
+    enough = both >= (F.size("of_a") + F.size("of_b") - both) * F.lit(least) - 1e-9
+    return pairs.join(one, "a").join(other, "b").filter(enough).select("a", "b")
+
+
+def _as_large(a: Column, b: Column, least: float) -> Column:
+    """Sets whose sizes differ more can't be that similar."""
+    return F.least(a, b) >= F.greatest(a, b) * F.lit(least) - 1e-9
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def links(nodes: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) between similar nodes(node, buckets, shingles), with the components of all similar pairs in the buckets."""
+    held = materialize(nodes.select("node", F.size("shingles").alias("n"), F.explode("buckets").alias("bucket")), "buckets")
+    # The member nearest to the bucket's number by XOR: another one in every bucket.
+    drawn = held.groupBy("bucket").agg(F.min(F.col("node").bitwiseXOR(F.col("bucket"))).alias("low"), F.count("*").alias("members")).filter("members > 1")
+    heads = drawn.select("bucket", F.col("low").bitwiseXOR(F.col("bucket")).alias("head"))
+    shared = materialize(held.join(heads, "bucket"), "shared-buckets")
+    sizes = nodes.select(F.col("node").alias("head"), F.size("shingles").alias("head_n"))
+    first = shared.filter("node <> head").select("node", "n", "head").distinct().join(sizes, "head").filter(_as_large(F.col("n"), F.col("head_n"), least))
+    star = materialize(similar(first.select(*_ordered("node", "head")).distinct(), nodes, least), "first-links")
+
+    roots = materialize(components(star), "first-roots")
+    of_node = roots.select("node", F.col("root").alias("own"))
+    of_head = roots.select(F.col("node").alias("head"), F.col("root").alias("main"))
+    known = shared.join(of_node, "node", "left").join(of_head, "head", "left")
+    members = materialize(known.select("bucket", "node", "n", F.coalesce("own", "node").alias("own"), F.coalesce("main", "head").alias("main")), "members-of-buckets")
+    apart = members.filter("own <> main").select("bucket", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("own").alias("x_own"))
+    fits = (F.col("own") != F.col("x_own")) & _as_large(F.col("n"), F.col("x_n"), least)
+    rest = members.select("bucket", "node", "n", "own").join(apart, "bucket").filter(fits).select(*_ordered("node", "x")).distinct()
+    return star.unionByName(similar(materialize(rest, "other-pairs"), nodes, least))
+
+
+def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, least: float = SIMILARITY) -> DataFrame:
+    """id, key (a hash of the text), fp (a hash of the set) and component_id of every row."""
+    text = whole_text(docs, text_col)
+    rows = docs.select(docs[id_col].alias("id"), text.alias("text"), F.xxhash64(text).alias("key"))
+    with small_batches(docs.sparkSession):
+        found = materialize(sets(rows, size), "shingles")
+    one = found.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("rows"))
+    firsts = materialize(one, "distinct-sets")
+    # Of a set that comes once its only row is taken as it is; only repeated ones are grouped whole.
+    repeated = firsts.filter("rows > 1").select("node")
+    single = found.join(repeated, "node", "left_anti").select("node", "buckets", "shingles")
+    again = found.join(repeated, "node", "left_semi").groupBy("node").agg(F.first("buckets").alias("buckets"), F.first("shingles").alias("shingles"))
+    nodes = materialize(single.unionByName(again), "nodes")
+    roots = components(links(nodes, least)).withColumnRenamed("node", "of")
+    labelled = firsts.join(roots, F.col("node") == F.col("of"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    members = materialize(labelled.join(smallest, "root").select("node", "component_id"), "members")
+    return found.select("id", "key", "node").join(members, "node").select("id", "key", F.col("node").alias("fp"), "component_id")

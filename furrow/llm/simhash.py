@@ -128,7 +128,12 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """The document with the smallest id of each component, with the columns of docs."""
-    found = materialize(clusters(docs, id_col, text_col, max_bits), "clusters")
+    return keep_first(docs, clusters(docs, id_col, text_col, max_bits), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The document with the smallest id of each component of members, which is the outcome of clusters()."""
+    found = materialize(members, "clusters")
     heads = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("key").alias("head_key"), F.count("*").alias("n"), F.min("fp").alias("of_fp"))
     same = F.col("id").eqNullSafe(F.col("component_id"))
     multiple = heads.filter("n > 1 AND component_id IS NOT NULL").select(F.col("component_id").alias("head_id"), "head_key")

@@ -1,0 +1,60 @@
+"""The pipeline's near-deduplication beside brute-force Jaccard similarity."""
+
+from itertools import combinations
+
+import numpy as np
+import pytest
+from conftest import DATA  # noqa: F401
+
+import corpus_pipeline
+from furrow.llm import minhash
+
+
+def sets_of(texts):
+    out = {}
+    for doc, text in texts.items():
+        words = text.lower().encode().split()
+        out[doc] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    return out
+
+
+def kept_by_brute_force(texts):
+    own, root = sets_of(texts), {d: d for d in texts}
+    for a, b in combinations(sorted(texts), 2):
+        both = len(own[a] & own[b])
+        if 5 * both >= 4 * (len(own[a]) + len(own[b]) - both):
+            low, high = sorted((root[a], root[b]))
+            root = {d: low if r == high else r for d, r in root.items()}
+    return set(root.values())
+
+
+def edited(rng, words, changes):
+    out = list(words)
+    for at in rng.choice(len(out), changes, replace=False):
+        out[at] = f"new{rng.integers(1 << 30)}"
+    return out
+
+
+def test_near_copies_beside_jaccard(spark):
+    rng, texts = np.random.default_rng(5), {}
+    for _ in range(60):
+        words = [f"w{v}" for v in rng.integers(0, 5000, 300)]
+        for changes in (0, 2, 4, 6, 8, 12):
+            texts[len(texts)] = " ".join(edited(rng, words, changes))
+    chain = [f"c{v}" for v in range(300)]
+    for k in range(6):  # each like the next, the ends unlike
+        texts[len(texts)] = " ".join([*[f"x{v}" for v in range(25 * k)], *chain[25 * k :]])
+    texts |= {len(texts): "", len(texts) + 1: " \n ", len(texts) + 2: "three short words"}
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, DATA).collect()}
+    assert kept == kept_by_brute_force(texts)
+
+
+def test_corpus_beside_jaccard(spark, documents):
+    texts = {r.doc_id: r.text or "" for r in documents.collect()}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, documents, DATA).collect()} == kept_by_brute_force(texts)
+
+
+@pytest.mark.parametrize("size", [1, 3, 5])
+def test_shingle_length_is_a_parameter(size):
+    assert len(minhash.shingles("a b c d e f g", size)) == 8 - size
