@@ -83,8 +83,22 @@ def latest_ring(spark: SparkSession, path: str, before: int | None = None) -> Da
 
 
 def drained(stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that a stream with an end gives, by way of an in-memory table; for tests and small results."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """All that a stream with an end gives, as a table in a new folder under `checkpoint`: executors write it, and nothing passes through the driver.
+
+    In append mode by the Parquet file sink; in complete mode every batch writes its whole outcome as a version, and the newest counts.
+    """
+    spark, work = stream.sparkSession, f"{checkpoint}/drained-{uuid.uuid4().hex}"
+    out = f"{work}/out"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        root = spark._jvm.org.apache.hadoop.fs.Path(out)
+        root.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(root)  # a stream without a batch leaves an empty table
+        writer.format("parquet").option("path", out).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(out)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/version={batch_id}")
+
+    writer.foreachBatch(write).start().awaitTermination()
+    newest = latest_ring(spark, out)
+    return spark.createDataFrame([], stream.schema) if newest is None else newest
