@@ -26,14 +26,39 @@ ROUNDS = 8
 WALK = 24
 KINDS = ("email", "ipv4", "iban", "date", "ssn", "phone", "card")
 
+#: The countries that issue IBANs, by the length of theirs.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: Country codes whose numbers all have as many digits after them.
+PHONE_CODES = {9: "31|32|33|34|41|48|61", 10: "1|7|44|90|91", 11: "86"}
+
+
+def _iban_of(length: int) -> str:
+    """Of one length; spaces may stand before each four characters."""
+    fours, rest = divmod(length - 4, 4)
+    return rf"(?:{IBAN_COUNTRIES[length].replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + rf" ?[A-Z0-9]{{{rest}}}" * bool(rest)
+
+
+def _phone_of(count: int) -> str:
+    """Of country codes with numbers of `count` digits, in groups of any kind."""
+    return rf"\+(?:{PHONE_CODES[count]})(?:[ .-]?[ (]?[0-9]\)?){{{count}}}(?![0-9])"
+
+
+#: Between digits of a number: before two digits at least, and not before a date; after nine digits also not by a space where hyphens or points led up to it.
+_GAP = r"(?![ .-]?(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9]))(?:\)[ .-]?|[ .-]\(?|\()(?=[0-9]{2})"
+_FIXED = "|".join(map(_phone_of, PHONE_CODES))
+_GROUPED = rf"\+[0-9](?:(?:{_GAP})?[0-9]){{6,8}}(?:(?:(?!(?<=[.-][0-9]{{2,4}}) ){_GAP})?[0-9]){{0,6}}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ipv4": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{'|'.join(map(_iban_of, IBAN_COUNTRIES))})(?![A-Za-z0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9]|[/.-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])",
+    "phone": rf"(?<![0-9A-Za-z])(?:{_FIXED}|{_GROUPED}|\([0-9]{{3}}\) ?[0-9]{{3}}-[0-9]{{4}}|[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}|(?<!\.)[0-9]{{3}}\.[0-9]{{3}}\.[0-9]{{4}}(?!\.[0-9]))(?![0-9])",
     "card": r"(?<![0-9A-Za-z.])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z])",
 }
 EVERYTHING = "|".join(f"(?:{p})" for p in PATTERNS.values())
