@@ -4,7 +4,7 @@ The tokenizers used here split a text before any merge, and always between a cha
 ASCII white space. A text's ids are therefore those of its words (with the white space before them, if it counts), one
 after the other, and a word seen before need not be encoded again. Arrow cuts a block of texts at single spaces and
 numbers its distinct words; only these are looked up, and those that are new are encoded in one call. Texts with
-other white space beside a space are cut by a pattern, or encoded whole where no cut is safe.
+other white space beside a space are cut by a pattern, or encoded whole where no cut is safe, as in texts with an added token's string.
 """
 
 from __future__ import annotations
@@ -40,14 +40,18 @@ BLOCK_BYTES = 6 << 20
 
 
 class Encoder:
-    """Gives texts' ids as unsigned 32-bit integers; special tokens' strings are plain text."""
+    """Gives texts' ids as unsigned 32-bit integers; added tokens' strings are plain text, or get their own ids with `special`."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
+        self.plain.encode_special_tokens = not special
+        added = [re.escape(t.content) for t in self.plain.get_added_tokens_decoder().values()] if special else []
+        #: Texts with what this finds, in any case as words are made small, are encoded whole.
+        self.added = "|".join(sorted(added, key=len, reverse=True))
+        self.has_added = re.compile(self.added, re.IGNORECASE).search
         self.vocab_size = self.plain.get_vocab_size()
         self.drops_space = self._whole(" a\n\nb ") == self._whole("a b")
         self.drops_case = self._whole("AbC") == self._whole("abc")
@@ -106,18 +110,19 @@ class Encoder:
 
     def _irregular(self, text: str) -> bytes:
         raw = text.encode()
-        if _UNSAFE.search(raw):
+        if _UNSAFE.search(raw) or self.added and self.has_added(text):
             return self._whole(text)
         units = [u.decode() for u in _UNIT.findall(raw)]
         distinct = list(dict.fromkeys(units))
         return b"".join(map(dict(zip(distinct, self._ids_of(distinct), strict=True)).__getitem__, units))
 
     def _block(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        odd = pc.match_substring_regex(texts, self.added, ignore_case=True).to_numpy(zero_copy_only=False) if self.added else np.zeros(len(texts), bool)
         if self.drops_space:
-            odd = np.zeros(len(texts), bool)
-            cut = pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.drops_case else texts)
+            regular = pc.if_else(odd, "", texts) if odd.any() else texts
+            cut = pc.ascii_split_whitespace(pc.ascii_lower(regular) if self.drops_case else regular)
         else:
-            odd = pc.match_substring_regex(texts, _IRREGULAR).to_numpy(zero_copy_only=False)
+            odd = odd | pc.match_substring_regex(texts, _IRREGULAR).to_numpy(zero_copy_only=False)
             cut = pc.split_pattern(pc.if_else(odd, "", texts) if odd.any() else texts, " ")
         flat = pc.list_flatten(cut).dictionary_encode()
         units = _strings(flat.dictionary)
@@ -166,5 +171,5 @@ def _strings(column: pa.Array) -> list[str]:
 
 @cache
 def encoder(path: str) -> Encoder:
-    """One encoder for each file and Python worker; it lasts from task to task."""
-    return Encoder(path)
+    """One encoder for each file and Python worker; it lasts from task to task. Its ids are the library's by default."""
+    return Encoder(path, special=True)
