@@ -100,8 +100,12 @@ def _kml_points(text: Column) -> Column:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Zipped shapefiles, and where there are none the first KML in a zip or KMZ file."""
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= MAX_ARCHIVE_BYTES).select("content")
+    """Zipped shapefiles, and where there are none the first KML in a zip or KMZ file; archives over MAX_ARCHIVE_BYTES raise ValueError."""
+    found = spark.read.format("binaryFile").load(path)
+    large = [r.path for r in found.filter(F.col("length") > MAX_ARCHIVE_BYTES).select("path").limit(20).collect()]  # names alone
+    if large:
+        raise ValueError(f"archives over {MAX_ARCHIVE_BYTES} bytes: {', '.join(large)}")
+    files = found.select("content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
