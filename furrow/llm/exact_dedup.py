@@ -1,8 +1,8 @@
-"""Exact deduplication by two passes over a Bloom filter.
+"""Exact deduplication by two passes and a Bloom filter.
 
-Pass one sets, for every document, a few cells of a bit array and keeps the cells that were set at least twice. A
-text that occurs again has all its cells among those, so pass two sends only rows with every cell repeated to the
-exact grouping by SHA-256; all other rows go straight to the result.
+Pass one counts 64-bit hashes of the texts and puts those that come more than once into a Bloom filter. Pass two tests
+every row against it: only rows that pass go to the exact grouping by SHA-256, with their id and digest; all other rows go
+straight to the result. Pass one moves eight bytes and a count for every distinct hash of a task; texts never move in mark_duplicates.
 
 What is broadcast never exceeds max_filter_bits / 8 bytes (see bloom). Past that size more single rows are taken for possible repeats and shuffle (an id and a
 32-byte digest each where only decisions are asked for); results don't change.
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from furrow.llm import bloom
 from furrow.llm.common import carried, materialize, whole_text
 
+
 def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bits: int = bloom.MAX_FILTER_BITS) -> DataFrame:
     """Every row as `row`, with id, text_sha256, group_size, keep_id, ties and kept.
 
@@ -27,8 +28,7 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     text = whole_text(docs, text_col)
     rows = carried(docs, id=docs[id_col], digest=F.xxhash64(text), text_sha256=F.sha2(text, 256))
-    bits = bloom.array_bits(docs.count(), max_filter_bits)
-    repeats = bloom.build(rows.select("digest"), "digest", bits, at_least=2)
+    repeats, bits = bloom.repeated(rows.select("digest"), "digest", max_filter_bits)
     tested = bloom.probe(rows, "digest", repeats, bits)
 
     candidates = tested.filter("maybe").select("row", "id", "text_sha256")
@@ -41,8 +41,17 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with the columns of docs."""
-    kept = mark_duplicates(docs, id_col, text_col).filter("kept")
-    once = kept.filter((F.col("ties") == 1) | F.col("id").isNull())
-    tied = kept.filter((F.col("ties") > 1) & F.col("id").isNotNull()).dropDuplicates(["text_sha256", "id"])
-    return once.unionByName(tied).select("row.*")
+    """The documents that stay, with the columns of docs.
+
+    Which rows go is decided on ids and digests; texts move only for rows that share both with another, and for the few that the
+    filter of those that go lets through by chance.
+    """
+    marked = mark_duplicates(docs, id_col, text_col).filter("group_size > 1").select("id", "text_sha256", "kept", "ties")
+    marked = materialize(marked, "repeated-texts")
+    rows = carried(docs, id=docs[id_col], text_sha256=F.sha2(whole_text(docs, text_col), 256))
+    kept = bloom.without(rows, ["id", "text_sha256"], marked.filter(~F.col("kept")).select("id", "text_sha256").distinct())
+    tied = materialize(marked.filter("kept AND ties > 1 AND id IS NOT NULL").select("id", "text_sha256").distinct(), "same-rows")
+    if not tied.isEmpty():  # rows that share both text and id: one stays
+        others = bloom.without(kept, ["id", "text_sha256"], tied)
+        kept = others.unionByName(kept.join(tied, ["id", "text_sha256"], "left_semi").dropDuplicates(["id", "text_sha256"]).select(*others.columns))
+    return kept.select("row.*")

@@ -1,13 +1,25 @@
 """SimHash near-deduplication by multi-index hashing.
 
-Fingerprints of 64 bits are cut into SEGMENTS segments. Two that differ in at most MAX_BITS bits differ in at most
-MAX_BITS // SEGMENTS bits of some segment, so every distinct fingerprint looks up, for each segment, all values in the
-Hamming ball of that radius in a table by segment value, and the complete distance of what it finds is verified.
-Equal fingerprints count once: what is joined grows with the distinct ones, not with the copies. The links'
-connected components come from alternating rounds in which every fingerprint's neighbours move to the smallest one.
-
-Defined results: null and empty texts have fingerprint zero, which links like any other; a component's id is its
-smallest non-null doc id (null if it has none); rows with the same id and text are one document, so keep_one returns one; an
+A fingerprint has a bit for every bit of its shingles' hashes: one if over half of them have it. It is cut into segments; for
+each, a small Hamming ball of values is enumerated and looked up in a table by segment value, and what is found is verified by the complete distance.
+Equal fingerprints (or sets of shingles) count once: what is joined grows with the distinct ones, not with the copies. Two forms:
+
+- clusters(): 64 bits, all shingles with their repeats, links at max_bits or fewer. Two fingerprints that differ in at most max_bits bits differ in at
+  most max_bits // segments bits of some segment, so balls of that radius around the one side find every pair.
+- near_copies(): links at a Jaccard similarity of the sets of shingles. At a similarity of 0.8 about 15 % of the bits
+  differ, which no complete ball of a useful segment covers. So fingerprints have WIDE_BITS bits, and either side enumerates a ball of its own: the BALL likeliest
+  differences among the WEAK bits of a segment whose votes were the closest. Pairs within MAX_DISTANCE bits are then verified on the sets themselves, so no estimate
+  links. Of pairs at a similarity of 0.8 about 98.5 % share a value in some segment, at 0.85 or 0.9 practically all of texts of 200 shingles; a
+  group of copies has many pairs to be found by.
+
+The pairs of a value aren't all made. First each member is compared with one holder of the value, drawn anew for every value; what links is in
+one component and needs no comparison within it. Then members outside the component of that holder are compared with those of other components.
+The result has the components of all pairs, while a large group of near copies stays linear. The links' connected
+components come from alternating rounds in which every node's neighbours move to the smallest one.
+
+Defined results: null and empty texts have fingerprint zero, which links like any other (as sets they are the empty shingle, equal to each other alone); a text
+of fewer words than a shingle is one shingle; a component's id is its smallest non-null doc id (null if it has none); rows with the same id and text are one
+document, so keep_one returns one; very long texts are hashed a block of words at a time, but a text and its set of shingles are held whole by one task; an
 empty table gives no rows; other columns are carried whatever their names.
 """
 
@@ -22,48 +34,92 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm import bloom
-from furrow.llm.common import carried, materialize, whole_text
+from furrow.llm.common import carried, materialize, small_batches, whole_text
 
 SHINGLE_WORDS = 3
 SEED = 42
 MAX_BITS = 3
 SEGMENTS = 2
-#: Words hashed at a time, so that a very long text needs no more memory than others.
+#: Shingles hashed at a time, so that a very long text needs little more memory than others.
 BLOCK = 1 << 14
 
+#: The form for near copies: shingles and similarity by default, and its fingerprints.
+NEAR_WORDS, SIMILARITY = 5, 0.8
+WIDE_BITS, WIDE_SEGMENTS = 256, 8  # of 32 bits each
+WEAK, BALL = 10, 48
+MAX_DISTANCE = 64
+#: Texts whose sets are given on at a time.
+TEXTS = 500
 
-def fingerprint(text: str) -> int:
-    """The bits set in over half of the shingles' XXH64 values."""
+_DRAW = np.random.default_rng(SEED)
+_LANES = _DRAW.integers(0, 1 << 64, (1, WIDE_BITS // 64), dtype=np.uint64)
+_ODD = _DRAW.integers(0, 1 << 64, (2, 1), dtype=np.uint64) | np.uint64(1)
+
+
+def shingle_hashes(text: str, size: int) -> np.ndarray:
+    """XXH64 of each of the text's runs of `size` words with A-Z in lower case; of all its words if they are fewer; nothing without words."""
     from xxhash import xxh64_intdigest
 
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    last = max(len(words) - SHINGLE_WORDS + 1, 1)
-    stops = ends[SHINGLE_WORDS - 1 :] if len(words) >= SHINGLE_WORDS else ends[-1:]
-    counts = np.zeros(64, np.int64)
-    for k in range(0, last, BLOCK):
-        spans = zip(starts[k : min(k + BLOCK, last)].tolist(), stops[k : k + BLOCK].tolist(), strict=True)
-        hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in spans], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > last, bitorder="little").view("<u8")[0])
+    n = max(len(words) - size + 1, 1)
+    stops = ends[size - 1 :] if len(words) >= size else ends[-1:]
+    spans = zip(starts[:n].tolist(), stops.tolist(), strict=True)
+    return np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, n)
 
 
-def fingerprints(rows: DataFrame) -> DataFrame:
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """For each bit of rows of 64-bit numbers, how many have it set."""
+    bits = np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little")
+    out = np.zeros(bits.shape[1], np.int64)
+    for k in range(0, len(bits), 255):  # as many as a byte can count
+        out += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
+    return out
+
+
+def fingerprint(text: str, size: int = SHINGLE_WORDS) -> int:
+    """The bits set in over half of the shingles' XXH64 values."""
+    found = shingle_hashes(text, size)
+    counts = sum((votes(found[k : k + BLOCK]) for k in range(0, len(found), BLOCK)), np.zeros(64, np.int64))
+    return int(np.packbits(2 * counts > len(found), bitorder="little").view("<u8")[0])
+
+
+def fingerprints(rows: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     """rows(id, text, key) with fp in place of text, as a signed 64-bit integer; key is carried."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t.as_py()) for t in batch.column(1)], "<u8").view("<i8")
+            prints = np.array([fingerprint(t.as_py(), size) for t in batch.column(1)], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), batch.column(2)], ["id", "fp", "key"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.select("id", "text", "key").mapInArrow(run, f"id {kind}, fp long, key long")
 
 
+def wide_fingerprint(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a set of hashes, WIDE_BITS bits as 64-bit numbers, and for each segment its WEAK bits with the closest votes, closest first."""
+    counts = np.zeros(WIDE_BITS, np.int64)
+    for k in range(0, len(found), BLOCK // 4):
+        x = found[k : k + BLOCK // 4, None] ^ _LANES
+        for odd in _ODD:
+            x = x * odd
+            x ^= x >> np.uint64(31)
+        counts += votes(x)
+    margins = np.abs(2 * counts - len(found)).reshape(WIDE_SEGMENTS, -1)
+    weak = np.argsort(margins, axis=1, kind="stable")[:, :WEAK]
+    return np.packbits(2 * counts > len(found), bitorder="little").view("<u8"), weak
+
+
+def likely_differences() -> list[tuple[int, ...]]:
+    """BALL subsets of the ranks of weak bits, likeliest first: small ones of low ranks."""
+    subsets = [c for r in range(4) for c in combinations(range(WEAK), r)]
+    return sorted(subsets, key=lambda c: (sum(c) + len(c), c))[:BALL]
+
+
 def segment(fp: Column, k: int, segments: int = SEGMENTS) -> Column:
     low, high = 64 * k // segments, 64 * (k + 1) // segments
     return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << (high - low)) - 1)) if high - low < 64 else fp
@@ -74,35 +130,57 @@ def ball(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
 
 
-def _flipped(own: Column, number: Column) -> Callable[[Column], Column]:
-    return lambda difference: F.struct(number, own.bitwiseXOR(difference).alias("value"))
+def _around(own: Column, number: int) -> Callable[[Column], Column]:
+    """A place in the table of a segment's values, and whether it is the fingerprint's own."""
+    return lambda difference: F.struct(F.xxhash64(F.lit(number), own.bitwiseXOR(difference)).alias("place"), (difference == 0).alias("holds"))
 
 
-def links(nodes: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
-    """Pairs a < b of distinct fingerprints of nodes(fp) at most max_bits apart."""
-    probes, table = [], []
+def asked_places(nodes: DataFrame, max_bits: int, segments: int) -> DataFrame:
+    """node, place and holds for all values that nodes(node) asks for, in every segment the ball around its own."""
+    asks = []
     for k in range(segments):
         width = 64 * (k + 1) // segments - 64 * k // segments
         flips = F.array(*[F.lit(d).cast("long") for d in ball(width, max_bits // segments)])
-        own, number = segment(F.col("fp"), k, segments), F.lit(k).alias("k")
-        probes.append(F.transform(flips, _flipped(own, number)))
-        table.append(F.struct(number, own.alias("value")))
-    asks = nodes.select(F.col("fp").alias("a"), F.explode(F.concat(*probes)).alias("p")).select("a", "p.k", "p.value")
-    holds = nodes.select(F.col("fp").alias("b"), F.explode(F.array(*table)).alias("t")).select("b", "t.k", "t.value")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    found = asks.join(holds, (asks["k"] == holds["k"]) & (asks["value"] == holds["value"]) & (F.col("a") < F.col("b")) & near)
-    return found.select("a", "b").distinct()
+        asks.append(F.transform(flips, _around(segment(F.col("node"), k, segments), k)))
+    return nodes.select("node", F.explode(F.concat(*asks)).alias("p")).select("node", "p.place", "p.holds")
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _linked(members: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links with the components of all pairs (a, b) that near() keeps, among members(place, node, holds) of one place of which one at least holds it."""
+    # The holder nearest to the place's number by XOR: another one at every place.
+    drawn = members.filter("holds").groupBy("place").agg(F.min(F.col("node").bitwiseXOR(F.col("place"))).alias("low"))
+    heads = drawn.select("place", F.col("low").bitwiseXOR(F.col("place")).alias("head"))
+    shared = materialize(members.join(heads, "place"), "shared-places")
+    star = materialize(near(shared.filter("node <> head").select(*_ordered("node", "head")).distinct()), "first-links")
+    roots = components(star)
+    of_node = roots.select("node", F.col("root").alias("own"))
+    of_head = roots.select(F.col("node").alias("head"), F.col("root").alias("main"))
+    known = shared.join(of_node, "node", "left").join(of_head, "head", "left")
+    known = materialize(known.select("place", "node", "holds", F.coalesce("own", "node").alias("own"), F.coalesce("main", "head").alias("main")), "members-of-places")
+    apart = known.filter("own <> main").select("place", F.col("node").alias("x"), F.col("holds").alias("x_holds"), F.col("own").alias("x_own"))
+    rest = known.join(apart, "place").filter((F.col("own") != F.col("x_own")) & (F.col("holds") | F.col("x_holds")))
+    return star.unionByName(near(materialize(rest.select(*_ordered("node", "x")).distinct(), "other-pairs")))
+
+
+def links(nodes: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
+    """Links (a, b) of distinct fingerprints nodes(node) at most max_bits apart, with the components of all such pairs."""
+    bits = bloom.array_bits(nodes.count() * segments)
+    asked = asked_places(nodes, max_bits, segments)
+    held = bloom.build(asked_places(nodes, 0, segments).select("place"), "place", bits)
+    found = materialize(bloom.probe(asked, "place", held, bits).filter("maybe").select("node", "place", "holds"), "asked-places")
+    # Places with one member, its own holder, have no pairs.
+    some = found.groupBy("place").agg(F.count("*").alias("n"), F.max("holds").alias("held")).filter("n > 1 AND held").select("place")
+    return _linked(found.join(some, "place"), lambda pairs: pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(a, b): root is the smallest node of its component."""
-    state = None
-    current = materialize(edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")), "links")
+    current = materialize(edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct(), "links")
     while True:
-        checksum = current.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
-        if checksum == state:
-            return current
-        state = checksum
         # Each node's larger neighbours, and itself, go to its smallest neighbour.
         both = current.unionByName(current.select(F.col("root").alias("node"), F.col("node").alias("root")))
         least = both.groupBy("node").agg(F.min("root").alias("low")).select("node", F.least("node", "low").alias("low"))
@@ -111,28 +189,128 @@ def components(edges: DataFrame) -> DataFrame:
         # Each node and its smaller neighbours go to the smallest of them.
         least = large.groupBy("node").agg(F.min("root").alias("low"))
         smaller = large.join(least, "node").select(F.col("root").alias("node"), F.col("low").alias("root"))
-        current = materialize(smaller.unionByName(least.select("node", F.col("low").alias("root"))).filter("node <> root").distinct(), "small-star")
+        after = materialize(smaller.unionByName(least.select("node", F.col("low").alias("root"))).filter("node <> root").distinct(), "small-star")
+        new = after.join(current, ["node", "root"], "left_anti")
+        if after.count() == current.count() and new.isEmpty():
+            return after
+        current = after
+
 
+def _roots(firsts: DataFrame, edges: DataFrame) -> DataFrame:
+    """node and component_id for firsts(node, first_id), the smallest id of each component of edges."""
+    roots = components(edges).withColumnRenamed("node", "of")
+    labelled = firsts.join(roots, F.col("node") == F.col("of"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return materialize(labelled.join(smallest, "root").select("node", "component_id"), "members")
 
-def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """id, key (a hash of the text), fp and component_id of every row."""
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = whole_text(docs, text_col)
-    prints = materialize(fingerprints(docs.select(docs[id_col].alias("id"), text.alias("text"), F.xxhash64(text).alias("key"))), "fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct-fingerprints")
-    roots = components(links(nodes, max_bits))
-    labelled = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    firsts = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    members = materialize(labelled.join(firsts, "root").select("fp", "component_id"), "members")
-    return prints.join(members, "fp").select("id", "key", "fp", "component_id")
+    return docs.select(docs[id_col].alias("id"), text.alias("text"), F.xxhash64(text).alias("key"))
+
+
+def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, size: int = SHINGLE_WORDS) -> DataFrame:
+    """id, key (a hash of the text), fp and component_id of every row; fingerprints of `size`-word shingles link at max_bits or fewer."""
+    with small_batches(docs.sparkSession):
+        prints = materialize(fingerprints(_texts(docs, id_col, text_col), size), "fingerprints")
+    nodes = materialize(prints.groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("first_id")), "distinct-fingerprints")
+    members = _roots(nodes, links(nodes.select("node"), max_bits))
+    return prints.join(members, F.col("fp") == F.col("node")).select("id", "key", "fp", "component_id")
+
+
+def sets(rows: DataFrame, size: int) -> DataFrame:
+    """rows(id, text, key) with the set of shingles, its hash `node`, its wide fingerprint and weak bits in place of text; key is carried."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for whole in batches:
+            for k in range(0, len(whole), TEXTS):
+                batch = whole.slice(k, TEXTS)
+                found = [np.unique(shingle_hashes(t.as_py(), size)) for t in batch.column(1)]
+                nodes = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
+                prints = [wide_fingerprint(s) for s in found]
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts).astype(kind)))
+                    for parts, kind in (([p.view(np.int64) for p, _ in prints], np.int64), ([w.ravel() for _, w in prints], np.int16), ([s.view(np.int64) for s in found], np.int64))
+                ]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes), *lists], ["id", "key", "node", "fp", "weak", "shingles"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, key long, node long, fp array<long>, weak array<short>, shingles array<long>")
+
+
+def _ball_places(fp: Column, weak: Column) -> Column:
+    """The places that a wide fingerprint asks for and holds: in each segment, those of the values of its ball."""
+
+    def of_segment(k: Column) -> Column:
+        high, low = (F.shiftrightunsigned(F.get(fp, F.shiftright(k, 1)), at) for at in (32, 0))
+        value = F.when(k % 2 == 1, high).otherwise(low).bitwiseAND(F.lit((1 << 32) - 1))
+        own = value.bitwiseOR(F.shiftleft(k.cast("long"), 32))
+
+        def around(bits: Column) -> Column:
+            def flipped(subset: tuple[int, ...]) -> Column:
+                out = F.get(bits, 0)
+                for rank in subset:
+                    out = out.bitwiseXOR(F.get(bits, rank + 1))
+                return out
+
+            return F.array(*[flipped(s) for s in likely_differences()])
+
+        # The segment's value, and a number with each weak bit alone.
+        bits = F.concat(F.array(own), F.transform(F.slice(weak, k * WEAK + 1, WEAK), lambda b: F.pow(F.lit(2.0), b).cast("long")))
+        return F.transform(F.array(bits), around)[0]
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(WIDE_SEGMENTS - 1)), of_segment))
+
+
+def similar_links(nodes: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of nodes(node, fp, weak, shingles) whose sets have a Jaccard similarity of `least` or more, with the components of all that share a place."""
+    asked = nodes.select("node", F.explode(_ball_places(F.col("fp"), F.col("weak"))).alias("place"))
+    shared, bits = bloom.repeated(asked.select(F.xxhash64("place").alias("digest")), "digest")
+    found = bloom.probe(asked.withColumn("digest", F.xxhash64("place")), "digest", shared, bits).filter("maybe")
+    # The holder is drawn by the place's hash: the places themselves are alike above.
+    found = materialize(found.select("node", F.col("digest").alias("place"), F.lit(True).alias("holds")), "asked-places")
+    some = found.groupBy("place").agg(F.count("*").alias("n")).filter("n > 1").select("place")
+    slim = materialize(nodes.select("node", "fp", F.size("shingles").alias("n")), "wide-fingerprints")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        one, other = (slim.select(F.col("node").alias(n), F.col("fp").alias(f"fp_{n}"), F.col("n").alias(f"n_{n}")) for n in ("a", "b"))
+        distance = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
+        # Sets whose sizes differ more can't be that similar.
+        sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(least) - 1e-9
+        close = materialize(pairs.join(one, "a").join(other, "b").filter(sized & (distance <= MAX_DISTANCE)).select("a", "b"), "close-pairs")
+        left, right = (nodes.select(F.col("node").alias(n), F.col("shingles").alias(f"of_{n}")) for n in ("a", "b"))
+        both = F.size(F.array_intersect("of_a", "of_b"))
+        # Compared as a product, with room for the rounding of `least` alone.
+        enough = both >= (F.size("of_a") + F.size("of_b") - both) * F.lit(least) - 1e-9
+        return close.join(left, "a").join(right, "b").filter(enough).select("a", "b")
+
+    return _linked(found.join(some, "place"), near)
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = NEAR_WORDS, least: float = SIMILARITY) -> DataFrame:
+    """id, key (a hash of the text), fp (a hash of the set of shingles) and component_id of every row; sets of `size`-word shingles link at a Jaccard similarity of `least`."""
+    with small_batches(docs.sparkSession):
+        found = materialize(sets(_texts(docs, id_col, text_col), size), "shingles")
+    firsts = materialize(found.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("rows")), "distinct-sets")
+    # Of a set that comes once its only row is taken as it is; only repeated ones are grouped whole.
+    repeated = firsts.filter("rows > 1").select("node")
+    columns = ["fp", "weak", "shingles"]
+    single = found.join(repeated, "node", "left_anti").select("node", *columns)
+    again = found.join(repeated, "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in columns])
+    nodes = materialize(single.unionByName(again), "nodes")
+    members = _roots(firsts.select("node", "first_id"), similar_links(nodes, least))
+    return found.select("id", "key", "node").join(members, "node").select("id", "key", F.col("node").alias("fp"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """The document with the smallest id of each component, with the columns of docs."""
-    return keep_first(docs, clusters(docs, id_col, text_col, max_bits), id_col, text_col)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = NEAR_WORDS, least: float = SIMILARITY) -> DataFrame:
+    """The document with the smallest id of each group of near copies, with the columns of docs."""
+    return keep_first(docs, near_copies(docs, id_col, text_col, size, least), id_col, text_col)
 
 
 def keep_first(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each component of members, which is the outcome of clusters()."""
+    """The document with the smallest id of each component of members, which is the outcome of clusters() or near_copies()."""
     found = materialize(members, "clusters")
     heads = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("key").alias("head_key"), F.count("*").alias("n"), F.min("fp").alias("of_fp"))
     same = F.col("id").eqNullSafe(F.col("component_id"))

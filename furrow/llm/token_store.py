@@ -135,9 +135,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     with small_batches(spark):
         encoded = materialize(_encode(docs, tokenizer, end_id, width, id_col, text_col), "encoded")
 
-    bits = bloom.array_bits(encoded.agg(F.sum("n_chunks")).first()[0] or 0)
     addresses = encoded.select(F.explode("chunks").alias("chunk")).select(F.xxhash64("chunk").alias("digest"))
-    repeats = bloom.build(addresses, "digest", bits, at_least=2)
+    repeats, bits = bloom.repeated(addresses, "digest")
     chunks = encoded.select(F.inline(F.arrays_zip("chunks", "ids"))).select(F.col("chunks").alias("chunk"), (F.octet_length("ids") / width).cast("int").alias("n"), "ids")
     tested = bloom.probe(chunks.withColumn("digest", F.xxhash64("chunk")), "digest", repeats, bits)
     once = tested.filter(~F.col("maybe")).select("chunk", "n", "ids")

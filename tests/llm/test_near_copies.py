@@ -7,7 +7,7 @@ import pytest
 from conftest import DATA  # noqa: F401
 
 import corpus_pipeline
-from furrow.llm import minhash
+from furrow.llm import simhash
 
 
 def sets_of(texts):
@@ -57,4 +57,22 @@ def test_corpus_beside_jaccard(spark, documents):
 
 @pytest.mark.parametrize("size", [1, 3, 5])
 def test_shingle_length_is_a_parameter(size):
-    assert len(minhash.shingles("a b c d e f g", size)) == 8 - size
+    assert len(simhash.shingle_hashes("a b c d e f g", size)) == 8 - size
+
+
+@pytest.mark.parametrize("words, similarity, least", [(300, 0.8, 0.95), (300, 0.9, 0.99), (40, 0.8, 0.9)])
+def test_balls_find_pairs_of_the_least_similarity(words, similarity, least):
+    """The share of single pairs at just that similarity which share a value of a segment and pass the distance."""
+    rng, hits, pairs = np.random.default_rng(7), 0, 400
+    shared = round(2 * words * similarity / (1 + similarity))
+    template = simhash.likely_differences()
+    for _ in range(pairs):
+        drawn = rng.integers(0, 1 << 64, 2 * words - shared, dtype=np.uint64)
+        prints = [simhash.wide_fingerprint(drawn[:words]), simhash.wide_fingerprint(drawn[words - shared :])]
+        held = []
+        for fp, weak in prints:
+            values = fp.view("<u4")
+            held.append({(k, int(values[k]) ^ sum(1 << int(weak[k][i]) for i in subset)) for k in range(8) for subset in template})
+        distance = sum(int(a ^ b).bit_count() for a, b in zip(prints[0][0], prints[1][0], strict=True))
+        hits += bool(held[0] & held[1]) and distance <= simhash.MAX_DISTANCE
+    assert hits >= least * pairs

@@ -281,20 +281,44 @@ def reachable(prints, most):
     return {d: find(d) for d in ids}
 
 
-@pytest.mark.parametrize("most", [3, 12])
-def test_simhash_brute_force(documents, most, monkeypatch):
+def signed(p):
+    return p - (1 << 64) if p >> 63 else p
+
+
+def nodes_of(spark, prints):
+    return spark.createDataFrame([(signed(p),) for p in sorted(set(prints))], "node long")
+
+
+def test_simhash_brute_force(documents):
     prints = {d: fingerprint(t) for d, t in texts_of(documents).items()}
-    expected = reachable(prints, most)
-    monkeypatch.setattr(simhash, "SEGMENTS", 4)
-    nodes = documents.sparkSession.createDataFrame([(d, p - (1 << 64) if p >> 63 else p) for d, p in prints.items()], "id long, fp long")
-    if most == 3:
-        found = simhash.clusters(documents)
-        assert {r.id: (r.fp % (1 << 64), r.component_id) for r in found.collect()} == {d: (prints[d], expected[d]) for d in prints}
-        assert {r.doc_id for r in simhash.keep_one(documents).collect()} == set(expected.values())
-    else:  # more links: pairs over four segments with balls of three bits
-        pairs = simhash.links(nodes.select("fp").distinct(), most, segments=4)
-        wanted = {tuple(sorted((a - (1 << 64) if a >> 63 else a, b - (1 << 64) if b >> 63 else b))) for a in set(prints.values()) for b in set(prints.values()) if a < b and (a ^ b).bit_count() <= most}
-        assert {tuple(r) for r in pairs.collect()} == wanted
+    found = simhash.clusters(documents).collect()
+    expected = reachable(prints, 3)
+    assert {r.id: (r.fp % (1 << 64), r.component_id) for r in found} == {d: (prints[d], expected[d]) for d in prints}
+
+
+@pytest.mark.parametrize("most, segments", [(3, 2), (12, 4), (7, 3)])
+def test_links_have_the_components_of_all_pairs(spark, documents, most, segments):
+    prints = sorted({fingerprint(t) for t in texts_of(documents).values()})
+    pairs = simhash.links(nodes_of(spark, prints), most, segments).collect()
+    assert all(((r.a ^ r.b) % (1 << 64)).bit_count() <= most for r in pairs)
+    roots = {r.node: r.root for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    expected = reachable({signed(p): p for p in prints}, most)
+    assert {n: roots.get(n, n) for n in map(signed, prints)} == expected
+
+
+def test_a_crowded_ball_gives_few_links(spark):
+    """10,000 fingerprints, all with the same segment and within three bits of one or another."""
+    rng, high, seen = np.random.default_rng(2), [0], {0}
+    while len(high) < 10_000:  # each a bit from an earlier one, in the other segment
+        value = high[int(rng.integers(len(high)))] ^ 1 << int(rng.integers(32))
+        if value not in seen:
+            seen.add(value)
+            high.append(value)
+    prints = [h << 32 | 0x1234 for h in high]
+    pairs = simhash.links(nodes_of(spark, prints))
+    assert pairs.count() < 20 * len(prints)
+    roots = simhash.components(pairs).collect()
+    assert len({r.root for r in roots}) == 1 and len(roots) == len(prints) - 1
 
 
 def test_components_of_a_chain(spark):
@@ -311,10 +335,13 @@ def test_simhash_oddities(tricky, nothing):
     found = simhash.clusters(tricky).collect()
     assert len(found) == tricky.count()
     assert {r.component_id for r in found if r.fp == 0} == {0}
+    near = simhash.near_copies(tricky).collect()
+    assert len(near) == tricky.count()
     kept = simhash.keep_one(tricky)
     assert kept.columns == tricky.columns
-    by_component = Counter(r.component_id for r in found)
-    assert kept.count() == len(by_component)
+    assert kept.count() == len({r.component_id for r in near})
+    assert {r.component_id for r in near if r.id in (0, 1, 2, 12)} == {0}
+    assert {r.component_id for r in near if r.id in (4, 5, 6)} == {4} and len({r.fp for r in near if r.id in (4, 5, 6)}) == 2
     assert simhash.clusters(nothing).count() == 0 and simhash.keep_one(nothing).count() == 0
 
 
