@@ -12,8 +12,8 @@ Equal fingerprints (or sets of shingles) count once: what is joined grows with t
   links. Of pairs at a similarity of 0.8 about 98.5 % share a value in some segment, at 0.85 or 0.9 practically all of texts of 200 shingles; a
   group of copies has many pairs to be found by.
 
-The pairs of a value aren't all made. First each member is compared with one holder of the value, drawn anew for every value; what links is in
-one component and needs no comparison within it. Then members outside the component of that holder are compared with those of other components.
+The pairs of a value aren't all made. A value's head is its smallest holder. In ROUNDS rounds each node is compared with two of its values' heads; what links is in
+one component and needs no comparison within it. Then members outside the component of their head are compared with all of the value's members of other components.
 The result has the components of all pairs, while a large group of near copies stays linear. The links' connected
 components come from alternating rounds in which every node's neighbours move to the smallest one.
 
@@ -47,6 +47,8 @@ BLOCK = 1 << 14
 NEAR_WORDS, SIMILARITY = 5, 0.8
 WIDE_BITS, WIDE_SEGMENTS = 256, 8  # of 32 bits each
 WEAK, BALL = 10, 48
+#: How often nodes are compared with heads of their places before all that are left are.
+ROUNDS = 2
 MAX_DISTANCE = 64
 #: Texts whose sets are given on at a time.
 TEXTS = 500
@@ -151,16 +153,21 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 def _linked(members: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links with the components of all pairs (a, b) that near() keeps, among members(place, node, holds) of one place of which one at least holds it."""
-    # The holder nearest to the place's number by XOR: another one at every place.
-    drawn = members.filter("holds").groupBy("place").agg(F.min(F.col("node").bitwiseXOR(F.col("place"))).alias("low"))
-    heads = drawn.select("place", F.col("low").bitwiseXOR(F.col("place")).alias("head"))
-    shared = materialize(members.join(heads, "place"), "shared-places")
-    star = materialize(near(shared.filter("node <> head").select(*_ordered("node", "head")).distinct()), "first-links")
-    roots = components(star)
-    of_node = roots.select("node", F.col("root").alias("own"))
-    of_head = roots.select(F.col("node").alias("head"), F.col("root").alias("main"))
-    known = shared.join(of_node, "node", "left").join(of_head, "head", "left")
-    known = materialize(known.select("place", "node", "holds", F.coalesce("own", "node").alias("own"), F.coalesce("main", "head").alias("main")), "members-of-places")
+    heads = members.filter("holds").groupBy("place").agg(F.min("node").alias("head"))
+    known = materialize(members.join(heads, "place").select("*", F.col("node").alias("own"), F.col("head").alias("main")), "shared-places")
+    star = None
+    for _ in range(ROUNDS):
+        # Each node with the heads that stand at the most of its places: those likeliest to be near.
+        met = known.filter("own <> main").groupBy("node", "head").agg(F.count("*").alias("n"))
+        best = met.groupBy("node").agg(*[F.max(F.struct("n", "head")).alias("first"), F.min(F.struct((-F.col("n")).alias("n"), "head")).alias("second")])
+        pairs = best.select(F.explode(F.array("first.head", "second.head")).alias("head"), "node").select(*_ordered("node", "head")).distinct()
+        found = materialize(near(pairs), "first-links")
+        star = found if star is None else star.unionByName(found)
+        roots = components(star)
+        of_node = roots.select("node", F.col("root").alias("own"))
+        of_head = roots.select(F.col("node").alias("head"), F.col("root").alias("main"))
+        labelled = known.drop("own", "main").join(of_node, "node", "left").join(of_head, "head", "left")
+        known = materialize(labelled.select("place", "node", "holds", "head", F.coalesce("own", "node").alias("own"), F.coalesce("main", "head").alias("main")), "members-of-places")
     apart = known.filter("own <> main").select("place", F.col("node").alias("x"), F.col("holds").alias("x_holds"), F.col("own").alias("x_own"))
     rest = known.join(apart, "place").filter((F.col("own") != F.col("x_own")) & (F.col("holds") | F.col("x_holds")))
     return star.unionByName(near(materialize(rest.select(*_ordered("node", "x")).distinct(), "other-pairs")))
