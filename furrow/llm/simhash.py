@@ -12,8 +12,9 @@ Equal fingerprints (or sets of shingles) count once: what is joined grows with t
   links. Of pairs at a similarity of 0.8 about 98.5 % share a value in some segment, at 0.85 or 0.9 practically all of texts of 200 shingles; a
   group of copies has many pairs to be found by.
 
-The pairs of a value aren't all made. A value's head is its smallest holder. In ROUNDS rounds each node is compared with two of its values' heads; what links is in
-one component and needs no comparison within it. Then members outside the component of their head are compared with all of the value's members of other components.
+The pairs of a value aren't all made. In ROUNDS rounds a value has a head among its holders, first the one that lies most in the middle (by how many come upon its own values), then another one for
+every value, and each node is compared with up to three of its values' heads; what links is in one component and needs no comparison within it. Then members outside the
+component of their head are compared with all of the value's members of other components.
 The result has the components of all pairs, while a large group of near copies stays linear. The links' connected
 components come from alternating rounds in which every node's neighbours move to the smallest one.
 
@@ -152,22 +153,31 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 
 def _linked(members: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links with the components of all pairs (a, b) that near() keeps, among members(place, node, holds) of one place of which one at least holds it."""
-    heads = members.filter("holds").groupBy("place").agg(F.min("node").alias("head"))
-    known = materialize(members.join(heads, "place").select("*", F.col("node").alias("own"), F.col("head").alias("main")), "shared-places")
+    """Links with the components of all pairs (a, b) that near() keeps, among members(place, node, holds, own_value) of one place of which one at least holds it."""
+    members = materialize(members, "members-of-places")
+    crowds = members.groupBy("place").agg(F.count("*").alias("crowd"))
+    # A node whose own values many others come upon lies in the middle of a group: the likeliest to be near the others.
+    centrality = members.filter("own_value").join(crowds, "place").groupBy("node").agg(F.sum("crowd").alias("central"))
+    ranked = members.filter("holds").join(centrality, "node").select("place", "node", "central")
+    known = members.withColumns({"own": F.col("node"), "main": F.lit(None).cast("long"), "head": F.lit(None).cast("long")})
     star = None
-    for _ in range(ROUNDS):
-        # Each node with the heads that stand at the most of its places: those likeliest to be near.
-        met = known.filter("own <> main").groupBy("node", "head").agg(F.count("*").alias("n"))
-        best = met.groupBy("node").agg(*[F.max(F.struct("n", "head")).alias("first"), F.min(F.struct((-F.col("n")).alias("n"), "head")).alias("second")])
-        pairs = best.select(F.explode(F.array("first.head", "second.head")).alias("head"), "node").select(*_ordered("node", "head")).distinct()
+    for turn in range(ROUNDS):
+        # After the middle ones, heads that differ from place to place.
+        order = F.struct("central", -F.col("node")) if turn == 0 else F.struct(F.xxhash64("place", "node", F.lit(turn)), "node")
+        heads = ranked.groupBy("place").agg(F.max_by("node", order).alias("new_head"))
+        left = known.filter("main IS NULL OR own <> main").select("place", "node").join(heads, "place").filter("node <> new_head")
+        # Each node with the heads that stand at the most of its places.
+        met = left.groupBy("node", F.col("new_head").alias("head")).agg(F.count("*").alias("n"))
+        best = met.groupBy("node").agg(F.max(F.struct("n", "head"))["head"].alias("first"), F.min(F.struct((-F.col("n")).alias("n"), "head"))["head"].alias("second"), F.max_by("head", F.xxhash64("head")).alias("third"))
+        pairs = best.select(F.explode(F.array("first", "second", "third")).alias("head"), "node").select(*_ordered("node", "head")).distinct()
         found = materialize(near(pairs), "first-links")
         star = found if star is None else star.unionByName(found)
         roots = components(star)
         of_node = roots.select("node", F.col("root").alias("own"))
         of_head = roots.select(F.col("node").alias("head"), F.col("root").alias("main"))
-        labelled = known.drop("own", "main").join(of_node, "node", "left").join(of_head, "head", "left")
-        known = materialize(labelled.select("place", "node", "holds", "head", F.coalesce("own", "node").alias("own"), F.coalesce("main", "head").alias("main")), "members-of-places")
+        labelled = members.join(ranked.groupBy("place").agg(F.max_by("node", F.struct("central", -F.col("node"))).alias("head")), "place")
+        labelled = labelled.join(of_node, "node", "left").join(of_head, "head", "left")
+        known = materialize(labelled.select("place", "node", "holds", "head", F.coalesce("own", "node").alias("own"), F.coalesce("main", "head").alias("main")), "rooted-members")
     apart = known.filter("own <> main").select("place", F.col("node").alias("x"), F.col("holds").alias("x_holds"), F.col("own").alias("x_own"))
     rest = known.join(apart, "place").filter((F.col("own") != F.col("x_own")) & (F.col("holds") | F.col("x_holds")))
     return star.unionByName(near(materialize(rest.select(*_ordered("node", "x")).distinct(), "other-pairs")))
@@ -178,7 +188,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS)
     bits = bloom.array_bits(nodes.count() * segments)
     asked = asked_places(nodes, max_bits, segments)
     held = bloom.build(asked_places(nodes, 0, segments).select("place"), "place", bits)
-    found = materialize(bloom.probe(asked, "place", held, bits).filter("maybe").select("node", "place", "holds"), "asked-places")
+    found = materialize(bloom.probe(asked, "place", held, bits).filter("maybe").select("node", "place", "holds", F.col("holds").alias("own_value")), "asked-places")
     # Places with one member, its own holder, have no pairs.
     some = found.groupBy("place").agg(F.count("*").alias("n"), F.max("holds").alias("held")).filter("n > 1 AND held").select("place")
     return _linked(found.join(some, "place"), lambda pairs: pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
@@ -273,11 +283,10 @@ def _ball_places(fp: Column, weak: Column) -> Column:
 
 def similar_links(nodes: DataFrame, least: float) -> DataFrame:
     """Links (a, b) of nodes(node, fp, weak, shingles) whose sets have a Jaccard similarity of `least` or more, with the components of all that share a place."""
-    asked = nodes.select("node", F.explode(_ball_places(F.col("fp"), F.col("weak"))).alias("place"))
+    asked = nodes.select("node", F.posexplode(_ball_places(F.col("fp"), F.col("weak"))).alias("number", "place"))
     shared, bits = bloom.repeated(asked.select(F.xxhash64("place").alias("digest")), "digest")
     found = bloom.probe(asked.withColumn("digest", F.xxhash64("place")), "digest", shared, bits).filter("maybe")
-    # The holder is drawn by the place's hash: the places themselves are alike above.
-    found = materialize(found.select("node", F.col("digest").alias("place"), F.lit(True).alias("holds")), "asked-places")
+    found = materialize(found.select("node", F.col("digest").alias("place"), F.lit(True).alias("holds"), (F.col("number") % BALL == 0).alias("own_value")), "asked-places")
     some = found.groupBy("place").agg(F.count("*").alias("n")).filter("n > 1").select("place")
     slim = materialize(nodes.select("node", "fp", F.size("shingles").alias("n")), "wide-fingerprints")
 
