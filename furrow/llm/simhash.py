@@ -281,22 +281,25 @@ def _ball_places(fp: Column, weak: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(WIDE_SEGMENTS - 1)), of_segment))
 
 
-def similar_links(nodes: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) of nodes(node, fp, weak, shingles) whose sets have a Jaccard similarity of `least` or more, with the components of all that share a place."""
+def similar_links(nodes: DataFrame, sets_of: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of nodes(node, fp, weak, n) whose sets_of(node, shingles) have a Jaccard similarity of `least` or more, with the components of all that share a place."""
     asked = nodes.select("node", F.posexplode(_ball_places(F.col("fp"), F.col("weak"))).alias("number", "place"))
     shared, bits = bloom.repeated(asked.select(F.xxhash64("place").alias("digest")), "digest")
     found = bloom.probe(asked.withColumn("digest", F.xxhash64("place")), "digest", shared, bits).filter("maybe")
     found = materialize(found.select("node", F.col("digest").alias("place"), F.lit(True).alias("holds"), (F.col("number") % BALL == 0).alias("own_value")), "asked-places")
     some = found.groupBy("place").agg(F.count("*").alias("n")).filter("n > 1").select("place")
-    slim = materialize(nodes.select("node", "fp", F.size("shingles").alias("n")), "wide-fingerprints")
 
     def near(pairs: DataFrame) -> DataFrame:
-        one, other = (slim.select(F.col("node").alias(n), F.col("fp").alias(f"fp_{n}"), F.col("n").alias(f"n_{n}")) for n in ("a", "b"))
+        one, other = (nodes.select(F.col("node").alias(n), F.col("fp").alias(f"fp_{n}"), F.col("n").alias(f"n_{n}")) for n in ("a", "b"))
         distance = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
         # Sets whose sizes differ more can't be that similar.
         sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(least) - 1e-9
         close = materialize(pairs.join(one, "a").join(other, "b").filter(sized & (distance <= MAX_DISTANCE)).select("a", "b"), "close-pairs")
-        left, right = (nodes.select(F.col("node").alias(n), F.col("shingles").alias(f"of_{n}")) for n in ("a", "b"))
+        # Only the sets of these pairs, and a few by chance, move.
+        wanted = materialize(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted-sets")
+        bits = bloom.array_bits(wanted.count())
+        held = bloom.probe(sets_of.withColumn("digest", F.xxhash64("node")), "digest", bloom.build(wanted.select(F.xxhash64("node").alias("digest")), "digest", bits), bits).filter("maybe")
+        left, right = (held.select(F.col("node").alias(n), F.col("shingles").alias(f"of_{n}")) for n in ("a", "b"))
         both = F.size(F.array_intersect("of_a", "of_b"))
         # Compared as a product, with room for the rounding of `least` alone.
         enough = both >= (F.size("of_a") + F.size("of_b") - both) * F.lit(least) - 1e-9
@@ -310,13 +313,19 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with small_batches(docs.sparkSession):
         found = materialize(sets(_texts(docs, id_col, text_col), size), "shingles")
     firsts = materialize(found.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("rows")), "distinct-sets")
-    # Of a set that comes once its only row is taken as it is; only repeated ones are grouped whole.
-    repeated = firsts.filter("rows > 1").select("node")
-    columns = ["fp", "weak", "shingles"]
-    single = found.join(repeated, "node", "left_anti").select("node", *columns)
-    again = found.join(repeated, "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in columns])
-    nodes = materialize(single.unionByName(again), "nodes")
-    members = _roots(firsts.select("node", "first_id"), similar_links(nodes, least))
+    # A set that comes once is taken as it stands; only rows of repeated ones, and a few by chance, are grouped.
+    repeated = firsts.filter("rows > 1").select(F.xxhash64("node").alias("digest"))
+    bits = bloom.array_bits(repeated.count())
+    tested = bloom.probe(found.withColumn("digest", F.xxhash64("node")), "digest", bloom.build(repeated, "digest", bits), bits)
+
+    def once(*columns: Column) -> DataFrame:
+        rows = tested.select("node", "maybe", *columns)
+        names = rows.columns[2:]
+        again = rows.filter("maybe").groupBy("node").agg(*[F.first(n).alias(n) for n in names])
+        return rows.filter(~F.col("maybe")).select("node", *names).unionByName(again)
+
+    nodes = materialize(once(F.col("fp"), F.col("weak"), F.size("shingles").alias("n")), "nodes")
+    members = _roots(firsts.select("node", "first_id"), similar_links(nodes, once(F.col("shingles")), least))
     return found.select("id", "key", "node").join(members, "node").select("id", "key", F.col("node").alias("fp"), "component_id")
 
 
