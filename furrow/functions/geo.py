@@ -127,6 +127,24 @@ def class_widths(classes: int, low: float = 1.5, high: float = 6.0) -> list[floa
     return [low + (high - low) * (k / (classes - 1) if classes > 1 else 0.0) for k in range(classes)]
 
 
+# Dashes from the lightest to the densest class.
+DASHES = ["1 10", "1 7", "1 5", "1 3.5", "1 2.5", "1 2", "1 1.6", "1 1.3", "1 1.1"]
+# The map's first view and the screen it is meant for.
+FIRST_SCALE, FIRST_LATITUDE, DPI, INCHES_PER_METRE, BASE_RESOLUTION = 100_000_000, 20.0, 96, 39.37, 156543.03392804097
+
+
+def class_dashes(classes: int) -> list[str]:
+    """A dash pattern for each class, three at least and nine at most."""
+    return DASHES[: max(3, min(len(DASHES), classes))]
+
+
+def initial_zoom(scale: float = FIRST_SCALE, latitude: float = FIRST_LATITUDE) -> float:
+    """The zoom, to a tenth, at which a map has a scale's denominator at a latitude."""
+    metres = scale / (DPI * INCHES_PER_METRE)
+    zoom = math.log2(BASE_RESOLUTION * math.cos(math.radians(latitude)) / metres)
+    return max(0.0, min(22.0, math.floor(zoom * 10 + 0.5) / 10))
+
+
 def legend_labels(breaks: Column) -> Column:
     """low – high with two decimals for each class."""
     return F.transform(F.sequence(F.lit(0), F.size(breaks) - 2), lambda i: F.format_string("%.2f – %.2f", F.get(breaks, i), F.get(breaks, i + 1)))

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import hmac
 import json
 import unicodedata
+from collections.abc import Callable
 from hashlib import sha256
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import StringType
 
 from furrow.functions import js
 
@@ -136,6 +136,12 @@ def ymd(epoch_ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(epoch_ms), "yyyy-MM-dd")
 
 
+def local_minutes(epoch_ms: Column, zone: str) -> Column:
+    """A date and time of a zone as an input field takes it, to the minute; empty for anything but a number."""
+    shown = F.date_format(F.from_utc_timestamp(F.timestamp_millis(epoch_ms.try_cast("long")), zone), "yyyy-MM-dd'T'HH:mm")
+    return F.coalesce(shown, F.lit(""))
+
+
 def password_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
@@ -164,16 +170,17 @@ def mask_json(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-def signature_holds(secret: str):
-    """A function of (body, signature) columns: whether the signature is sha256=HMAC of the body."""
+def signature(secret: str, body: Column) -> Column:
+    """sha256= and the HMAC-SHA256 of a body as hexadecimal: two hashes over the key's pads of 64 bytes."""
+    key = secret.encode()
+    key = (sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in key)) for pad in (0x36, 0x5C))
+    first = F.sha2(F.concat(inner, F.encode(F.coalesce(body, F.lit("")), "UTF-8")), 256)
+    return F.concat(F.lit("sha256="), F.sha2(F.concat(outer, F.unhex(first)), 256))
 
-    @F.pandas_udf(BooleanType())
-    def check(body: pd.Series, signature: pd.Series) -> pd.Series:
-        made = ["sha256=" + hmac.new(secret.encode(), (b or "").encode(), sha256).hexdigest() for b in body]
-        return pd.Series([hmac.compare_digest(m, s or "") for m, s in zip(made, signature, strict=True)])
 
-    return check
+def signature_holds(secret: str) -> Callable[[Column, Column], Column]:
+    """A function of (body, signature) columns: whether the signature is that of the body."""
+    return lambda body, given: F.coalesce(signature(secret, body) == given, F.lit(False))
 
 
-def first_nonblank(*texts: Column) -> Column:
-    return F.coalesce(*[js.nonblank(t) for t in texts])

@@ -14,9 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions import js
+from furrow.operators.quantiles import exact_quantiles
 
 #: Features looked at for names, for kinds and for classes.
 NAME_SAMPLE, KIND_SAMPLE, CLASS_SAMPLE = 50, 200, 5000
+#: Different values of a group that one task holds.
+MAX_VALUES = 1 << 16
 NUMERIC_SHARE = 0.6
 POPUP_FIELDS = 12
 
@@ -49,6 +52,15 @@ def field_kind(esri_type: Column) -> Column:
     return F.when(t.contains("date"), "date").when(numbers, "number").otherwise("text")
 
 
+def guessed_kind(esri_type: str | None, value_type: str) -> str:
+    """The kind of a field by its service's type, or by the Spark type of its values where that says nothing."""
+    known = (esri_type or "").lower()
+    if "date" in known:
+        return "date"
+    numbers = ("int", "bigint", "smallint", "tinyint", "double", "float")
+    return "number" if any(t in known for t in ("integer", "double", "single")) or value_type in numbers or value_type.startswith("decimal") else "text"
+
+
 def top_categories(features: DataFrame, column: str, k: int, sample: int | None = None) -> DataFrame:
     """The k (2 to 12) most frequent values, ties by value."""
     k = max(2, min(12, k))
@@ -67,32 +79,50 @@ def equal_breaks(values: DataFrame, column: str, classes: int) -> DataFrame:
 
 def quantile_breaks(values: DataFrame, column: str, classes: int) -> DataFrame:
     """One row: the limits of classes of equal count, between values by linear interpolation."""
-    return values.agg(F.percentile(column, F.array(*[F.lit(i / classes) for i in range(classes + 1)])).alias("breaks"))
+    return exact_quantiles(values, column, [i / classes for i in range(classes + 1)]).withColumnRenamed("quantiles", "breaks")
 
 
-def natural_breaks(values: np.ndarray, classes: int) -> list[float]:
+def natural_breaks(values: np.ndarray, classes: int, weights: np.ndarray | None = None) -> list[float]:
     """Class limits of least squared deviation within classes; an inner limit is the first value of the class above it.
 
-    With fewer values than classes there are as many classes as values. Values are sorted; the cost of a
-    class comes from prefix sums, and each further class is one vectorised pass over the split points.
+    Values may come with weights, the number of rows that have them. With fewer values than classes there are as many classes as values. The cost of a class comes from
+    prefix sums; as the best split never moves down while the end moves up, the middle end of a range bounds the splits of both halves, and a further class costs n log n.
     """
-    x = np.sort(np.asarray(values, dtype=float))
-    n = len(x)
-    if n == 0:
+    x = np.asarray(values, dtype=float)
+    w = np.ones(len(x)) if weights is None else np.asarray(weights, dtype=float)
+    order = np.argsort(x, kind="stable")
+    x, w = x[order], w[order]
+    if len(x) == 0:
         return []
-    classes = max(1, min(classes, n))
-    total, square = np.concatenate([[0.0], np.cumsum(x)]), np.concatenate([[0.0], np.cumsum(x * x)])
-    ends = np.arange(1, n + 1)
-    best = square[1:] - total[1:] ** 2 / ends  # of the first `end` values in one class
+    rows = int(w.sum())
+    classes = max(1, min(classes, rows))
+    # Equal values can be parted only where there are fewer values than classes.
+    n = len(x)
+    if n < classes:
+        x, w = np.repeat(x, w.astype(np.int64).clip(max=classes)), None
+        w, n = np.ones(len(x)), len(x)
+        classes = min(classes, n)
+    shift = np.average(x, weights=w)
+    count, total, square = (np.concatenate([[0.0], np.cumsum(v)]) for v in (w, w * (x - shift), w * (x - shift) ** 2))
+
+    def within(at: np.ndarray | int, end: int) -> np.ndarray:
+        return square[end] - square[at] - (total[end] - total[at]) ** 2 / (count[end] - count[at])
+
+    best = np.array([within(0, end) for end in range(1, n + 1)])  # of the first `end` values in one class
     splits = []
     for k in range(2, classes + 1):
         cost, split = np.full(n, np.inf), np.zeros(n, dtype=np.int64)
-        for end in range(k, n + 1):
-            at = np.arange(k - 1, end)  # the last class holds x[at:end]
-            within = square[end] - square[at] - (total[end] - total[at]) ** 2 / (end - at)
-            both = best[at - 1] + within
+        ranges = [(k, n, k - 1, n - 1)]
+        while ranges:
+            low, high, first, last = ranges.pop()
+            if low > high:
+                continue
+            end = (low + high) // 2
+            at = np.arange(max(first, k - 1), min(last, end - 1) + 1)  # the last class holds x[at:end]
+            both = best[at - 1] + within(at, end)
             pick = int(np.argmin(both))  # of equal costs the widest last class
             cost[end - 1], split[end - 1] = both[pick], at[pick]
+            ranges += [(low, end - 1, first, int(at[pick])), (end + 1, high, int(at[pick]), last)]
         best = cost
         splits.append(split)
     inner, end = [], n
@@ -102,13 +132,23 @@ def natural_breaks(values: np.ndarray, classes: int) -> list[float]:
     return [float(x[0]), *reversed(inner), float(x[-1])]
 
 
-def natural_breaks_by(values: DataFrame, by: list[str], column: str, classes: int, sample: int = CLASS_SAMPLE) -> DataFrame:
-    """Natural breaks of the first `sample` values (by seq) of each group; the sample bounds what one task holds."""
-    first = Window.partitionBy(*by).orderBy("seq")
-    bounded = values.filter(F.col(column).isNotNull()).withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= sample).select(*by, column)
+def natural_breaks_by(values: DataFrame, by: list[str], column: str, classes: int, sample: int | None = None, most: int = MAX_VALUES) -> DataFrame:
+    """Natural breaks of all values of each group, or of the first `sample` by seq.
+
+    Equal values are counted first, so a task holds a group's different values, not its rows. A group with more than `most` of them has its range cut into
+    `most` equal steps and each step's values taken as their smallest with all their rows, so limits are exact to a step.
+    """
+    held = values.filter(F.col(column).isNotNull())
+    if sample is not None:
+        held = held.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("seq"))).filter(F.col("nth") <= sample)
+    counted = held.groupBy(*by, F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("weight"))
+    ranges = counted.groupBy(*by).agg(F.count(F.lit(1)).alias("distinct"), F.min("value").alias("low"), F.max("value").alias("high"))
+    step = F.least(F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * most), F.lit(most - 1)).cast("double")
+    dealt = counted.join(ranges, by).withColumn("step", F.when(F.col("distinct") <= most, F.col("value")).otherwise(step))
+    bounded = dealt.groupBy(*by, "step").agg(F.min("value").alias("value"), F.sum("weight").alias("weight")).select(*by, "value", "weight")
 
     def breaks(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*rows.iloc[0][by], natural_breaks(rows[column].to_numpy(), classes)]], columns=[*by, "breaks"])
+        return pd.DataFrame([[*rows.iloc[0][by], natural_breaks(rows["value"].to_numpy(), classes, rows["weight"].to_numpy())]], columns=[*by, "breaks"])
 
     schema = ", ".join([*(f"{n} {t}" for n, t in bounded.dtypes if n in by), "breaks array<double>"])
     return bounded.groupBy(*by).applyInPandas(breaks, schema)
@@ -126,7 +166,7 @@ def above_threshold(values: DataFrame, column: str, quantile: float = 0.8, thres
     """Rows at or above the threshold, by default a quantile of all values."""
     if threshold is not None:
         return values.filter(F.col(column) >= threshold)
-    limit = values.agg(F.percentile(column, F.lit(quantile)).alias("threshold"))
+    limit = exact_quantiles(values, column, [quantile]).select(F.get("quantiles", 0).alias("threshold"))
     return values.join(F.broadcast(limit), F.col(column) >= F.col("threshold")).drop("threshold")  # one row
 
 

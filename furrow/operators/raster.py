@@ -14,6 +14,17 @@ from furrow.functions import indices
 from furrow.functions.js import quantised
 
 
+def client_search(scenes: DataFrame, collection: str, start: str, end: str, max_cloud: float, view: tuple[float, float, float, float] | None = None, area: tuple[float, float, float, float] | None = None, limit: int = 20) -> DataFrame:
+    """The newest scenes of one collection from the start of a day to the last second of another; an area goes before the view. Without either ValueError."""
+    if area is None and view is None:
+        raise ValueError("an area or a view is needed")
+    bounds = [F.lit(f"{day} {time}").cast("timestamp") for day, time in ((start, "00:00:00"), (end, "23:59:59"))]
+    west, south, east, north = area or view
+    found = scenes.filter((F.col("collection") == collection) & F.col("datetime").cast("timestamp").between(*bounds) & (F.col("cloud_cover") < max_cloud))
+    found = found.filter((F.col("west") <= east) & (F.col("east") >= west) & (F.col("south") <= north) & (F.col("north") >= south))
+    return found.orderBy(F.col("datetime").desc(), "scene_id").limit(limit)
+
+
 def search_scenes(scenes: DataFrame, start: str | date, end: str | date, max_cloud: float = 20.0, bbox: tuple[float, float, float, float] | None = None, closed: bool = True, limit: int | None = None) -> DataFrame:
     """Scenes of a period with cloud cover below max_cloud, overlapping bbox (west, south, east, north).
 
@@ -67,6 +78,14 @@ def region_mean(pixels: DataFrame, value: Column) -> DataFrame:
     return pixels.agg(quantised(F.avg(value)).alias("mean"))
 
 
+def composite(pixels: DataFrame, name: str) -> DataFrame:
+    """Adds red, green and blue: the bands of a composite; a band that the pixels lack is null."""
+    if name not in indices.COMPOSITES:
+        raise ValueError(f"unknown composite {name!r}; known: {', '.join(indices.COMPOSITES)}")
+    held = [F.col(b) if b in pixels.columns else F.lit(None).cast("double") for b in indices.COMPOSITES[name]]
+    return pixels.withColumns(dict(zip(("red", "green", "blue"), held, strict=True)))
+
+
 def clamp_date(value: Column, start: Column, end: Column) -> Column:
     """A date brought into [start, end]."""
     return F.least(F.greatest(value, start), end)

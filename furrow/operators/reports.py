@@ -49,6 +49,14 @@ def fertigation_statistics(entries: DataFrame, by: list[str] = ()) -> DataFrame:
     )
 
 
+def print_statistics(entries: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Count, water and the first and last date of a printed report; dates that can't be read don't count, N/A where there are none."""
+    date = F.col("date").try_cast("timestamp")
+    shown = [F.coalesce(F.date_format(f(date), "yyyy-MM-dd"), F.lit("N/A")).alias(n) for f, n in ((F.min, "first_date"), (F.max, "last_date"))]
+    water = F.coalesce(js.parse_float(F.col("total_water")), F.lit(0.0))
+    return entries.groupBy(*by).agg(F.count(F.lit(1)).alias("entries"), js.fixed(js.quantised(F.sum(water), 2), 2).alias("water"), *shown)
+
+
 def report_filter(entries: DataFrame, start: str | None = None, end: str | None = None, **equal: str) -> DataFrame:
     """Rows from start to the midnight of end (open where blank) whose columns equal what isn't blank; rows without a date are out."""
     at = F.col("date").cast("timestamp")

@@ -18,6 +18,13 @@ PREFIXES = ("arcgis:", "geojson:", "url:")
 PERMISSIONS = {"dataSource.update": ("Manager",), "admin.users.manage": ("Manager", "Admin Manager")}
 
 
+# What is said about a name or length that can't be.
+NAME_REQUIRED = "Field name is required."
+NAME_MALFORMED = "Field name must start with a letter/underscore and contain only letters, numbers, and underscores."
+NAME_TAKEN = "Field name already exists."
+LENGTH_MALFORMED = "Length must be a positive number."
+
+
 def visible(rows: DataFrame, hidden: list[str]) -> DataFrame:
     """Without the hidden columns; names that aren't there are ignored."""
     return rows.select(*[F.col(f"`{c}`") for c in rows.columns if c not in hidden])
@@ -27,17 +34,17 @@ def field_problem(name: str, existing: list[str], kind: str = "text", length: st
     """Why a column can't have this name, kind and length, or None."""
     name = " ".join(name.split())
     if not name:
-        return "Field name is required."
+        return NAME_REQUIRED
     if not FIELD_NAME.match(name):
-        return "Field name must start with a letter/underscore and contain only letters, numbers, and underscores."
+        return NAME_MALFORMED
     if name.lower() in [e.lower() for e in existing if e != renamed]:
-        return "Field name already exists."
+        return NAME_TAKEN
     if kind == "text" and length.strip():
         try:
             good = 0 < float(length) < float("inf")
         except ValueError:
             good = False
-        return None if good else "Length must be a positive number."
+        return None if good else LENGTH_MALFORMED
     return None
 
 

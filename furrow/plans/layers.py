@@ -9,6 +9,8 @@ from furrow.functions import geo, js
 from furrow.operators import layers
 from furrow.plans.tables import table
 
+JENKS_CLASSES = 4
+
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
@@ -52,7 +54,8 @@ def threshold_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def breaks_jenks(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seq"), "c_mktsegment", "c_acctbal")
-    return layers.natural_breaks_by(customers, ["c_mktsegment"], "c_acctbal", 4)
+    found = layers.natural_breaks_by(customers, ["c_mktsegment"], "c_acctbal", JENKS_CLASSES)
+    return found.select("c_mktsegment", F.posexplode("breaks").alias("place", "value")).select("c_mktsegment", "place", js.quantised(F.col("value")).alias("value"))
 
 
 def eav_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,12 +105,29 @@ def field_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (field_discovery, numeric_fields, category_topk, breaks_equal, breaks_quantile, class_index, threshold_features, breaks_jenks, eav_unpivot, eav_last_wins, popup_fields, feature_key, bbox_agg, scale_zoom, wkt_to_coords, field_kinds)}
+# Least squares by levels: cost and first value of the last class of the first j values in k classes; the smallest split of equal costs.
+_JENKS = (
+    """WITH v AS MATERIALIZED (SELECT c_mktsegment AS g, c_acctbal::DOUBLE AS x, row_number() OVER w AS i, sum(c_acctbal::DOUBLE) OVER w AS s, sum(c_acctbal::DOUBLE * c_acctbal::DOUBLE) OVER w AS q FROM customer
+        WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey ROWS UNBOUNDED PRECEDING)), p AS MATERIALIZED (SELECT g, i, s, q FROM v UNION ALL SELECT DISTINCT g, 0, 0, 0 FROM v),
+        k1 AS MATERIALIZED (SELECT g, i AS j, q - s * s / i AS c, 0::BIGINT AS a FROM v)"""
+    + "".join(
+        f""", k{k} AS MATERIALIZED (SELECT b.g, b.i AS j, min(l.c + (b.q - p.q) - (b.s - p.s) * (b.s - p.s) / (b.i - p.i)) AS c, arg_min(l.j, l.c + (b.q - p.q) - (b.s - p.s) * (b.s - p.s) / (b.i - p.i)) AS a
+            FROM k{k - 1} l JOIN p ON p.g = l.g AND p.i = l.j JOIN v b ON b.g = l.g AND b.i > l.j WHERE l.j >= {k - 1} GROUP BY ALL)"""
+        for k in range(2, JENKS_CLASSES + 1)
+    )
+    + f""", e{JENKS_CLASSES} AS (SELECT g, max(i) AS j FROM v GROUP BY g)"""
+    + "".join(f", e{k - 1} AS (SELECT l.g, l.a AS j FROM k{k} l JOIN e{k} ON l.g = e{k}.g AND l.j = e{k}.j)" for k in range(JENKS_CLASSES, 1, -1))
+    + """ SELECT g AS c_mktsegment, 0::INT AS place, floor(min(x) * 1e6 + 0.5) / 1e6 AS value FROM v GROUP BY g"""
+    + "".join(f" UNION ALL SELECT v.g, {k}, floor(v.x * 1e6 + 0.5) / 1e6 FROM v JOIN e{k} ON v.g = e{k}.g AND v.i = e{k}.j + 1" for k in range(1, JENKS_CLASSES))
+    + f" UNION ALL SELECT g, {JENKS_CLASSES}, floor(max(x) * 1e6 + 0.5) / 1e6 FROM v GROUP BY g"
+)
 ORACLES = {
     "field_discovery": "SELECT unnest(['p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']) AS field",
     "numeric_fields": """SELECT field FROM (SELECT field, avg((try_cast(value AS DOUBLE) IS NOT NULL)::INT) AS share FROM (
         SELECT unnest(['p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']) AS field, unnest([p_name, p_brand, p_type, p_size::VARCHAR, p_retailprice::VARCHAR]) AS value FROM part) GROUP BY field) WHERE share >= 0.6""",
     "category_topk": "SELECT p_brand, count(*) AS features FROM part WHERE p_brand <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12",
     "breaks_equal": "SELECT i::INT AS place, floor((l + (h - l) * i / 5) * 1e6 + 0.5) / 1e6 AS value FROM (SELECT min(c_acctbal) AS l, max(c_acctbal) AS h FROM customer), generate_series(0, 5) AS g(i)",
+    "breaks_jenks": _JENKS,
     "breaks_quantile": """SELECT (generate_subscripts(b, 1) - 1)::INT AS place, floor(unnest(b) * 1e6 + 0.5) / 1e6 AS value
         FROM (SELECT quantile_cont(c_acctbal, [0.0::DOUBLE, 0.2::DOUBLE, 0.4::DOUBLE, 0.6::DOUBLE, 0.8::DOUBLE, 1.0::DOUBLE]) AS b FROM customer)""",
     "class_index": """SELECT CASE WHEN c_acctbal >= 1000 AND c_acctbal < 3000 THEN 0 WHEN c_acctbal >= 3000 AND c_acctbal < 5000 THEN 1 ELSE 2 END::INT AS class, count(*) AS features,

@@ -83,7 +83,7 @@ def insert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    patch = table(spark, sf_dir, "customer").filter("c_custkey % 5 = 0").select("c_custkey", F.lit(None).cast("string").alias("c_name"), F.lit("PATCHED").alias("c_mktsegment"), F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("c_name"))).otherwise(F.array(F.lit("c_mktsegment"))).alias("patched"))
+    patch = table(spark, sf_dir, "customer").filter("c_custkey % 5 = 0").select("c_custkey", F.lit(1).alias("seq"), F.lit(None).cast("string").alias("c_name"), F.lit("PATCHED").alias("c_mktsegment"), F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("c_name"))).otherwise(F.array(F.lit("c_mktsegment"))).alias("patched"))
     return catalog.merge(base, patch, "c_custkey", ["c_name", "c_mktsegment"])
 
 
@@ -213,7 +213,7 @@ ORACLES = {
     "page_window": "SELECT c_custkey, c_name, (SELECT count(*) FROM customer) AS total FROM customer ORDER BY c_custkey LIMIT 25 OFFSET 50",
     "ranked_suggest": """SELECT s_name, CASE WHEN t = a THEN 1000 WHEN starts_with(t, a) THEN 900 ELSE 800 END::INT AS score
         FROM (SELECT s_name, regexp_replace(upper(s_name), '[^A-Z0-9]', '', 'g') AS t, 'SUPPLIER0000000' AS a FROM supplier) WHERE contains(t, a) ORDER BY score DESC, length(s_name), s_name LIMIT 20""",
-    "natural_sort": "SELECT valve, 'v' || lpad(c_custkey::VARCHAR, 12, '0') || CASE WHEN c_nationkey % 2 = 0 THEN 'b' ELSE '' END AS sort_key FROM (SELECT *, 'V' || c_custkey || CASE WHEN c_nationkey % 2 = 0 THEN 'b' ELSE '' END AS valve FROM customer)",
+    "natural_sort": "SELECT valve, 'v' || lpad(len(c_custkey::VARCHAR)::VARCHAR, 9, '0') || c_custkey || CASE WHEN c_nationkey % 2 = 0 THEN 'b' ELSE '' END AS sort_key FROM (SELECT *, 'V' || c_custkey || CASE WHEN c_nationkey % 2 = 0 THEN 'b' ELSE '' END AS valve FROM customer)",
     "search_rows": "SELECT p_partkey FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'brand#1')",
     "filter_as_text": "SELECT p_partkey FROM part WHERE p_size = 18",
     "rls_visible_users": f"SELECT c_custkey AS user_id, {_ROLE} AS role FROM customer WHERE c_custkey = 7 OR (c_mktsegment = 'BUILDING' AND c_nationkey = 7 AND {_ROLE} IN ('Editor', 'Viewer'))",

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.functions import js
+from furrow.functions import js, text
+from furrow.session import shared_folder
 from furrow.streaming import sensors
 
 
 def _work(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/furrow-work"
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,11 +59,32 @@ def stream_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_sensor_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first batch of the sensor stream, ten ticks."""
-    return sensors.drained(sensors.sensor_stream(spark, rows_per_batch=10), _work(spark)).select("topic", "payload")
+    """Readings of each topic in the first batch of the sensor stream, ten ticks, and how many lie in the sensor's range."""
+    found = sensors.drained(sensors.sensor_stream(spark, rows_per_batch=10), _work(spark))
+    value = F.col("payload").cast("double")
+    inside = F.lit(False)
+    for topic, (low, high) in sensors.SENSORS.items():
+        inside = inside | ((F.col("topic") == topic) & value.between(low, high))
+    return found.groupBy("topic").agg(F.count(F.lit(1)).alias("readings"), F.count_if(inside).alias("inside"), F.count_if(F.col("payload").rlike(r"^\d\.\d\d$")).alias("two_decimals"))
 
 
-QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sliding, stream_session, stream_dedup, stream_event_ring, stream_topic, stream_sensor_topics)}
+def stream_topic_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 50 messages of one topic."""
+    work = _work(spark)
+    messages = sensors.by_topic(_events(spark, sf_dir).withColumnRenamed("event_type", "topic"), "purchase")
+    writer = sensors.ring_writer(f"{work}/ring", sensors.TOPIC_RING, ["ts", "event_id"])
+    messages.writeStream.foreachBatch(writer).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return sensors.latest_ring(spark, f"{work}/ring").select("event_id", "topic")
+
+
+def stream_webhook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed bodies as a stream, of which those with a good signature go on: here the events of even ids are signed with the right secret."""
+    signed = _events(spark, sf_dir).select("event_id", F.coalesce("props", F.lit("")).alias("body"))
+    signed = signed.withColumn("signature", F.when(F.col("event_id") % 2 == 0, text.signature("secret", F.col("body"))).otherwise(text.signature("other", F.col("body"))))
+    return sensors.drained(sensors.verified(signed, "secret"), _work(spark)).select("event_id", "body")
+
+
+QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sliding, stream_session, stream_dedup, stream_event_ring, stream_topic, stream_sensor_topics, stream_topic_ring, stream_webhook)}
 ORACLES = {
     "stream_tumbling": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events, floor(avg(value) * 1e6 + 0.5) / 1e6 AS mean FROM events GROUP BY ALL",
     "stream_sliding": "SELECT strftime(d, '%Y-%m-%d') AS day, count(*) AS events FROM (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS d FROM events) GROUP BY 1",
@@ -74,4 +94,7 @@ ORACLES = {
     "stream_dedup": "SELECT event_id, event_type FROM events",
     "stream_event_ring": "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 200",
     "stream_topic": "SELECT event_id, TRY_CAST(props->>'$.k' AS INT) AS k FROM events WHERE event_type = 'purchase'",
+    "stream_sensor_topics": "SELECT unnest(['sensor/ec', 'sensor/ph']) AS topic, 10::BIGINT AS readings, 10::BIGINT AS inside, 10::BIGINT AS two_decimals",
+    "stream_topic_ring": "SELECT event_id, event_type AS topic FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id DESC LIMIT 50",
+    "stream_webhook": "SELECT event_id, coalesce(props, '') AS body FROM events WHERE event_id % 2 = 0",
 }

@@ -76,7 +76,8 @@ def record_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signature = F.when(F.col("event_id") % 2 == 0, F.lit("sha256=0")).otherwise("none")
+    good = text.signature("key", F.col("props"))
+    signature = F.when(F.col("event_id") % 3 == 0, good).when(F.col("event_id") % 3 == 1, F.concat(F.lit("x"), good)).otherwise("none")
     checked = table(spark, sf_dir, "events").select("event_type", text.signature_holds("key")(F.col("props"), signature).alias("holds"))
     return checked.groupBy("event_type").agg(F.count_if("holds").alias("verified"), F.count(F.lit(1)).alias("events"))
 
@@ -95,10 +96,11 @@ ORACLES = {
                 WHEN regexp_matches(t, '^(more|detail|continue|what else|again|info)') OR len(string_split(t, ' ')) <= 3 THEN 'follow_up' ELSE 'question' END AS intent FROM m)
         SELECT conv_id, turn, intent, coalesce(own, CASE WHEN intent = 'follow_up' THEN last_value(own IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) END) AS topic FROM o""",
     "last_user_message": "SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY 1",
+    "mask_secrets": """SELECT event_id, '{"user": {"apiKey": "***", "list": [{"password": "***"}]}, "inner": ' || coalesce(props, 'null') || '}' AS masked FROM events""",
     "json_property": "SELECT event_id, TRY_CAST(props->>'$.k' AS INT) AS k FROM events",
     "cookie_parse": "SELECT event_id, user_id::VARCHAR AS id, event_type AS kind FROM events",
     "lenient_numbers": "SELECT p_partkey, p_size + 0.5::DOUBLE AS as_float, p_size::BIGINT AS as_int, 0.0::DOUBLE AS strict FROM part",
     "epoch_dates": "SELECT event_id, strftime(DATE '1970-01-01' + event_id::INT, '%Y-%m-%d') AS date FROM events",
     "record_hash": "SELECT c_custkey, sha256(c_name) AS hash FROM customer",
-    "signed_events": "SELECT event_type, 0::BIGINT AS verified, count(*) AS events FROM events GROUP BY 1",
+    "signed_events": "SELECT event_type, count(*) FILTER (event_id % 3 = 0) AS verified, count(*) AS events FROM events GROUP BY 1",
 }

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC makes date text independent of the host; LAST_WIN gives maps shallow-merge semantics.
 SEMANTICS = {
@@ -30,3 +32,20 @@ def local_session(cpus: int | None = None, memory: str = "8g", shuffle_partition
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder driver and executors share, from spark.checkpoint.dir; a local one only where the session is local and names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not (spark.conf.get("spark.master", None) or "local").startswith("local"):
+        raise RuntimeError("a cluster's session must set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"file://{tempfile.gettempdir()}/furrow-work"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df from a new table in the shared folder, which cuts its lineage."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

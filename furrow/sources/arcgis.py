@@ -21,7 +21,12 @@ PAGE, MAX_PAGES = 2000, 50
 
 
 class ArcGisSource(DataSource):
-    """Options: path (a file) or url; page, pages, order. Rows: attributes as JSON text, x and y of a point or null."""
+    """Options: path (a file that all executors see) or url; page, pages, order, token. Rows: attributes as JSON text, x and y of a point or null.
+
+    The number of pages needn't be known: where `pages` isn't given, the service is asked how many features it has. Each page is a partition; its reader goes on
+    until it has as many as asked for or the service has no more, and the last one to the end, so that features added meanwhile come too. A service with over
+    MAX_PAGES pages raises ValueError unless `pages` allows more; one that has more than `pages` hold raises an error, so nothing is left out unsaid.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -35,23 +40,42 @@ class ArcGisSource(DataSource):
 
 
 class _Page(InputPartition):
-    def __init__(self, offset: int):
+    def __init__(self, offset: int, is_last: bool):
         super().__init__(offset)
-        self.offset = offset
+        self.offset, self.is_last = offset, is_last
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options, self.page = options, int(options.get("page", PAGE))
+        self.most = int(options["pages"]) if "pages" in options else None
 
     def partitions(self) -> list[_Page]:
-        return [_Page(k * self.page) for k in range(int(self.options.get("pages", 1)))]
+        pages = max(1, -(-_count(self.options) // self.page))
+        if pages > (self.most or MAX_PAGES):
+            raise ValueError(f"the service has {pages} pages, more than the {self.most or MAX_PAGES} allowed")
+        return [_Page(k * self.page, k == pages - 1) for k in range(pages)]
 
     def read(self, partition: _Page) -> Iterator[tuple]:
         fetch = _from_file(self.options["path"]) if "path" in self.options else _from_url(self.options)
-        for feature in fetch(partition.offset, self.page):
-            geometry = feature.get("geometry") or {}
-            yield json.dumps(feature.get("attributes") or {}), geometry.get("x"), geometry.get("y")
+        at, stop = partition.offset, partition.offset + self.page
+        while partition.is_last or at < stop:
+            features = fetch(at, self.page if partition.is_last else stop - at)
+            for feature in features:
+                geometry = feature.get("geometry") or {}
+                yield json.dumps(feature.get("attributes") or {}), geometry.get("x"), geometry.get("y")
+            at += len(features)
+            if not features:
+                return
+
+
+def _count(options: dict[str, str]) -> int:
+    """How many features the service says it has."""
+    if "path" in options:
+        with open(options["path"].removeprefix("file://")) as f:
+            return len(json.load(f)["features"])
+    with urlopen(query_url(options["url"], 0, 0, token=options.get("token"), only_count=True)) as answer:  # noqa: S310
+        return int(json.load(answer)["count"])
 
 
 Fetch = Callable[[int, int], list[dict]]
@@ -73,9 +97,10 @@ def _from_url(options: dict[str, str]) -> Fetch:
     return fetch
 
 
-def query_url(url: str, offset: int, limit: int, order: str | None = None, token: str | None = None) -> str:
-    """All fields of all features in WGS84, from offset."""
+def query_url(url: str, offset: int, limit: int, order: str | None = None, token: str | None = None, only_count: bool = False) -> str:
+    """All fields of all features in WGS84, from offset; or how many there are."""
     asked = {"f": "json", "where": "1=1", "outFields": "*", "outSR": "4326", "resultOffset": str(offset), "resultRecordCount": str(limit)}
+    asked = {"f": "json", "where": "1=1", "returnCountOnly": "true"} if only_count else asked
     asked |= {"orderByFields": order} if order else {}
     asked |= {"token": token} if token else {}
     from urllib.parse import urlencode
@@ -104,9 +129,23 @@ def discovered_layers(spark: SparkSession, path: str, url: str) -> DataFrame:
 LAYER_DEFINITION = "typeIdField string, types array<struct<id:string,name:string,domains:map<string,struct<codedValues:array<struct<code:string,name:string>>>>>>, fields array<struct<name:string,alias:string,type:string,editable:boolean,nullable:boolean,domain:struct<type:string,range:array<double>,codedValues:array<struct<code:string,name:string>>>>>"
 
 
+SYMBOL = "struct<type:string,style:string,color:array<double>,size:double,width:double>"
+RENDERER = f"struct<type:string,field1:string,field2:string,field3:string,field:string,symbol:{SYMBOL},defaultSymbol:{SYMBOL},defaultLabel:string,uniqueValueInfos:array<struct<value:string,label:string,symbol:{SYMBOL}>>,classBreakInfos:array<struct<classMaxValue:double,label:string,symbol:{SYMBOL}>>>"
+
+
 def layer_definition(spark: SparkSession, path: str) -> DataFrame:
-    """A layer's fields, domains and subtypes."""
-    return spark.read.text(path, wholetext=True).select(F.from_json("value", LAYER_DEFINITION).alias("d")).select("d.*")
+    """A layer's fields, domains and subtypes, and how it is drawn (drawingInfo.renderer)."""
+    schema = f"{LAYER_DEFINITION}, drawingInfo struct<renderer:{RENDERER}>"
+    return spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("d")).select("d.*")
+
+
+def renderer_infos(definition: DataFrame) -> DataFrame:
+    """A row for each class or value of the renderer, in order: place, label, value, largest and symbol, as styling.legend takes them."""
+    drawn = definition.select("drawingInfo.renderer.*")
+    none = F.lit(None)
+    values = F.transform("uniqueValueInfos", lambda i: F.struct(i["label"].alias("label"), i["value"].alias("value"), none.cast("double").alias("largest"), i["symbol"].alias("symbol")))
+    breaks = F.transform("classBreakInfos", lambda i: F.struct(i["label"].alias("label"), none.cast("string").alias("value"), i["classMaxValue"].alias("largest"), i["symbol"].alias("symbol")))
+    return drawn.select(F.posexplode(F.coalesce(values, breaks)).alias("place", "i")).select("place", "i.*")
 
 
 def coded_values(definition: DataFrame) -> DataFrame:

@@ -16,10 +16,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furrow.operators.catalog import fallback_rows
+
 LATITUDE, LONGITUDE = ("lat", "latitude", "y"), ("lon", "lng", "longitude", "x")
 FEATURE = "props map<string,string>, geometry_type string, coordinates array<array<double>>"
 #: An archive is read whole by one task, and so is its largest member.
 MAX_ARCHIVE_BYTES = 512 << 20
+#: Rows of an export that is one text.
+MAX_EXPORT = 10_000
 
 
 def read_layer(spark: SparkSession, path: str) -> DataFrame:
@@ -54,21 +58,25 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(lon.isNotNull() & lat.isNotNull()).select(props.alias("props"), F.lit("Point").alias("geometry_type"), F.array(F.array(lon, lat)).alias("coordinates"))
 
 
-def _flat_points(geometry: Column) -> Column:
-    """The points of a geometry's JSON, rings one after another."""
-    kind, text = F.get_json_object(geometry, "$.type"), F.get_json_object(geometry, "$.coordinates")
+def _flat_points(kind: Column, text: Column) -> Column:
+    """The points of a geometry's coordinates as JSON, rings one after another."""
     one, line, rings, many = (F.from_json(text, t) for t in ("array<double>", "array<array<double>>", "array<array<array<double>>>", "array<array<array<array<double>>>>"))
     return F.when(kind == "Point", F.array(one)).when(kind.isin("LineString", "MultiPoint"), line).when(kind.isin("Polygon", "MultiLineString"), F.flatten(rings)).when(kind == "MultiPolygon", F.flatten(F.flatten(many)))
 
 
+#: A geometry's coordinates are kept as text until its type says how deep they are.
+_GEOMETRY = "struct<type:string,coordinates:string>"
+_GEOJSON = f"type string, properties map<string,string>, geometry {_GEOMETRY}, features array<struct<type:string,properties:map<string,string>,geometry:{_GEOMETRY}>>"
+
+
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """The features of collections, or single features, a document to a file."""
-    whole = spark.read.text(path, wholetext=True)
-    listed = F.from_json(F.get_json_object("value", "$.features"), "array<string>")
-    features = whole.select(F.explode(F.coalesce(listed, F.array("value"))).alias("feature"))
-    geometry = F.get_json_object("feature", "$.geometry")
-    props = F.coalesce(F.from_json(F.get_json_object("feature", "$.properties"), "map<string,string>"), F.create_map().cast("map<string,string>"))
-    return features.filter(F.get_json_object("feature", "$.type") == "Feature").select(props.alias("props"), F.get_json_object(geometry, "$.type").alias("geometry_type"), _flat_points(geometry).alias("coordinates"))
+    """The features of collections, or single features, a document to a file; documents are read as streams of tokens, one task a file."""
+    documents = spark.read.schema(_GEOJSON).option("multiLine", True).json(path)
+    single = F.array(F.struct("type", "properties", "geometry"))
+    features = documents.select(F.explode(F.coalesce("features", single)).alias("f")).filter("f.type = 'Feature'")
+    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    props = F.coalesce("f.properties", F.create_map().cast("map<string,string>"))
+    return features.select(props.alias("props"), kind.alias("geometry_type"), _flat_points(kind, text).alias("coordinates"))
 
 
 def read_gpx(spark: SparkSession, path: str) -> DataFrame:
@@ -146,6 +154,10 @@ def _kml_features(text: bytes) -> list[tuple[dict, str, list]]:
     return out
 
 
+class UnknownShape(Exception):
+    """A shapefile's record has a type that isn't read."""
+
+
 def _shapefile(archive: zipfile.ZipFile, name: str, names: list[str]) -> list[tuple[dict, str, list]]:
     """Records of points, lines and polygons: a 100-byte head, then for each record 8 bytes of head, its type and its numbers."""
     data, base = archive.read(name), name[:-4].lower()
@@ -153,11 +165,15 @@ def _shapefile(archive: zipfile.ZipFile, name: str, names: list[str]) -> list[tu
         raise ValueError("not a shapefile")
     table = next((n for n in names if n.lower() == f"{base}.dbf"), None)
     props = _dbf_rows(archive.read(table)) if table else []
-    kinds, out, at = {1: "Point", 3: "LineString", 5: "Polygon", 8: "MultiPoint"}, [], 100
+    # With Z or with M a kind's number is 10 or 20 more, and its further numbers come after the plane's.
+    kinds, out, at = {0: None, 1: "Point", 3: "LineString", 5: "Polygon", 8: "MultiPoint"}, [], 100
     while at + 12 <= len(data):
         words = struct.unpack(">i", data[at + 4 : at + 8])[0]
         body = data[at + 8 : at + 8 + 2 * words]
         shape = struct.unpack("<i", body[:4])[0]
+        shape = shape % 10 if shape in (11, 13, 15, 18, 21, 23, 25, 28) else shape
+        if shape not in kinds:
+            raise UnknownShape(f"{name}: shape type {shape}")
         points: list[list[float]] = []
         if shape == 1:
             points = [list(struct.unpack("<2d", body[4:20]))]
@@ -169,7 +185,7 @@ def _shapefile(archive: zipfile.ZipFile, name: str, names: list[str]) -> list[tu
             count = struct.unpack("<i", body[36:40])[0]
             values = struct.unpack(f"<{2 * count}d", body[40 : 40 + 16 * count])
             points = [list(p) for p in zip(values[::2], values[1::2], strict=True)]
-        out.append((props[len(out)] if len(out) < len(props) else {}, kinds.get(shape), points))
+        out.append((props[len(out)] if len(out) < len(props) else {}, kinds[shape], points))
         at += 8 + 2 * words
     return out
 
@@ -194,9 +210,27 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def write_json(rows: DataFrame, path: str) -> None:
+    """A row to a line, for tables of any size."""
     rows.write.json(path)
 
 
+def pretty_json(rows: DataFrame, order: list[str]) -> DataFrame:
+    """One row: `json`, an indented array of the rows in order. For an export that a person reads: it is one text, so ValueError beyond MAX_EXPORT rows."""
+    if rows.limit(MAX_EXPORT + 1).count() > MAX_EXPORT:
+        raise ValueError(f"more than {MAX_EXPORT} rows: write_json takes any number")
+    item = F.struct(*[F.col(c) for c in order], F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
+    listed = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["row"])
+    return rows.agg(F.to_json(listed, {"pretty": "true", "ignoreNullFields": "false"}).alias("json"))
+
+
+def with_fallback(features: DataFrame, *saved: DataFrame) -> DataFrame:
+    """A catalog's layers (id, …) with those of the other catalogs that it lacks, the first that has one counting."""
+    out = features
+    for other in saved:
+        out = fallback_rows(out, other, "id")
+    return out
+
+
 def fields_of_xml_layers(spark: SparkSession, path: str) -> DataFrame:
     """name and title of a map service's named layers, the title from the name where it is missing, each name once."""
     layers = spark.read.format("xml").option("rowTag", "Layer").schema("Name string, Title string").load(path)

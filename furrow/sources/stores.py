@@ -93,6 +93,37 @@ def _fields(schema: str) -> str:
     return DataType.fromDDL(schema).simpleString()[len("struct<") : -1]
 
 
+LAYERS = "id string, name string, type string, visible boolean, created_at string, fields array<string>, features array<struct<geometry_type:string,coordinates:array<array<double>>,props:map<string,string>>>"
+
+
+def save_layers(layers: DataFrame, path: str) -> None:
+    """The saved layers as a new version in the folder; older versions stay until they are removed."""
+    layers.write.parquet(f"{path}/version={1 + max(_versions(layers.sparkSession, path), default=-1)}")
+
+
+def load_layers(spark: SparkSession, path: str, schema: str = LAYERS) -> DataFrame:
+    """The newest saved layers; none where nothing was saved."""
+    versions = _versions(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/version={max(versions)}") if versions else spark.createDataFrame([], schema)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions that were written to their end."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    names = [s.getPath() for s in files.listStatus(root) if s.getPath().getName().startswith("version=")]
+    return [int(p.getName().split("=")[1]) for p in names if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+
+def append_capped(base: DataFrame, new: DataFrame, cap: int, order: list[str], path: str, by: list[str] = ()) -> None:
+    """Writes the `cap` newest rows of the log with the new ones as its next version (see save_layers): what was there is whole until that is."""
+    from furrow.operators.catalog import newest
+
+    newest(base.unionByName(new), cap, order, by).write.parquet(f"{path}/version={1 + max(_versions(base.sparkSession, path), default=-1)}")
+
+
 def setting(text: Column, schema: str, fallback: Column) -> Column:
     """A stored setting from JSON, or the fallback where it is missing or malformed."""
     return F.coalesce(F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, schema)), fallback)

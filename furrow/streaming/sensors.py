@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from furrow.functions import text
+
 SENSOR_PERIOD_MS = 3000
 #: Each sensor topic's lowest and highest reading.
 SENSORS = {"sensor/ec": (1.0, 3.0), "sensor/ph": (6.0, 8.0)}
@@ -30,6 +32,11 @@ def parsed(frames: DataFrame, schema: StructType | str, column: str = "payload")
     return frames.filter(F.try_parse_json(column).isNotNull()).withColumn("message", value).filter("message IS NOT NULL").select(*[c for c in frames.columns if c != column], "message.*")
 
 
+def verified(requests: DataFrame, secret: str) -> DataFrame:
+    """Requests (body, signature) whose signature holds; of a stream or a table."""
+    return requests.filter(text.signature_holds(secret)(F.col("body"), F.col("signature")))
+
+
 def by_topic(messages: DataFrame, topic: str) -> DataFrame:
     return messages.filter(F.col("topic") == topic)
 
