@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from furrow.session import stored
+
 #: The columns of the documents table, which every stage of a pipeline keeps.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,18 +21,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder driver and executors share; a local one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or f"file://{tempfile.gettempdir()}/furrow-work").rstrip("/")
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df to a new table in the shared folder and reads it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, label)
 
 
 @contextmanager

@@ -2,7 +2,8 @@
 
 A document's ids are cut only where a sequence ends before them: into pieces of `tokens` ids, the last as long as is left. Pieces
 are dealt into groups of about GROUP_PIECES, the number of groups growing with the input, and every group is packed on
-its own: pieces from the longest to the shortest, each into the open sequence that suits it best among all those
+its own. With 2,048 tokens, neither 2,048 documents nor an attention cost of 2,048 squared can be exceeded before the tokens are: such limits only weigh in the choice; callers that
+want them to decide give smaller ones, as the pipeline does for documents. Pieces go from the longest to the shortest, each into the open sequence that suits it best among all those
 with room for it in every capacity (tokens, documents, attention cost as the sum of squared lengths). `norm` takes
 the sequence whose residual capacities, weighted, would have the smallest norm; `dot` the one with the largest
 weighted dot product of the piece's demands and the residuals. Only a group's last sequences are poorly filled.

@@ -7,14 +7,15 @@ The store is a folder of four tables:
 - chunks(chunk, n, ids): every distinct chunk once; ids are little-endian, `width` bytes each (2 or 4 by vocabulary);
 - recipes(slice, place, doc_id, start, n_tokens, chunks, root): one row a document in ascending id order, in a folder for each slice, with the addresses
   of its chunks in order, the ids of all documents before it, and the Merkle root of the addresses;
-- manifest(level, node, hash): a Merkle tree over the recipes' roots in that order, FAN_OUT children to a node;
+- manifest(level, node, hash): a Merkle tree over the recipes in that order (root, id, start and number of ids of each), FAN_OUT children to a node;
 - format(width, end_id, fan_out): one row.
 
 Only chunks that a Bloom filter takes for repeats are shuffled to be stored once; others go from their task to the
-file. Reading checks every chunk against its address, every recipe against its root and the tree against its top.
+file. Reading checks the recipes against the tree first, and raises ValueError if one is lost, changed or exchanged; then every chunk against its address and every
+recipe against its root.
 
 Defined results: a null text is empty and has the end id alone; null ids come first; rows with the same id have a
-recipe each, in the order of their roots; an empty table gives empty tables; other columns are never read.
+recipe each, in the order of their roots; an empty table gives empty tables; other columns are never read. A very long text is encoded whole by one task, which holds it and its ids.
 """
 
 from __future__ import annotations
@@ -115,8 +116,9 @@ def _recipes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _manifest(recipes: DataFrame) -> DataFrame:
-    """Level 0 hashes FAN_OUT roots a node, and so on up to one node."""
-    level, nodes = 0, recipes.select("place", F.col("root").alias("hash"))
+    """Level 0 hashes FAN_OUT recipes a node, and so on up to one node."""
+    rest = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "start", "n_tokens")
+    level, nodes = 0, recipes.select("place", F.unhex(F.sha2(F.concat("root", F.encode(rest, "UTF-8")), 256)).alias("hash"))
     out = None
     while True:
         grouped = nodes.groupBy(F.expr(f"place div {FAN_OUT}").alias("node")).agg(F.array_sort(F.collect_list(F.struct("place", "hash"))).alias("below"))  # FAN_OUT at most
@@ -215,6 +217,8 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     A chunk is read and checked once, however many documents have it; a document's checksum is put together from
     those of its chunks, so ids needn't move.
     """
+    if not manifest_holds(spark, path):
+        raise ValueError(f"the recipes in {path} don't agree with its manifest")
     recipes = _recipes(spark, path)
     refs = recipes.select("place", F.posexplode("chunks").alias("pos", "chunk"))
     found = refs.join(materialize(checked_chunks(spark, path), "checked"), "chunk", "left")

@@ -159,6 +159,16 @@ def test_token_store_finds_damage(spark, documents, tmp_path):
     assert token_store.read_digests(spark, path).filter("NOT verified").count() >= 1
 
 
+def test_token_store_misses_a_lost_recipe(spark, documents, tmp_path):
+    path = f"{tmp_path}/store"
+    token_store.write_store(documents, f"file://{path}", BYTE_BPE, 2)
+    assert token_store.read_digests(spark, f"file://{path}").filter("verified").count() == documents.count()
+    lost = next(p for p in (tmp_path / "store" / "recipes").rglob("*.parquet") if not p.name.startswith("."))
+    lost.unlink()
+    with pytest.raises(ValueError, match="manifest"):
+        token_store.read_digests(spark, f"file://{path}")
+
+
 def test_token_store_oddities(spark, tricky, nothing, tmp_path):
     token_store.write_store(tricky, f"file://{tmp_path}/a", BYTE_BPE, end_id=2)
     rows = token_store.read_digests(spark, f"file://{tmp_path}/a").collect()
@@ -246,6 +256,45 @@ def test_best_fit_keeps_every_capacity(rule):
         packing.best_fit(np.array([101]), capacity)
 
 
+def plain_best_fit(lengths, capacity):
+    """The same choice, one sequence after another."""
+    limits = (capacity.tokens, capacity.documents, capacity.attention)
+    scale = [w / m for w, m in zip(capacity.weights, limits, strict=True)]
+    left, chosen = [], {}
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        need = (lengths[i], 1, lengths[i] ** 2)
+        options = []
+        for at, room in enumerate(left):
+            if all(r >= n for r, n in zip(room, need, strict=True)):
+                if capacity.rule == "dot":
+                    score = -sum(r * s * n * s for r, n, s in zip(room, need, scale, strict=True))
+                else:
+                    score = sum(((r - n) * s) ** 2 for r, n, s in zip(room, need, scale, strict=True))
+                options.append((score, at))
+        if not options:
+            left.append(list(limits))
+            options = [(0, len(left) - 1)]
+        best = min(options)[0]
+        chosen[i] = {at for score, at in options if score == pytest.approx(best, rel=1e-12)}, min(options)[1]
+        left[chosen[i][1]] = [r - n for r, n in zip(left[chosen[i][1]], need, strict=True)]
+    return len(left), left
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("documents, attention", [(2048, 2048 * 2048), (4, 2048 * 2048), (64, 1_200_000)])
+def test_best_fit_beside_a_plain_one(rule, documents, attention):
+    rng = np.random.default_rng(11)
+    capacity = packing.Capacity(documents=documents, attention=attention, weights=(1.0, 0.3, 0.2), rule=rule)
+    for _ in range(5):
+        lengths = rng.integers(1, 1000, 150)
+        made, _ = plain_best_fit(lengths.tolist(), capacity)
+        found = packing.best_fit(lengths, capacity)
+        assert len(set(found.tolist())) == made
+        for s in set(found.tolist()):
+            own = lengths[found == s]
+            assert own.sum() <= 2048 and len(own) <= documents and (own**2).sum() <= attention
+
+
 def test_packing_oddities(tricky, nothing):
     found = packing.pack(packing.pieces(tricky, WORD_BPE, 0, 64, keep_ids=True), packing.Capacity(tokens=64))
     rows = found.collect()
@@ -489,6 +538,18 @@ def test_equal_values_stay_linked_and_others_apart(spark):
     assert treated(spark, texts[:1], "other key")[0][0] != first
 
 
+def test_no_two_dates_share_a_pseudonym(spark):
+    """All days of some years in each way of writing that says which they are."""
+    days = spark.range(7670).select(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    written = [F.date_format("d", "yyyy-MM-dd"), F.date_format("d", "MM/dd/yyyy"), F.date_format("d", "dd.MM.yyyy"), F.when(F.day("d") > 12, F.date_format("d", "dd/MM/yyyy"))]
+    frame = days.select(F.explode(F.array_compact(F.array(*written))).alias("text")).withColumn("doc_id", F.monotonically_increasing_id())
+    done = pii.pseudonymise(frame, "k").select("row.text", F.col("text").alias("new"), "kinds")
+    assert done.filter(F.size("kinds") != 1).count() == 0
+    assert done.select("new").distinct().count() == done.count()
+    kept = done.filter("regexp(new, '^(1[3-9]|2[0-9]|3[01])/') != regexp(text, '^(1[3-9]|2[0-9]|3[01])/')")
+    assert kept.count() == 0  # the day is first where it was
+
+
 def test_clean_text_is_left_alone(spark):
     clean = ["no digits", "CC BY 4.0. 1.2.3", "4845168114407328 isn't valid, 300.1.1.1 neither, nor 2020-02-31 or 000-12-3456", "", None, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"']
     assert [t for t, _ in treated(spark, clean)] == clean

@@ -38,8 +38,20 @@ def test_pipeline_stages(spark, documents):
 
 
 def test_pipeline_on_oddities(spark, tricky, nothing):
-    for start in (tricky, nothing):
-        docs = start
-        for name, stage in corpus_pipeline.STAGES:
-            docs = materialize(stage(spark, docs, SMALL), name)
-        assert docs.count() >= 0
+    docs, seen = tricky, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, materialize(stage(spark, docs, SMALL), name)
+        assert docs.columns == before.columns  # other columns and their clashing names stay
+        assert docs.select("doc_id", "text").exceptAll(before.select("doc_id", "text")).count() == 0 or name == "mixing"
+        seen[name] = docs.count()
+    assert 0 < seen["near_dedup"] <= seen["exact_dedup"] <= seen["quality"] <= tricky.count()
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
+    assert sum(r.piece == 0 for r in packed) == seen["mixing"]
+    fill = Counter()
+    for r in packed:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 2048
+    docs = nothing
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, SMALL), name)
+        assert docs.count() == 0
