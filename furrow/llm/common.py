@@ -27,7 +27,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+def small_batches(spark: SparkSession, rows: int = 1400) -> Iterator[None]:
     """Within it, an action passes at most so many rows at a time to Python workers: whole texts are large, and both sides hold a batch."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)

@@ -33,7 +33,7 @@ _PLAIN = re.compile(r" [^\s\u180e\u200b-\u200f\u2060\ufeff]+\Z")
 JOINED = 64
 
 #: Words in each of the two generations of a Python worker's memory, and the longest of them; about 170 bytes a word.
-MAX_WORDS = 150_000
+MAX_WORDS = 100_000
 MAX_WORD_BYTES = 64
 #: Texts that come together are cut into blocks of about so many bytes.
 BLOCK_BYTES = 6 << 20
