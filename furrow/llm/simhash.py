@@ -158,7 +158,8 @@ def _linked(members: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataF
     crowds = members.groupBy("place").agg(F.count("*").alias("crowd"))
     # A node whose own values many others come upon lies in the middle of a group: the likeliest to be near the others.
     centrality = members.filter("own_value").join(crowds, "place").groupBy("node").agg(F.sum("crowd").alias("central"))
-    ranked = members.filter("holds").join(centrality, "node").select("place", "node", "central")
+    # A node that nobody comes upon at its own values still is a head where it is the only one.
+    ranked = members.filter("holds").join(centrality, "node", "left").select("place", "node", F.coalesce("central", F.lit(0)).alias("central"))
     known = members.withColumns({"own": F.col("node"), "main": F.lit(None).cast("long"), "head": F.lit(None).cast("long")})
     star = None
     for turn in range(ROUNDS):
