@@ -12,7 +12,8 @@ Equal fingerprints (or sets of shingles) count once: what is joined grows with t
   links. Of pairs at a similarity of 0.8 about 98.5 % share a value in some segment, at 0.85 or 0.9 practically all of texts of 200 shingles; a
   group of copies has many pairs to be found by.
 
-The pairs of a value aren't all made. In ROUNDS rounds a value has a head among its holders, first the one that lies most in the middle (by how many come upon its own values), then another one for
+The pairs of a value aren't all made. Near copies first meet the smallest node that has one of their own values, which already joins most of a large group; values that
+only one component holds need no further pairs, and of values with the same holders one is enough. In ROUNDS rounds a value has a head among its holders, first the one that lies most in the middle (by how many come upon its own values), then another one for
 every value, and each node is compared with up to three of its values' heads; what links is in one component and needs no comparison within it. Then members outside the
 component of their head are compared with all of the value's members of other components.
 The result has the components of all pairs, while a large group of near copies stays linear. The links' connected
@@ -48,6 +49,8 @@ BLOCK = 1 << 14
 NEAR_WORDS, SIMILARITY = 5, 0.8
 WIDE_BITS, WIDE_SEGMENTS = 256, 8  # of 32 bits each
 WEAK, BALL = 10, 48
+#: Values enumerated by a task.
+VALUES_OF_TASK = 1 << 20
 #: How often nodes are compared with heads of their places before all that are left are.
 ROUNDS = 2
 MAX_DISTANCE = 64
@@ -152,8 +155,15 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _linked(members: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links with the components of all pairs (a, b) that near() keeps, among members(place, node, holds, own_value) of one place of which one at least holds it."""
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of pairs(a, b) those that have different roots."""
+    for name in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}")), name, "left")
+    return pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def _linked(members: DataFrame, near: Callable[[DataFrame], DataFrame], star: DataFrame | None = None, roots: DataFrame | None = None) -> DataFrame:
+    """Links with the components of all pairs (a, b) that near() keeps, among members(place, node, holds, own_value) of one place of which one at least holds it; star are links found before, roots their components."""
     members = materialize(members, "members-of-places")
     crowds = members.groupBy("place").agg(F.count("*").alias("crowd"))
     # A node whose own values many others come upon lies in the middle of a group: the likeliest to be near the others.
@@ -161,7 +171,6 @@ def _linked(members: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataF
     # A node that nobody comes upon at its own values still is a head where it is the only one.
     ranked = members.filter("holds").join(centrality, "node", "left").select("place", "node", F.coalesce("central", F.lit(0)).alias("central"))
     known = members.withColumns({"own": F.col("node"), "main": F.lit(None).cast("long"), "head": F.lit(None).cast("long")})
-    star = None
     for turn in range(ROUNDS):
         # After the middle ones, heads that differ from place to place.
         order = F.struct("central", -F.col("node")) if turn == 0 else F.struct(F.xxhash64("place", "node", F.lit(turn)), "node")
@@ -171,7 +180,7 @@ def _linked(members: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataF
         met = left.groupBy("node", F.col("new_head").alias("head")).agg(F.count("*").alias("n"))
         best = met.groupBy("node").agg(F.max(F.struct("n", "head"))["head"].alias("first"), F.min(F.struct((-F.col("n")).alias("n"), "head"))["head"].alias("second"), F.max_by("head", F.xxhash64("head")).alias("third"))
         pairs = best.select(F.explode(F.array("first", "second", "third")).alias("head"), "node").select(*_ordered("node", "head")).distinct()
-        found = materialize(near(pairs), "first-links")
+        found = materialize(near(pairs if roots is None else _apart(pairs, roots)), "first-links")
         star = found if star is None else star.unionByName(found)
         roots = components(star)
         of_node = roots.select("node", F.col("root").alias("own"))
@@ -282,13 +291,18 @@ def _ball_places(fp: Column, weak: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(WIDE_SEGMENTS - 1)), of_segment))
 
 
+def _own_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each of nodes(node, fp) with the smallest nodes that have the value of one of its segments: of these, the one for the most segments, and the smallest."""
+    halves = F.transform("fp", lambda x: F.array(F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit((1 << 32) - 1))))
+    own = nodes.select("node", F.posexplode(F.flatten(halves)).alias("number", "value"))
+    heads = own.groupBy("number", "value").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = own.join(heads, ["number", "value"]).filter("node <> head").groupBy("node", "head").agg(F.count("*").alias("n"))
+    best = met.groupBy("node").agg(F.max(F.struct("n", "head"))["head"].alias("first"), F.min("head").alias("second"))
+    return best.select(F.explode(F.array("first", "second")).alias("head"), "node").select(*_ordered("node", "head")).distinct()
+
+
 def similar_links(nodes: DataFrame, sets_of: DataFrame, least: float) -> DataFrame:
     """Links (a, b) of nodes(node, fp, weak, n) whose sets_of(node, shingles) have a Jaccard similarity of `least` or more, with the components of all that share a place."""
-    asked = nodes.select("node", F.posexplode(_ball_places(F.col("fp"), F.col("weak"))).alias("number", "place"))
-    shared, bits = bloom.repeated(asked.select(F.xxhash64("place").alias("digest")), "digest")
-    found = bloom.probe(asked.withColumn("digest", F.xxhash64("place")), "digest", shared, bits).filter("maybe")
-    found = materialize(found.select("node", F.col("digest").alias("place"), F.lit(True).alias("holds"), (F.col("number") % BALL == 0).alias("own_value")), "asked-places")
-    some = found.groupBy("place").agg(F.count("*").alias("n")).filter("n > 1").select("place")
 
     def near(pairs: DataFrame) -> DataFrame:
         one, other = (nodes.select(F.col("node").alias(n), F.col("fp").alias(f"fp_{n}"), F.col("n").alias(f"n_{n}")) for n in ("a", "b"))
@@ -306,7 +320,21 @@ def similar_links(nodes: DataFrame, sets_of: DataFrame, least: float) -> DataFra
         enough = both >= (F.size("of_a") + F.size("of_b") - both) * F.lit(least) - 1e-9
         return close.join(left, "a").join(right, "b").filter(enough).select("a", "b")
 
-    return _linked(found.join(some, "place"), near)
+    star = materialize(near(_own_pairs(nodes)), "own-links")
+    roots = components(star)
+    rooted = nodes.join(roots, "node", "left").select("node", "fp", "weak", F.coalesce("root", "node").alias("root"))
+    # A task's values are counted in memory.
+    tasks = nodes.count() * WIDE_SEGMENTS * BALL // VALUES_OF_TASK + 1
+    asked = rooted.repartition(tasks, "node").select("node", "root", F.posexplode(_ball_places(F.col("fp"), F.col("weak"))).alias("number", "place"))
+    shared, bits = bloom.repeated(asked.select(F.xxhash64("place").alias("digest")), "digest")
+    found = bloom.probe(asked.withColumn("digest", F.xxhash64("place")), "digest", shared, bits).filter("maybe")
+    found = materialize(found.select("node", "root", F.col("digest").alias("place"), (F.col("number") % BALL == 0).alias("own_value")), "asked-places")
+    # Places within one component have nothing left to find, and of those with the same members one is enough.
+    same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"set_{k}") for k in range(2)]
+    places = found.groupBy("place").agg(F.count("*").alias("n"), *same, F.count_if("own_value").alias("owners"), F.min("root").alias("low"), F.max("root").alias("high"))
+    some = places.filter("low <> high").groupBy("n", "set_0", "set_1").agg(F.max_by("place", F.struct("owners", "place")).alias("place")).select("place")
+    members = found.join(some, "place").select("place", "node", F.lit(True).alias("holds"), "own_value")
+    return _linked(members, near, star, roots)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = NEAR_WORDS, least: float = SIMILARITY) -> DataFrame:
