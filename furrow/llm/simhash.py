@@ -54,6 +54,8 @@ VALUES_OF_TASK = 1 << 20
 #: How often nodes are compared with heads of their places before all that are left are.
 ROUNDS = 2
 MAX_DISTANCE = 64
+#: A set's shingles are counted by bucket, a bound on what two sets share; sets of more than MOST_COUNTED shingles are compared without it.
+BUCKETS, MOST_COUNTED = 256, (1 << 15) - 1
 #: Texts whose sets are given on at a time.
 TEXTS = 500
 
@@ -246,7 +248,7 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
 
 
 def sets(rows: DataFrame, size: int) -> DataFrame:
-    """rows(id, text, key) with the set of shingles, its hash `node`, its wide fingerprint and weak bits in place of text; key is carried."""
+    """rows(id, text, key) with the set of shingles, its hash `node`, its wide fingerprint and weak bits and its counts by bucket in place of text; key is carried."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -257,14 +259,15 @@ def sets(rows: DataFrame, size: int) -> DataFrame:
                 found = [np.unique(shingle_hashes(t.as_py(), size)) for t in batch.column(1)]
                 nodes = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
                 prints = [wide_fingerprint(s) for s in found]
+                counts = [np.minimum(np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), MOST_COUNTED) for s in found]
                 lists = [
                     pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts).astype(kind)))
-                    for parts, kind in (([p.view(np.int64) for p, _ in prints], np.int64), ([w.ravel() for _, w in prints], np.int16), ([s.view(np.int64) for s in found], np.int64))
+                    for parts, kind in (([p.view(np.int64) for p, _ in prints], np.int64), ([w.ravel() for _, w in prints], np.int16), (counts, np.int16), ([s.view(np.int64) for s in found], np.int64))
                 ]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes), *lists], ["id", "key", "node", "fp", "weak", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes), *lists], ["id", "key", "node", "fp", "weak", "counts", "shingles"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, key long, node long, fp array<long>, weak array<short>, shingles array<long>")
+    return rows.mapInArrow(run, f"id {kind}, key long, node long, fp array<long>, weak array<short>, counts array<short>, shingles array<long>")
 
 
 def _ball_places(fp: Column, weak: Column) -> Column:
@@ -302,14 +305,17 @@ def _own_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def similar_links(nodes: DataFrame, sets_of: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) of nodes(node, fp, weak, n) whose sets_of(node, shingles) have a Jaccard similarity of `least` or more, with the components of all that share a place."""
+    """Links (a, b) of nodes(node, fp, weak, counts, n) whose sets_of(node, shingles) have a Jaccard similarity of `least` or more, with the components of all that share a place."""
 
     def near(pairs: DataFrame) -> DataFrame:
-        one, other = (nodes.select(F.col("node").alias(n), F.col("fp").alias(f"fp_{n}"), F.col("n").alias(f"n_{n}")) for n in ("a", "b"))
+        one, other = (nodes.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("fp", "counts", "n")]) for n in ("a", "b"))
         distance = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
         # Sets whose sizes differ more can't be that similar.
         sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(least) - 1e-9
-        close = materialize(pairs.join(one, "a").join(other, "b").filter(sized & (distance <= MAX_DISTANCE)).select("a", "b"), "close-pairs")
+        # Two sets share no more of a bucket than the one with the fewer has there.
+        shared = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, d: s + d)
+        may_share = (F.greatest("n_a", "n_b") > MOST_COUNTED) | (shared >= (F.col("n_a") + F.col("n_b") - shared) * F.lit(least) - 1e-9)
+        close = materialize(pairs.join(one, "a").join(other, "b").filter(sized & (distance <= MAX_DISTANCE) & may_share).select("a", "b"), "close-pairs")
         # Only the sets of these pairs, and a few by chance, move.
         wanted = materialize(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted-sets")
         bits = bloom.array_bits(wanted.count())
@@ -353,7 +359,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         again = rows.filter("maybe").groupBy("node").agg(*[F.first(n).alias(n) for n in names])
         return rows.filter(~F.col("maybe")).select("node", *names).unionByName(again)
 
-    nodes = materialize(once(F.col("fp"), F.col("weak"), F.size("shingles").alias("n")), "nodes")
+    nodes = materialize(once(F.col("fp"), F.col("weak"), F.col("counts"), F.size("shingles").alias("n")), "nodes")
     members = _roots(firsts.select("node", "first_id"), similar_links(nodes, once(F.col("shingles")), least))
     return found.select("id", "key", "node").join(members, "node").select("id", "key", F.col("node").alias("fp"), "component_id")
 
