@@ -9,6 +9,7 @@ other white space beside a space are cut by a pattern, or encoded whole where no
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from array import array
@@ -163,6 +164,15 @@ class Encoder:
         for a, b in zip(edges, edges[1:], strict=False):
             if b > a:
                 yield a, *self._block(texts.slice(a, b - a), end)
+        give_back()
+
+
+def give_back() -> None:
+    """Returns what Arrow and Python have freed to the system after a batch: a worker that waits would hold it beside what later stages need."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim is not None:
+        trim(0)
 
 
 def _strings(column: pa.Array) -> list[str]:
