@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from furrow.llm import bloom
 from furrow.llm.common import carried, materialize, small_batches, whole_text
+from furrow.llm.tokens import give_back
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -248,7 +249,7 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
 
 
 def sets(rows: DataFrame, size: int) -> DataFrame:
-    """rows(id, text, key) with the set of shingles, its hash `node`, its wide fingerprint and weak bits and its counts by bucket in place of text; key is carried."""
+    """rows(id, text, key) with the hash `node` of the set of shingles, its size n, its wide fingerprint and weak bits and its counts by bucket in place of text; key is carried."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -262,12 +263,31 @@ def sets(rows: DataFrame, size: int) -> DataFrame:
                 counts = [np.minimum(np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), MOST_COUNTED) for s in found]
                 lists = [
                     pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts).astype(kind)))
-                    for parts, kind in (([p.view(np.int64) for p, _ in prints], np.int64), ([w.ravel() for _, w in prints], np.int16), (counts, np.int16), ([s.view(np.int64) for s in found], np.int64))
+                    for parts, kind in (([p.view(np.int64) for p, _ in prints], np.int64), ([w.ravel() for _, w in prints], np.int16), (counts, np.int16))
                 ]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes), *lists], ["id", "key", "node", "fp", "weak", "counts", "shingles"])
+                sizes = pa.array(list(map(len, found)), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes), *lists, sizes], ["id", "key", "node", "fp", "weak", "counts", "n"])
+            give_back()
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, key long, node long, fp array<long>, weak array<short>, counts array<short>, shingles array<long>")
+    return rows.mapInArrow(run, f"id {kind}, key long, node long, fp array<long>, weak array<short>, counts array<short>, n int")
+
+
+def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
+    """node and shingles, the set itself, of rows(text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for whole in batches:
+            for k in range(0, len(whole), TEXTS):
+                found = [np.unique(shingle_hashes(t.as_py(), size)) for t in whole.column(0).slice(k, TEXTS)]
+                nodes = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), lists], ["node", "shingles"])
+            give_back()
+
+    return rows.select("text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def _ball_places(fp: Column, weak: Column) -> Column:
@@ -304,8 +324,8 @@ def _own_pairs(nodes: DataFrame) -> DataFrame:
     return best.select(F.explode(F.array("first", "second")).alias("head"), "node").select(*_ordered("node", "head")).distinct()
 
 
-def similar_links(nodes: DataFrame, sets_of: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) of nodes(node, fp, weak, counts, n) whose sets_of(node, shingles) have a Jaccard similarity of `least` or more, with the components of all that share a place."""
+def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+    """Links (a, b) of nodes(node, fp, weak, counts, n) whose sets have a Jaccard similarity of `least` or more, with the components of all that share a place; sets_of gives a table (node, shingles) of some nodes(node)."""
 
     def near(pairs: DataFrame) -> DataFrame:
         one, other = (nodes.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("fp", "counts", "n")]) for n in ("a", "b"))
@@ -316,10 +336,8 @@ def similar_links(nodes: DataFrame, sets_of: DataFrame, least: float) -> DataFra
         shared = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, d: s + d)
         may_share = (F.greatest("n_a", "n_b") > MOST_COUNTED) | (shared >= (F.col("n_a") + F.col("n_b") - shared) * F.lit(least) - 1e-9)
         close = materialize(pairs.join(one, "a").join(other, "b").filter(sized & (distance <= MAX_DISTANCE) & may_share).select("a", "b"), "close-pairs")
-        # Only the sets of these pairs, and a few by chance, move.
-        wanted = materialize(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted-sets")
-        bits = bloom.array_bits(wanted.count())
-        held = bloom.probe(sets_of.withColumn("digest", F.xxhash64("node")), "digest", bloom.build(wanted.select(F.xxhash64("node").alias("digest")), "digest", bits), bits).filter("maybe")
+        # Only the sets of these pairs are made and move.
+        held = sets_of(materialize(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted-sets"))
         left, right = (held.select(F.col("node").alias(n), F.col("shingles").alias(f"of_{n}")) for n in ("a", "b"))
         both = F.size(F.array_intersect("of_a", "of_b"))
         # Compared as a product, with room for the rounding of `least` alone.
@@ -345,22 +363,31 @@ def similar_links(nodes: DataFrame, sets_of: DataFrame, least: float) -> DataFra
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = NEAR_WORDS, least: float = SIMILARITY) -> DataFrame:
     """id, key (a hash of the text), fp (a hash of the set of shingles) and component_id of every row; sets of `size`-word shingles link at a Jaccard similarity of `least`."""
+    texts = _texts(docs, id_col, text_col)
     with small_batches(docs.sparkSession):
-        found = materialize(sets(_texts(docs, id_col, text_col), size), "shingles")
-    firsts = materialize(found.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("rows")), "distinct-sets")
+        found = materialize(sets(texts, size), "fingerprints-of-sets")
+    # A set is made again from one of its texts where it is compared: all sets would take twice the room of the texts.
+    firsts = materialize(found.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("rows"), F.min("key").alias("key")), "distinct-sets")
+
+    def filter_of(digests: DataFrame) -> tuple[DataFrame, int]:
+        bits = bloom.array_bits(digests.count())
+        return bloom.build(digests, "digest", bits), bits
+
     # A set that comes once is taken as it stands; only rows of repeated ones, and a few by chance, are grouped.
-    repeated = firsts.filter("rows > 1").select(F.xxhash64("node").alias("digest"))
-    bits = bloom.array_bits(repeated.count())
-    tested = bloom.probe(found.withColumn("digest", F.xxhash64("node")), "digest", bloom.build(repeated, "digest", bits), bits)
-
-    def once(*columns: Column) -> DataFrame:
-        rows = tested.select("node", "maybe", *columns)
-        names = rows.columns[2:]
-        again = rows.filter("maybe").groupBy("node").agg(*[F.first(n).alias(n) for n in names])
-        return rows.filter(~F.col("maybe")).select("node", *names).unionByName(again)
-
-    nodes = materialize(once(F.col("fp"), F.col("weak"), F.col("counts"), F.size("shingles").alias("n")), "nodes")
-    members = _roots(firsts.select("node", "first_id"), similar_links(nodes, once(F.col("shingles")), least))
+    repeated = filter_of(firsts.filter("rows > 1").select(F.xxhash64("node").alias("digest")))
+    rows = bloom.probe(found.withColumn("digest", F.xxhash64("node")), "digest", *repeated).select("maybe", "node", "fp", "weak", "counts", "n")
+    again = rows.filter("maybe").groupBy("node").agg(*[F.first(n).alias(n) for n in ("fp", "weak", "counts", "n")])
+    nodes = materialize(rows.filter(~F.col("maybe")).drop("maybe").unionByName(again), "nodes")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        keys = materialize(wanted.join(firsts, "node").select(F.col("key").alias("digest")), "wanted-texts")
+        held = bloom.probe(texts.select("text", F.col("key").alias("digest")), "digest", *filter_of(keys)).filter("maybe").drop("maybe")
+        # Tasks drop their own copies first, so a text moves once from a task at most; then those that passed by chance go.
+        once = held.dropDuplicates(["digest"]).join(keys, "digest", "left_semi")
+        with small_batches(docs.sparkSession):
+            return materialize(shingle_sets(once, size), "wanted-shingles")
+
+    members = _roots(firsts.select("node", "first_id"), similar_links(nodes, sets_of, least))
     return found.select("id", "key", "node").join(members, "node").select("id", "key", F.col("node").alias("fp"), "component_id")
 
 
