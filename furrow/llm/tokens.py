@@ -68,7 +68,7 @@ class Encoder:
     def _alone(self, units: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.plain.encode_batch_fast(units, add_special_tokens=False)]
 
-    def _encode(self, units: list[str]) -> list[bytes]:
+    def encode_words(self, units: list[str]) -> list[bytes]:
         """The ids of each word; many words in one text where the ids themselves say which begins where."""
         if not self.joins:
             return self._alone(units)
@@ -93,7 +93,7 @@ class Encoder:
         """The ids of words that aren't in `words`; they are put there, and a full generation becomes the older one."""
         found = list(map(self.older.get, new))
         unknown = [u for u, ids in zip(new, found, strict=True) if ids is None]
-        learned = iter(self._encode(unknown))
+        learned = iter(self.encode_words(unknown))
         found = [next(learned) if ids is None else ids for ids in found]
         if len(self.words) + len(new) > MAX_WORDS:
             self.older, self.words = self.words, {}
