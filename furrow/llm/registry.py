@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import alignment, exact_dedup, fingerprints, mixing, packing, pii, quality, sharding, simhash, token_counts, token_store
+from furrow.llm import alignment, conversations, exact_dedup, fingerprints, mixing, packing, pii, quality, sharding, simhash, token_counts, token_store
 from furrow.llm.common import documents
 from furrow.session import shared_folder
 
@@ -75,11 +75,16 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n_chars").cast("long"), "edited_sha256", *prints, "near_edited", "near_next")
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.repair_all(conversations.damage(rows), rows)
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_token_store, op4_pii, op5_simhash, op6_mixing, op7_quality, op8_token_counts, op9_packing, op10_fingerprints, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_token_store, op4_pii, op5_simhash, op6_mixing, op7_quality, op8_token_counts, op9_packing, op10_fingerprints, op12_conversations, op13_alignment)}
 
 ORACLES = {
     "op1_exact_dedup": """
@@ -108,4 +113,56 @@ ORACLES = {
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target,
                size * (floor(rate)::BIGINT + (draw < rate - floor(rate))::BIGINT) AS taken FROM c""",
+    "op12_conversations": r"""
+        WITH RECURSIVE keyed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT) AS key FROM conversations),
+        hashed AS (
+            SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(key, lambda crc, c: list_reduce(
+                [1, 2, 3, 4, 5, 6, 7, 8], lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(crc, c)), 4294967295)) % 20 AS kind FROM keyed),
+        damaged AS (
+            SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM hashed, (VALUES (1), (2)) AS times (copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM damaged),
+        marked AS (
+            SELECT *, row_number() OVER own AS k, left(role, 1) AS initial, lag(left(role, 1)) OVER own || left(role, 1) AS pair,
+                   CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                        WHEN nth > 1 THEN 'duplicate'
+                        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+            FROM numbered WINDOW own AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth)),
+        grammar (state, initial, role, next) AS (
+            VALUES (0, 's', NULL, 1), (0, 'u', 'user', 2), (1, 'u', 'user', 2), (2, 'a', 'assistant', 3), (3, 'u', 'user', 2)),
+        inserts AS (
+            SELECT state, '' AS audit, []::VARCHAR[] AS lines, state AS reached, 0 AS cost FROM generate_series(0, 3) AS s (state)
+            UNION ALL
+            SELECT i.state, i.audit || 'I', list_append(i.lines, g.role || ':'), g.next, i.cost + 5
+            FROM inserts AS i JOIN grammar AS g ON g.state = i.reached AND g.role IS NOT NULL WHERE length(i.audit) < 2),
+        edits AS (
+            SELECT i.state, i.audit || 'K' AS audit, i.lines, 'K' AS edit, g.initial, NULL AS role, g.next, i.cost FROM inserts AS i JOIN grammar AS g ON g.state = i.reached
+            UNION ALL
+            SELECT i.state, i.audit || 'R', i.lines, 'R', NULL, g.role, g.next, i.cost + 1 FROM inserts AS i JOIN grammar AS g ON g.state = i.reached AND g.role IS NOT NULL
+            UNION ALL
+            SELECT state, audit || 'D', lines, 'D', NULL, NULL, reached, cost + 2 FROM inserts),
+        paths AS (
+            SELECT conv_id, 0 AS k, 0 AS state, {'cost': 0, 'audit': '', 'lines': []::VARCHAR[]} AS best FROM (SELECT DISTINCT conv_id FROM marked)
+            UNION ALL
+            SELECT p.conv_id, m.k, e.next, min({
+                'cost': p.best.cost + e.cost + CASE WHEN m.fault = 'truncated' AND e.edit <> 'D' THEN 5 ELSE 0 END, 'audit': p.best.audit || e.audit,
+                'lines': list_concat(list_concat(p.best.lines, e.lines), CASE e.edit WHEN 'D' THEN [] ELSE [coalesce(e.role, m.role) || ':' || m.text] END)})
+            FROM paths AS p JOIN marked AS m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.k = p.k + 1 JOIN edits AS e ON e.state = p.state
+            WHERE e.edit = 'D' OR (m.fault NOT IN ('blank', 'duplicate') AND (e.edit = 'R' OR e.initial = m.initial))
+            GROUP BY p.conv_id, m.k, e.next),
+        counted AS (
+            SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                   count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM marked GROUP BY conv_id),
+        done AS (
+            SELECT p.conv_id, min({'cost': p.best.cost + i.cost, 'audit': p.best.audit || i.audit, 'lines': list_concat(p.best.lines, i.lines)}) AS best
+            FROM paths AS p JOIN counted AS c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.n = p.k JOIN inserts AS i ON i.state = p.state AND i.reached IN (0, 3) GROUP BY p.conv_id)
+        SELECT o.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated,
+               coalesce(c.illegal, 0) AS illegal, coalesce(d.best.cost, 0)::BIGINT AS cost, coalesce(d.best.audit, '') AS audit,
+               sha256(coalesce(array_to_string(d.best.lines, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) AS o LEFT JOIN counted AS c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+             LEFT JOIN done AS d ON d.conv_id IS NOT DISTINCT FROM o.conv_id""",
 }
