@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -35,6 +35,8 @@ from furrow.llm.tokens import give_back
 WIDTH = 128
 #: Bytes of text in a chunk.
 CHUNK_BYTES = 8 << 20
+#: Distinct words that are aligned at a time.
+BLOCK_WORDS = 1 << 15
 #: Chunks whose pairs of one stripe meet in a task.
 SALT_CHUNKS = 4096
 
@@ -97,6 +99,11 @@ class Aligner:
         return np.fromiter((b"".join(parts[s:e]) == w.encode() for (s, e), w in zip(pairwise(edges), words, strict=True)), bool, len(words))
 
     def align(self, words: list[str]) -> Aligned:
+        """A block of words after the other, which bounds what is held beside the result."""
+        parts = [self._block(words[k : k + BLOCK_WORDS]) for k in range(0, max(1, len(words)), BLOCK_WORDS)]
+        return Aligned(*[list(chain.from_iterable(c)) if name == "groups" else np.concatenate(c) for name, c in zip(Aligned._fields, zip(*parts, strict=True), strict=True)])
+
+    def _block(self, words: list[str]) -> Aligned:
         a, b = self.a.encode(words), self.b.encode(words)
         whole = self._written(a, self.a.bytes, words) & self._written(b, self.b.bytes, words)
         a_ids, b_ids = a.ids[np.repeat(whole, a.counts)], b.ids[np.repeat(whole, b.counts)]
