@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import alignment, conversations, exact_dedup, fingerprints, mixing, packing, pii, quality, sharding, simhash, token_counts, token_store
+from furrow.llm import alignment, conversations, exact_dedup, fingerprints, mixing, packing, pii, quality, quality_rules, sharding, simhash, token_counts, token_store
 from furrow.llm.common import documents
 from furrow.session import shared_folder
 
@@ -75,6 +75,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n_chars").cast("long"), "edited_sha256", *prints, "near_edited", "near_next")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return conversations.repair_all(conversations.damage(rows), rows)
@@ -84,7 +89,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_token_store, op4_pii, op5_simhash, op6_mixing, op7_quality, op8_token_counts, op9_packing, op10_fingerprints, op12_conversations, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_token_store, op4_pii, op5_simhash, op6_mixing, op7_quality, op8_token_counts, op9_packing, op10_fingerprints, op11_quality_rules, op12_conversations, op13_alignment)}
 
 ORACLES = {
     "op1_exact_dedup": """

@@ -34,7 +34,7 @@ class Words(NamedTuple):
 def cut(texts: pa.Array) -> Words:
     """The words of texts none of which is null or empty."""
     odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
-    lists = pc.split_pattern(pc.if_else(odd, "", texts) if odd.any() else texts, " ")
+    lists = pc.split_pattern(pc.if_else(odd, "a", texts) if odd.any() else texts, " ")  # any word in place of those that are replaced below
     flat = pc.list_flatten(lists).dictionary_encode()
     words = [" " + w for w in flat.dictionary.to_pylist()]
     places = flat.indices.to_numpy().astype(np.int64)
@@ -90,6 +90,8 @@ class Pieces:
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.size)])
         self.bytes = [bytes([int(n[3:5], 16)]) if b else n.replace(_MARK, " ").encode() for n, b in zip(names, self.is_byte, strict=True)]
         self.opens = np.array([n.startswith(_MARK) for n in names])
+        #: Bytes that stand for want of a piece; white space has none.
+        self.falls_back = self.is_byte & np.array([b not in b" \t\n\x0b\x0c\r" for b in self.bytes])
 
     def encode(self, words: list[str]) -> Tokens:
         plain = [w for w in words if w.count(" ") == 1 and _MARK not in w]
