@@ -9,8 +9,9 @@ Equal fingerprints (or sets of shingles) count once: what is joined grows with t
 - near_copies(): links at a Jaccard similarity of the sets of shingles. At a similarity of 0.8 about 15 % of the bits
   differ, which no complete ball of a useful segment covers. So fingerprints have WIDE_BITS bits, and either side enumerates a ball of its own: the BALL likeliest
   differences among the WEAK bits of a segment whose votes were the closest. Pairs within MAX_DISTANCE bits are then verified on the sets themselves, so no estimate
-  links. Of pairs at a similarity of 0.8 about 98.5 % share a value in some segment, at 0.85 or 0.9 practically all of texts of 200 shingles; a
-  group of copies has many pairs to be found by.
+  links. Of pairs of larger sets at a similarity of 0.8 about 98.5 % share a value in some segment, at 0.85 or 0.9 practically all of texts of 200 shingles; a
+  group of copies has many pairs to be found by. The few votes of sets of up to SMALL shingles flip in lumps; these sets, and larger ones that can be like them, meet exactly: two sets at a similarity of s
+  share one of their n - ceil(s n) + 1 first shingles in any order, here the rarest first, so that few meet by a common line.
 
 The pairs of a value aren't all made. Near copies first meet the smallest node that has one of their own values, which already joins most of a large group; values that
 only one component holds need no further pairs, and of values with the same holders one is enough. In ROUNDS rounds a value has a head among its holders, first the one that lies most in the middle (by how many come upon its own values), then another one for
@@ -38,6 +39,7 @@ from pyspark.sql import functions as F
 from furrow.llm import bloom
 from furrow.llm.common import carried, materialize, small_batches, whole_text
 from furrow.llm.tokens import give_back
+from furrow.session import working_tables
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -55,6 +57,8 @@ VALUES_OF_TASK = 1 << 20
 #: How often nodes are compared with heads of their places before all that are left are.
 ROUNDS = 2
 MAX_DISTANCE = 64
+#: Sets of at most so many shingles meet by the shingles themselves.
+SMALL = 25
 #: A set's shingles are counted by bucket, a bound on what two sets share; sets of more than MOST_COUNTED shingles are compared without it.
 BUCKETS, MOST_COUNTED = 256, (1 << 15) - 1
 #: Texts whose sets are given on at a time.
@@ -183,7 +187,8 @@ def _linked(members: DataFrame, near: Callable[[DataFrame], DataFrame], star: Da
         met = left.groupBy("node", F.col("new_head").alias("head")).agg(F.count("*").alias("n"))
         best = met.groupBy("node").agg(F.max(F.struct("n", "head"))["head"].alias("first"), F.min(F.struct((-F.col("n")).alias("n"), "head"))["head"].alias("second"), F.max_by("head", F.xxhash64("head")).alias("third"))
         pairs = best.select(F.explode(F.array("first", "second", "third")).alias("head"), "node").select(*_ordered("node", "head")).distinct()
-        found = materialize(near(pairs if roots is None else _apart(pairs, roots)), "first-links")
+        with working_tables(members.sparkSession) as scope:
+            found = scope.keep(materialize(near(pairs if roots is None else _apart(pairs, roots)), "first-links"))
         star = found if star is None else star.unionByName(found)
         roots = components(star)
         of_node = roots.select("node", F.col("root").alias("own"))
@@ -209,8 +214,16 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS)
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(a, b): root is the smallest node of its component."""
-    current = materialize(edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct(), "links")
-    while True:
+    with working_tables(edges.sparkSession) as scope:
+        current, done = materialize(edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct(), "links"), False
+        while not done:
+            current, done = _star_round(current)
+        return scope.keep(current)
+
+
+def _star_round(current: DataFrame) -> tuple[DataFrame, bool]:
+    """(node, root) after a round of the large and the small star, and whether nothing changed."""
+    with working_tables(current.sparkSession) as scope:
         # Each node's larger neighbours, and itself, go to its smallest neighbour.
         both = current.unionByName(current.select(F.col("root").alias("node"), F.col("node").alias("root")))
         least = both.groupBy("node").agg(F.min("root").alias("low")).select("node", F.least("node", "low").alias("low"))
@@ -219,11 +232,9 @@ def components(edges: DataFrame) -> DataFrame:
         # Each node and its smaller neighbours go to the smallest of them.
         least = large.groupBy("node").agg(F.min("root").alias("low"))
         smaller = large.join(least, "node").select(F.col("root").alias("node"), F.col("low").alias("root"))
-        after = materialize(smaller.unionByName(least.select("node", F.col("low").alias("root"))).filter("node <> root").distinct(), "small-star")
+        after = scope.keep(materialize(smaller.unionByName(least.select("node", F.col("low").alias("root"))).filter("node <> root").distinct(), "small-star"))
         new = after.join(current, ["node", "root"], "left_anti")
-        if after.count() == current.count() and new.isEmpty():
-            return after
-        current = after
+        return after, after.count() == current.count() and new.isEmpty()
 
 
 def _roots(firsts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -248,8 +259,8 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     return prints.join(members, F.col("fp") == F.col("node")).select("id", "key", "fp", "component_id")
 
 
-def sets(rows: DataFrame, size: int) -> DataFrame:
-    """rows(id, text, key) with the hash `node` of the set of shingles, its size n, its wide fingerprint and weak bits and its counts by bucket in place of text; key is carried."""
+def sets(rows: DataFrame, size: int, most: int) -> DataFrame:
+    """rows(id, text, key) with the hash `node` of the set of shingles, its size n, its wide fingerprint and weak bits, its counts by bucket and, up to `most` shingles, the set itself in place of text; key is carried."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -266,11 +277,13 @@ def sets(rows: DataFrame, size: int) -> DataFrame:
                     for parts, kind in (([p.view(np.int64) for p, _ in prints], np.int64), ([w.ravel() for _, w in prints], np.int16), (counts, np.int16))
                 ]
                 sizes = pa.array(list(map(len, found)), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes), *lists, sizes], ["id", "key", "node", "fp", "weak", "counts", "n"])
+                few = [s.view(np.int64) if len(s) <= most else s[:0].view(np.int64) for s in found]
+                small = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, few)]), pa.int32()), pa.array(np.concatenate(few)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes), *lists, sizes, small], ["id", "key", "node", "fp", "weak", "counts", "n", "small"])
             give_back()
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, key long, node long, fp array<long>, weak array<short>, counts array<short>, n int")
+    return rows.mapInArrow(run, f"id {kind}, key long, node long, fp array<long>, weak array<short>, counts array<short>, n int, small array<long>")
 
 
 def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
@@ -314,6 +327,16 @@ def _ball_places(fp: Column, weak: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(WIDE_SEGMENTS - 1)), of_segment))
 
 
+def _first_shingles(nodes: DataFrame, least: float) -> DataFrame:
+    """node and place for the rarest shingles of each of nodes(node, small): as many as make any two sets that are similar enough share one."""
+    own = nodes.filter(F.size("small") > 0).select("node", F.size("small").alias("n"), F.explode("small").alias("shingle"))
+    counts = own.groupBy("shingle").agg(F.count("*").alias("holders"))
+    ordered = own.join(counts, "shingle").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "shingle"))).alias("all"))  # a small set
+    first = F.slice("all", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)
+    held = ordered.select("node", F.explode(first).alias("first")).filter("first.holders > 1")
+    return held.select("node", F.xxhash64(F.lit("shingle"), "first.shingle").alias("place"))
+
+
 def _own_pairs(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of each of nodes(node, fp) with the smallest nodes that have the value of one of its segments: of these, the one for the most segments, and the smallest."""
     halves = F.transform("fp", lambda x: F.array(F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit((1 << 32) - 1))))
@@ -325,7 +348,7 @@ def _own_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
-    """Links (a, b) of nodes(node, fp, weak, counts, n) whose sets have a Jaccard similarity of `least` or more, with the components of all that share a place; sets_of gives a table (node, shingles) of some nodes(node)."""
+    """Links (a, b) of nodes(node, fp, weak, counts, n, small) whose sets have a Jaccard similarity of `least` or more, with the components of all that share a place; sets_of gives a table (node, shingles) of some nodes(node)."""
 
     def near(pairs: DataFrame) -> DataFrame:
         one, other = (nodes.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("fp", "counts", "n")]) for n in ("a", "b"))
@@ -335,7 +358,7 @@ def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], l
         # Two sets share no more of a bucket than the one with the fewer has there.
         shared = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, d: s + d)
         may_share = (F.greatest("n_a", "n_b") > MOST_COUNTED) | (shared >= (F.col("n_a") + F.col("n_b") - shared) * F.lit(least) - 1e-9)
-        close = materialize(pairs.join(one, "a").join(other, "b").filter(sized & (distance <= MAX_DISTANCE) & may_share).select("a", "b"), "close-pairs")
+        close = materialize(pairs.join(one, "a").join(other, "b").filter(sized & ((distance <= MAX_DISTANCE) | (F.least("n_a", "n_b") <= SMALL)) & may_share).select("a", "b"), "close-pairs")
         # Only the sets of these pairs are made and move.
         held = sets_of(materialize(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted-sets"))
         left, right = (held.select(F.col("node").alias(n), F.col("shingles").alias(f"of_{n}")) for n in ("a", "b"))
@@ -344,15 +367,19 @@ def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], l
         enough = both >= (F.size("of_a") + F.size("of_b") - both) * F.lit(least) - 1e-9
         return close.join(left, "a").join(right, "b").filter(enough).select("a", "b")
 
-    star = materialize(near(_own_pairs(nodes)), "own-links")
+    with working_tables(nodes.sparkSession) as scope:
+        star = scope.keep(materialize(near(_own_pairs(nodes)), "own-links"))
     roots = components(star)
-    rooted = nodes.join(roots, "node", "left").select("node", "fp", "weak", F.coalesce("root", "node").alias("root"))
+    rooted = nodes.join(roots, "node", "left").select("node", "fp", "weak", "n", "small", F.coalesce("root", "node").alias("root"))
     # A task's values are counted in memory.
     tasks = nodes.count() * WIDE_SEGMENTS * BALL // VALUES_OF_TASK + 1
-    asked = rooted.repartition(tasks, "node").select("node", "root", F.posexplode(_ball_places(F.col("fp"), F.col("weak"))).alias("number", "place"))
+    balls = rooted.filter(F.col("n") > SMALL)  # smaller sets meet by their shingles alone
+    asked = balls.repartition(tasks, "node").select("node", "root", F.posexplode(_ball_places(F.col("fp"), F.col("weak"))).alias("number", "place"))
     shared, bits = bloom.repeated(asked.select(F.xxhash64("place").alias("digest")), "digest")
     found = bloom.probe(asked.withColumn("digest", F.xxhash64("place")), "digest", shared, bits).filter("maybe")
-    found = materialize(found.select("node", "root", F.col("digest").alias("place"), (F.col("number") % BALL == 0).alias("own_value")), "asked-places")
+    found = found.select("node", "root", F.col("digest").alias("place"), (F.col("number") % BALL == 0).alias("own_value"))
+    first = _first_shingles(rooted, least).join(rooted.select("node", "root"), "node").select("node", "root", "place", F.lit(True).alias("own_value"))
+    found = materialize(found.unionByName(first), "asked-places")
     # Places within one component have nothing left to find, and of those with the same members one is enough.
     same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"set_{k}") for k in range(2)]
     places = found.groupBy("place").agg(F.count("*").alias("n"), *same, F.count_if("own_value").alias("owners"), F.min("root").alias("low"), F.max("root").alias("high"))
@@ -365,7 +392,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id, key (a hash of the text), fp (a hash of the set of shingles) and component_id of every row; sets of `size`-word shingles link at a Jaccard similarity of `least`."""
     texts = _texts(docs, id_col, text_col)
     with small_batches(docs.sparkSession):
-        found = materialize(sets(texts, size), "fingerprints-of-sets")
+        found = materialize(sets(texts, size, int(SMALL / least + 1e-9)), "fingerprints-of-sets")
     # A set is made again from one of its texts where it is compared: all sets would take twice the room of the texts.
     firsts = materialize(found.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("rows"), F.min("key").alias("key")), "distinct-sets")
 
@@ -375,8 +402,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # A set that comes once is taken as it stands; only rows of repeated ones, and a few by chance, are grouped.
     repeated = filter_of(firsts.filter("rows > 1").select(F.xxhash64("node").alias("digest")))
-    rows = bloom.probe(found.withColumn("digest", F.xxhash64("node")), "digest", *repeated).select("maybe", "node", "fp", "weak", "counts", "n")
-    again = rows.filter("maybe").groupBy("node").agg(*[F.first(n).alias(n) for n in ("fp", "weak", "counts", "n")])
+    rows = bloom.probe(found.withColumn("digest", F.xxhash64("node")), "digest", *repeated).select("maybe", "node", "fp", "weak", "counts", "n", "small")
+    again = rows.filter("maybe").groupBy("node").agg(*[F.first(n).alias(n) for n in ("fp", "weak", "counts", "n", "small")])
     nodes = materialize(rows.filter(~F.col("maybe")).drop("maybe").unionByName(again), "nodes")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
@@ -392,26 +419,33 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = NEAR_WORDS, least: float = SIMILARITY) -> DataFrame:
-    """The document with the smallest id of each group of near copies, with the columns of docs."""
-    return keep_first(docs, near_copies(docs, id_col, text_col, size, least), id_col, text_col)
+    """The document with the smallest id of each group of near copies, with the columns of docs. Of the working tables only those that say which rows go are left."""
+    with working_tables(docs.sparkSession) as scope:
+        gone, multiple = (scope.keep(t) for t in _goes(near_copies(docs, id_col, text_col, size, least)))
+    return _without(docs, gone, multiple, id_col, text_col)
 
 
 def keep_first(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest id of each component of members, which is the outcome of clusters() or near_copies()."""
+    return _without(docs, *_goes(members), id_col, text_col)
+
+
+def _goes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which rows go, by (id, key), and the key that stays of each id that heads a component more than once."""
     found = materialize(members, "clusters")
-    heads = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("key").alias("head_key"), F.count("*").alias("n"), F.min("fp").alias("of_fp"))
+    heads = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("key").alias("head_key"), F.count("*").alias("n"))
     same = F.col("id").eqNullSafe(F.col("component_id"))
-    multiple = heads.filter("n > 1 AND component_id IS NOT NULL").select(F.col("component_id").alias("head_id"), "head_key")
+    multiple = materialize(heads.filter("n > 1 AND component_id IS NOT NULL").select(F.col("component_id").alias("head_id"), "head_key"), "repeated-ids")
     gone = found.filter(~same).select("id", "key")
-    repeated = not multiple.isEmpty()
-    if repeated:  # some ids come more than once: of different texts of one id the one with the smallest hash stays
-        other = found.filter(same).join(multiple, (F.col("id") == F.col("head_id")) & (F.col("key") != F.col("head_key")))
-        gone = gone.unionByName(other.select("id", "key"))
-    gone = materialize(gone.distinct(), "near-copies")
-    text = whole_text(docs, text_col)
-    rows = carried(docs, id=docs[id_col], key=F.xxhash64(text))
+    # Some ids come more than once: of different texts of one id the one with the smallest hash stays.
+    other = found.filter(same).join(multiple, (F.col("id") == F.col("head_id")) & (F.col("key") != F.col("head_key")))
+    return materialize(gone.unionByName(other.select("id", "key")).distinct(), "near-copies"), multiple
+
+
+def _without(docs: DataFrame, gone: DataFrame, multiple: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = carried(docs, id=docs[id_col], key=F.xxhash64(whole_text(docs, text_col)))
     kept = bloom.without(rows, ["id", "key"], gone)
-    if repeated:
+    if not multiple.isEmpty():
         kept = kept.join(multiple, F.col("id") == F.col("head_id"), "left")
         kept = kept.filter("head_id IS NULL").select("row").unionByName(kept.filter("head_id IS NOT NULL").dropDuplicates(["id", "key"]).select("row"))
     return kept.select("row.*")

@@ -76,3 +76,26 @@ def test_balls_find_pairs_of_the_least_similarity(words, similarity, least):
         distance = sum(int(a ^ b).bit_count() for a, b in zip(prints[0][0], prints[1][0], strict=True))
         hits += bool(held[0] & held[1]) and distance <= simhash.MAX_DISTANCE
     assert hits >= least * pairs
+
+
+def test_short_texts_link_exactly(spark):
+    """Every pair of sets of up to 25 shingles at 0.8 or more is found, whatever the edit, beside a line that many share."""
+    rng, texts = np.random.default_rng(11), {}
+    for words in range(1, 32):
+        for _ in range(6):
+            own = [f"w{v}" for v in rng.integers(0, 1 << 40, words)]
+            pair = [own, own[:-1], own[1:], [*own, "more"], [*own[:-1], "other"], ["other", *own[1:]], [*own[:3], "put", "in", *own[3:]], [*own, "a", "b", "c"]]
+            for k in rng.choice(len(pair), 2, replace=False):
+                texts[len(texts)] = " ".join(pair[k])
+    for k in range(400):  # alike in a common line alone
+        texts[len(texts)] = f"licensed under the terms of the common licence v{k} x{k} y{k}"
+    docs = spark.createDataFrame([(d, t) for d, t in texts.items()], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert kept == kept_by_brute_force(texts)
+
+
+def test_near_copies_leave_only_what_goes(spark, documents, monkeypatch, tmp_path):
+    monkeypatch.setattr("furrow.session.shared_folder", lambda _: f"file://{tmp_path}")
+    assert simhash.keep_one(documents).count() > 0
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir() if not p.name.startswith(".")}
+    assert left <= {"near-copies", "repeated-ids", "bloom", "spared"}
