@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.functions import geo, js
 from furrow.operators import layers, locations, schema, styling
 from furrow.plans.tables import table
+from furrow.session import shared_folder
+from furrow.sources import arcgis
 
 
 def hidden_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,11 +92,27 @@ def location_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _new_locations(spark, sf_dir).links.select("geo_id", "form_id", F.array_join("permissions", ",").alias("permissions"))
 
 
-QUERIES = {f.__name__: f for f in (hidden_columns, display_names, layer_groups, layer_summaries, renderer_symbols, legend_rows, feature_styles, service_colours, user_roles, location_rejects, location_attributes, location_links)}
+def service_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as a service's recorded answers of a hundred features each, read back by named and typed fields."""
+    suppliers = table(spark, sf_dir, "supplier")
+    attributes = F.struct(F.col("s_suppkey").alias("OBJECTID"), F.col("s_name").alias("Farm_Code"), F.when(F.col("s_suppkey") % 7 != 0, F.col("s_acctbal")).alias("Balance"), F.lit("not asked for").alias("Other"))
+    feature = F.struct(attributes.alias("attributes"), F.struct(F.col("s_nationkey").alias("x"), (F.col("s_suppkey") % 80).alias("y")).alias("geometry"))
+    answers = suppliers.groupBy(F.floor(F.col("s_suppkey") / 100).alias("page")).agg(F.collect_list(feature).alias("features")).select(F.to_json(F.struct("features")))
+    folder = f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
+    answers.write.text(folder)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(arcgis.ArcGisSource)
+    found = spark.read.format("arcgis").options(path=folder, fields="OBJECTID long, Farm_Code string, Balance double").load()
+    return found.filter((F.col("Balance") > 0) | F.col("Balance").isNull()).select(F.col("OBJECTID").alias("id"), F.col("Farm_Code").alias("code"), F.col("Balance").alias("balance"), "x", "y")
+
+
+QUERIES = {f.__name__: f for f in (service_fields, hidden_columns, display_names, layer_groups, layer_summaries, renderer_symbols, legend_rows, feature_styles, service_colours, user_roles, location_rejects, location_attributes, location_links)}
 _LOCATIONS = """WITH l AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 = 0 THEN 'site' ELSE lower(s_name) END AS site,
     concat_ws('; ', CASE WHEN s_suppkey % 7 = 0 THEN 'zone_id is malformed' END, CASE WHEN s_suppkey % 11 = 0 THEN 'unknown permission' END) AS e FROM supplier),
     g AS (SELECT *, CASE WHEN e <> '' THEN e WHEN row_number() OVER (PARTITION BY site, e = '' ORDER BY k) > 1 OR site = (SELECT lower(s_name) FROM supplier WHERE s_suppkey = 1) THEN 'site must be unique' END AS errors FROM l)"""
 ORACLES = {
+    "service_fields": """SELECT s_suppkey AS id, s_name AS code, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal END AS balance, s_nationkey::DOUBLE AS x, (s_suppkey % 80)::DOUBLE AS y
+        FROM supplier WHERE s_suppkey % 7 = 0 OR s_acctbal > 0""",
     "hidden_columns": "SELECT 2.0::DOUBLE AS grade, s_suppkey, s_name AS title, s_nationkey FROM supplier",
     "display_names": """SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 2 THEN 'other' ELSE 'Layer ' || s_suppkey END AS display_name, ['arcgis', 'https', 'custom'][(s_suppkey % 3 + 1)::INT] AS group_key FROM supplier""",
     "layer_groups": "SELECT ['arcgis', 'geojson', 'https', 'custom'][(p_partkey % 4 + 1)::INT] AS group_key, count(*) AS layers FROM part GROUP BY 1",

@@ -1,31 +1,37 @@
-"""Feature services as a Python data source, a partition for each page.
+"""Feature services as a Python data source.
 
-The service is read through a function of (offset, limit) that gives rows; `file` is one that reads a JSON file of the
-service's answer, which stands for the network in tests. Register with spark.dataSource.register(ArcGisSource).
+Filters and wanted fields reach the service: what its `where` can say of a filter goes there, escaped, and Spark tests every filter again on the rows, as a service may compare texts more loosely. The service is read in
+ranges of its object ids, a partition each, and within a range by key: the next page begins after the last object id, in their order, so rows that come or go meanwhile shift nothing.
+Recorded answers (a file with one, or a folder of text files with one a line) can be read in place of a service. Register with spark.dataSource.register(ArcGisSource), or use read_service.
 """
 
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from urllib.parse import urlencode
 from urllib.request import urlopen
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith,
+)
+from pyspark.sql.types import DataType, StructType
 
 from furrow.operators.catalog import natural_key
 
 PAGE, MAX_PAGES = 2000, 50
+KEY = "OBJECTID"
 
 
 class ArcGisSource(DataSource):
-    """Options: path (a file that all executors see) or url; page, pages, order, token. Rows: attributes as JSON text, x and y of a point or null.
+    """Options: url or path; page, pages, key, fields, contains, token. Rows: x and y of a point or null, and the features' attributes: as JSON text, or as columns where `fields` names and types them.
 
-    The number of pages needn't be known: where `pages` isn't given, the service is asked how many features it has. Each page is a partition; its reader goes on
-    until it has as many as asked for or the service has no more, and the last one to the end, so that features added meanwhile come too. A service with over
-    MAX_PAGES pages raises ValueError unless `pages` allows more; one that has more than `pages` hold raises an error, so nothing is left out unsaid.
+    `contains` is a JSON object of fields and terms that they must hold, as a search box asks for them. A service with over MAX_PAGES pages raises ValueError unless `pages` allows more, so nothing is left out unsaid.
     """
 
     @classmethod
@@ -33,79 +39,219 @@ class ArcGisSource(DataSource):
         return "arcgis"
 
     def schema(self) -> str:
-        return "attributes string, x double, y double"
+        return f"{self.options.get('fields', 'attributes string')}, x double, y double"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(dict(self.options))
+        return _Recorded(dict(self.options), schema) if "path" in self.options else _Reader(dict(self.options), schema)
+
+
+def read_service(spark: SparkSession, url: str, fields: str, **options: str) -> DataFrame:
+    """The named and typed fields, x and y of a service's features; filters on them reach the service."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(ArcGisSource)
+    return spark.read.format("arcgis").options(url=url, fields=fields, **options).load()
+
+
+def suggestions(spark: SparkSession, url: str, field: str, term: str, fields: str, **options: str) -> DataFrame:
+    """Features whose field holds the term, by the service's own search: wildcards in the term count as nothing."""
+    return read_service(spark, url, fields, contains=json.dumps({field: term}), **options)
+
+
+def escaped_term(term: str | None) -> str:
+    """A search term for LIKE: without wildcards, quotes doubled."""
+    return (term or "").replace("%", "").replace("_", "").replace("'", "''")
+
+
+def _quoted(value: object) -> str | None:
+    if isinstance(value, bool) or not isinstance(value, str | int | float):
+        return None
+    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else repr(value)
+
+
+def clause(f: Filter, fields: set[str]) -> str | None:
+    """What a `where` can say of a filter without leaving out a row that passes it; None where that is nothing.
+
+    A wildcard in a text that a field must hold stands for itself among others. Orders of texts differ from service to service, so texts are compared for equality alone.
+    """
+    if len(getattr(f, "attribute", ())) != 1 or f.attribute[0] not in fields:
+        return None
+    name = f.attribute[0]
+    if isinstance(f, IsNull | IsNotNull):
+        return f"{name} IS {'NOT ' if isinstance(f, IsNotNull) else ''}NULL"
+    if isinstance(f, In):
+        values = [_quoted(v) for v in f.value if v is not None]
+        return f"{name} IN ({', '.join(values)})" if values and None not in values else None
+    if isinstance(f, StringContains | StringStartsWith | StringEndsWith):
+        text = f.value.replace("%", "_").replace("'", "''")
+        return f"{name} LIKE '{'' if isinstance(f, StringStartsWith) else '%'}{text}{'' if isinstance(f, StringEndsWith) else '%'}'"
+    sign = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}.get(type(f))
+    value = _quoted(f.value) if sign else None
+    return None if value is None or sign != "=" and isinstance(f.value, str) else f"{name} {sign} {value}"
+
+
+class _Range(InputPartition):
+    """Object ids after `after`, up to `until` (None: to the end)."""
+
+    def __init__(self, after: int, until: int | None):
+        super().__init__(after)
+        self.after, self.until = after, until
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, options: dict[str, str], schema: StructType):
+        self.options, self.page, self.key = options, int(options.get("page", PAGE)), options.get("key", KEY)
+        self.most = int(options.get("pages", MAX_PAGES))
+        self.columns = [(f.name, f.dataType) for f in schema.fields[:-2]] if "fields" in options else None
+        self.where = [f"{n} LIKE '%{escaped_term(t)}%'" for n, t in json.loads(options.get("contains", "{}")).items()]
+        self.box = {"x": [-180.0, 180.0], "y": [-90.0, 90.0]}
+        self.boxed = False
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        fields = {n for n, _ in self.columns or []}
+        for f in filters:
+            self._bound(f)
+            said = clause(f, fields)
+            if said:
+                self.where.append(said)
+            yield f
+
+    def _bound(self, f: Filter) -> None:
+        if type(f) in (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual) and f.attribute in (("x",), ("y",)):
+            low, high = self.box[f.attribute[0]]
+            self.boxed = True
+            self.box[f.attribute[0]] = [low if type(f) in (LessThan, LessThanOrEqual) else max(low, f.value), high if type(f) in (GreaterThan, GreaterThanOrEqual) else min(high, f.value)]
+
+    def _ask(self, keys: list[str], **asked: str) -> dict:
+        (west, east), (south, north) = self.box["x"], self.box["y"]
+        if self.boxed:
+            asked |= {"geometry": f"{west},{south},{east},{north}", "geometryType": "esriGeometryEnvelope", "inSR": "4326", "spatialRel": "esriSpatialRelIntersects"}
+        if "token" in self.options:
+            asked["token"] = self.options["token"]
+        where = " AND ".join(f"({c})" for c in [*self.where, *keys]) or "1=1"
+        with urlopen(query_url(self.options["url"], where, **asked)) as answer:  # noqa: S310
+            found = json.load(answer)
+        if "error" in found:
+            raise RuntimeError(f"the service answers {found['error']}")
+        return found
+
+    def partitions(self) -> list[_Range]:
+        wanted = [{"statisticType": kind, "onStatisticField": self.key, "outStatisticFieldName": kind} for kind in ("min", "max", "count")]
+        features = self._ask([], outStatistics=json.dumps(wanted)).get("features", [])
+        found = {k.lower(): v for k, v in (features[0]["attributes"] if features else {}).items()}
+        if not found.get("count"):
+            return []
+        low, high, pages = int(found["min"]), int(found["max"]), max(1, -(-int(found["count"]) // self.page))
+        if pages > self.most:
+            raise ValueError(f"the service has {pages} pages, more than the {self.most} allowed")
+        edges = [low - 1 + (high - low + 1) * k // pages for k in range(pages)]
+        return [_Range(a, b) for a, b in zip(edges, [*edges[1:], None], strict=True) if b is None or a < b]
+
+    def read(self, partition: _Range | None) -> Iterator[tuple]:
+        if partition is None:  # nothing passes the filters
+            return
+        names = "*" if self.columns is None else ",".join(dict.fromkeys([self.key, *(n for n, _ in self.columns)]))
+        last = partition.after
+        while True:
+            keys = [f"{self.key} > {last}"] + ([f"{self.key} <= {partition.until}"] if partition.until is not None else [])
+            answer = self._ask(keys, outFields=names, outSR="4326", orderByFields=self.key, resultRecordCount=str(self.page))
+            features = answer.get("features", [])
+            for feature in features:
+                yield _row(feature, self.columns)
+            if not features or len(features) < self.page and not answer.get("exceededTransferLimit"):
+                return
+            last = int(features[-1]["attributes"][self.key])
+
+
+def _row(feature: dict, columns: list[tuple[str, DataType]] | None) -> tuple:
+    attributes, geometry = feature.get("attributes") or {}, feature.get("geometry") or {}
+    if columns is None:
+        return json.dumps(attributes), geometry.get("x"), geometry.get("y")
+    return (*[_typed(attributes.get(n), kind.simpleString()) for n, kind in columns], geometry.get("x"), geometry.get("y"))
+
+
+def _typed(value: object, kind: str) -> object:
+    """A value as its column has it; one that can't be read so is null."""
+    if value is None:
+        return None
+    try:
+        if kind == "string":
+            return value if isinstance(value, str) else json.dumps(value)
+        return float(value) if kind in ("double", "float") else bool(value) if kind == "boolean" else int(value)  # type: ignore[arg-type]
+    except (TypeError, ValueError):
+        return None
+
+
+def query_url(url: str, where: str = "1=1", **asked: str) -> str:
+    return f"{url.split('?')[0].rstrip('/')}/query?{urlencode({'f': 'json', 'where': where, **asked})}"
 
 
 class _Page(InputPartition):
-    def __init__(self, offset: int, is_last: bool):
+    def __init__(self, file: str, offset: int, is_last: bool):
         super().__init__(offset)
-        self.offset, self.is_last = offset, is_last
+        self.file, self.offset, self.is_last = file, offset, is_last
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
-        self.options, self.page = options, int(options.get("page", PAGE))
-        self.most = int(options["pages"]) if "pages" in options else None
+class _Recorded(DataSourceReader):
+    """A file with one answer is read a page of features in a partition, a folder a file of answers in a partition."""
+
+    def __init__(self, options: dict[str, str], schema: StructType):
+        self.path, self.page = options["path"], int(options.get("page", PAGE))
+        self.most = int(options.get("pages", MAX_PAGES))
+        self.columns = [(f.name, f.dataType) for f in schema.fields[:-2]] if "fields" in options else None
 
     def partitions(self) -> list[_Page]:
-        pages = max(1, -(-_count(self.options) // self.page))
-        if pages > (self.most or MAX_PAGES):
-            raise ValueError(f"the service has {pages} pages, more than the {self.most or MAX_PAGES} allowed")
-        return [_Page(k * self.page, k == pages - 1) for k in range(pages)]
-
-    def read(self, partition: _Page) -> Iterator[tuple]:
-        fetch = _from_file(self.options["path"]) if "path" in self.options else _from_url(self.options)
-        at, stop = partition.offset, partition.offset + self.page
+        system, place = _file(self.path)
+        if system.get_file_info(place).type == pafs.FileType.Directory:
+            found = system.get_file_info(pafs.FileSelector(place))
+            return [_Page(f.path, 0, True) for f in found if f.type == pafs.FileType.File and f.size and f.base_name[0] not in "._"]
+        pages = max(1, -(-_count(self.path) // self.page))
+        if pages > self.most:
+            raise ValueError(f"the service has {pages} pages, more than the {self.most} allowed")
+        return [_Page("", k * self.page, k == pages - 1) for k in range(pages)]
+
+    def read(self, partition: _Page | None) -> Iterator[tuple]:
+        if partition is None:
+            return
+        if partition.file:
+            with _file(self.path)[0].open_input_stream(partition.file) as f:
+                for line in f.read().splitlines():  # a file of Spark's writer
+                    for feature in json.loads(line).get("features", []):
+                        yield _row(feature, self.columns)
+            return
+        fetch, at, stop = _from_file(self.path), partition.offset, partition.offset + self.page
         while partition.is_last or at < stop:
             features = fetch(at, self.page if partition.is_last else stop - at)
             for feature in features:
-                geometry = feature.get("geometry") or {}
-                yield json.dumps(feature.get("attributes") or {}), geometry.get("x"), geometry.get("y")
+                yield _row(feature, self.columns)
             at += len(features)
             if not features:
                 return
 
 
-def _count(options: dict[str, str]) -> int:
-    """How many features the service says it has."""
-    if "path" in options:
-        with open(options["path"].removeprefix("file://")) as f:
-            return len(json.load(f)["features"])
-    with urlopen(query_url(options["url"], 0, 0, token=options.get("token"), only_count=True)) as answer:  # noqa: S310
-        return int(json.load(answer)["count"])
-
-
-Fetch = Callable[[int, int], list[dict]]
-
+def _file(path: str) -> tuple[pafs.FileSystem, str]:
+    path = "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
 
-def _from_file(path: str) -> Fetch:
-    def fetch(offset: int, limit: int) -> list[dict]:
-        with open(path.removeprefix("file://")) as f:
-            return json.load(f)["features"][offset : offset + limit]
 
-    return fetch
+@lru_cache(maxsize=4)
+def _features(path: str, changed: object) -> list[dict]:
+    """A file's features, parsed once for all its pages."""
+    system, place = _file(path)
+    with system.open_input_stream(place) as f:
+        return json.loads(f.read())["features"]
 
 
-def _from_url(options: dict[str, str]) -> Fetch:
-    def fetch(offset: int, limit: int) -> list[dict]:
-        with urlopen(query_url(options["url"], offset, limit, options.get("order"), options.get("token"))) as answer:  # noqa: S310
-            return json.load(answer).get("features", [])
+def _all_features(path: str) -> list[dict]:
+    system, place = _file(path)
+    return _features(path, system.get_file_info(place).mtime_ns)
 
-    return fetch
 
+def _count(path: str) -> int:
+    return len(_all_features(path))
 
-def query_url(url: str, offset: int, limit: int, order: str | None = None, token: str | None = None, only_count: bool = False) -> str:
-    """All fields of all features in WGS84, from offset; or how many there are."""
-    asked = {"f": "json", "where": "1=1", "outFields": "*", "outSR": "4326", "resultOffset": str(offset), "resultRecordCount": str(limit)}
-    asked = {"f": "json", "where": "1=1", "returnCountOnly": "true"} if only_count else asked
-    asked |= {"orderByFields": order} if order else {}
-    asked |= {"token": token} if token else {}
-    from urllib.parse import urlencode
 
-    return f"{url.split('?')[0].rstrip('/')}/query?{urlencode(asked)}"
+def _from_file(path: str) -> Callable[[int, int], list[dict]]:
+    return lambda offset, limit: _all_features(path)[offset : offset + limit]
 
 
 def valve_options(features: DataFrame, field: str = "Valve_No") -> DataFrame:

@@ -91,7 +91,7 @@ def test_feature_service(spark, tmp_path):
     found = spark.read.format("arcgis").options(path=f"{tmp_path}/f.json", page=2, pages=3).load()
     assert found.count() == 4 and found.agg(F.sum("x")).first()[0] == 15
     assert [r[0] for r in arcgis.valve_options(found).collect()] == ["1", "2", "10"]
-    assert arcgis.query_url("http://h/0/", 2000, 10, "Valve_No").startswith("http://h/0/query?f=json&where=1%3D1")
+    assert arcgis.query_url("http://h/0/?x=1", resultRecordCount="10") == "http://h/0/query?f=json&where=1%3D1&resultRecordCount=10"
 
 
 def test_definitions(spark, tmp_path):
