@@ -155,11 +155,11 @@ class Encoder:
         ids = vocabulary[index]
         return ids, np.add.reduceat(each, starts)
 
-    def blocks(self, texts: pa.Array, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def blocks(self, texts: pa.Array, end: int, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(number of texts before, ids one text after the other, ids in each text) of blocks of texts; every text's ids end with `end`."""
         filled = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
         total = int(filled[-1]) if len(filled) else 0
-        filled = filled * max(1, round(total / BLOCK_BYTES)) // (total + 1)
+        filled = filled * max(1, round(total / block_bytes)) // (total + 1)
         edges = [0, *(np.flatnonzero(np.diff(filled)) + 1).tolist(), len(texts)]
         for a, b in zip(edges, edges[1:], strict=False):
             if b > a:
