@@ -7,6 +7,7 @@ client takes (the first so many features) are parameters here; None takes all.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -15,11 +16,12 @@ from pyspark.sql import functions as F
 
 from furrow.functions import js
 from furrow.operators.quantiles import exact_quantiles
+from furrow.session import stored
 
 #: Features looked at for names, for kinds and for classes.
 NAME_SAMPLE, KIND_SAMPLE, CLASS_SAMPLE = 50, 200, 5000
-#: Different values of a group that one task holds.
-MAX_VALUES = 1 << 16
+#: Cells of a group's range whose sums one task holds, and rows of a table of pairs of them that are made at a time.
+CELLS, _ROWS = 1024, 128
 NUMERIC_SHARE = 0.6
 POPUP_FIELDS = 12
 
@@ -85,8 +87,7 @@ def quantile_breaks(values: DataFrame, column: str, classes: int) -> DataFrame:
 def natural_breaks(values: np.ndarray, classes: int, weights: np.ndarray | None = None) -> list[float]:
     """Class limits of least squared deviation within classes; an inner limit is the first value of the class above it.
 
-    Values may come with weights, the number of rows that have them. With fewer values than classes there are as many classes as values. The cost of a class comes from
-    prefix sums; as the best split never moves down while the end moves up, the middle end of a range bounds the splits of both halves, and a further class costs n log n.
+    Values may come with weights, the number of rows that have them. With fewer values than classes there are as many classes as values.
     """
     x = np.asarray(values, dtype=float)
     w = np.ones(len(x)) if weights is None else np.asarray(weights, dtype=float)
@@ -94,21 +95,33 @@ def natural_breaks(values: np.ndarray, classes: int, weights: np.ndarray | None
     x, w = x[order], w[order]
     if len(x) == 0:
         return []
-    rows = int(w.sum())
-    classes = max(1, min(classes, rows))
+    classes = max(1, min(classes, int(w.sum())))
     # Equal values can be parted only where there are fewer values than classes.
-    n = len(x)
-    if n < classes:
-        x, w = np.repeat(x, w.astype(np.int64).clip(max=classes)), None
-        w, n = np.ones(len(x)), len(x)
-        classes = min(classes, n)
-    shift = np.average(x, weights=w)
-    count, total, square = (np.concatenate([[0.0], np.cumsum(v)]) for v in (w, w * (x - shift), w * (x - shift) ** 2))
-
-    def within(at: np.ndarray | int, end: int) -> np.ndarray:
-        return square[end] - square[at] - (total[end] - total[at]) ** 2 / (count[end] - count[at])
-
-    best = np.array([within(0, end) for end in range(1, n + 1)])  # of the first `end` values in one class
+    if len(x) < classes:
+        x = np.repeat(x, w.astype(np.int64).clip(max=classes))
+        w = np.ones(len(x))
+        classes = min(classes, len(x))
+    off = x - np.average(x, weights=w)
+    return [float(x[0]), *(float(x[k]) for k in _best_splits(_Sums(w, w * off, w * off**2), classes)), float(x[-1])]
+
+
+class _Sums:
+    """Prefix sums over cells in order: rows, and the sums of their values and squares."""
+
+    def __init__(self, count: np.ndarray, total: np.ndarray, square: np.ndarray):
+        self.count, self.total, self.square = (np.concatenate([[0.0], np.cumsum(v)]) for v in (count, total, square))
+        self.n = len(count)
+
+    def within(self, at: np.ndarray | int, end: np.ndarray | int) -> np.ndarray:
+        """The squared deviation within cells at..end-1; 0 where there are none."""
+        rows = np.maximum(self.count[end] - self.count[at], 1.0)
+        return np.where(np.less(at, end), np.maximum(self.square[end] - self.square[at] - (self.total[end] - self.total[at]) ** 2 / rows, 0.0), 0.0)
+
+
+def _best_splits(sums: _Sums, classes: int) -> list[int]:
+    """The first cells of all classes but the first. As the best split never moves down while the end moves up, the middle end of a range bounds the splits of both halves, and a further class costs n log n."""
+    n = sums.n
+    best = sums.within(np.zeros(n, np.int64), np.arange(1, n + 1))  # of the first `end` cells in one class
     splits = []
     for k in range(2, classes + 1):
         cost, split = np.full(n, np.inf), np.zeros(n, dtype=np.int64)
@@ -118,40 +131,152 @@ def natural_breaks(values: np.ndarray, classes: int, weights: np.ndarray | None
             if low > high:
                 continue
             end = (low + high) // 2
-            at = np.arange(max(first, k - 1), min(last, end - 1) + 1)  # the last class holds x[at:end]
-            both = best[at - 1] + within(at, end)
+            at = np.arange(max(first, k - 1), min(last, end - 1) + 1)  # the last class holds cells at..end-1
+            both = best[at - 1] + sums.within(at, end)
             pick = int(np.argmin(both))  # of equal costs the widest last class
             cost[end - 1], split[end - 1] = both[pick], at[pick]
             ranges += [(low, end - 1, first, int(at[pick])), (end + 1, high, int(at[pick]), last)]
         best = cost
         splits.append(split)
-    inner, end = [], n
+    found, end = [], n
     for split in reversed(splits):
         end = int(split[end - 1])
-        inner.append(float(x[end]))
-    return [float(x[0]), *reversed(inner), float(x[-1])]
+        found.append(end)
+    return found[::-1]
 
 
-def natural_breaks_by(values: DataFrame, by: list[str], column: str, classes: int, sample: int | None = None, most: int = MAX_VALUES) -> DataFrame:
-    """Natural breaks of all values of each group, or of the first `sample` by seq.
+def _candidates(sums: _Sums, low: np.ndarray, high: np.ndarray, several: np.ndarray, shut: np.ndarray, classes: int) -> np.ndarray:
+    """The cells in which a class of the best ones may begin, for cells of one or `several` values; none of those that are `shut`.
 
-    Equal values are counted first, so a task holds a group's different values, not its rows. A group with more than `most` of them has its range cut into
-    `most` equal steps and each step's values taken as their smallest with all their rows, so limits are exact to a step.
+    Two tests. Splits at the borders of cells give an upper bound of the least cost; a split within a cell leaves the cell's parts to both of its sides, so the whole cells between splits, over the best of all other splits, give a lower bound:
+    what is above the upper one goes. And a best split lies between the means of its classes, halfway; the means grow with the ends of a class, so the ranges of the splits bound the means, and these the splits, again and again.
     """
-    held = values.filter(F.col(column).isNotNull())
+    n, inf = sums.n, np.inf
+    if n <= classes:
+        return ~shut
+    cells = np.arange(n)
+    begins = cells + several  # whole cells of a class whose first value lies in a cell
+    here = np.where(shut, inf, 0.0)
+
+    def after(prev: np.ndarray) -> np.ndarray:
+        """Of a further split in each cell, the least cost of what lies before it."""
+        out = np.full(n, inf)
+        own = np.flatnonzero(np.isfinite(prev))
+        for k in range(0, n, _ROWS):
+            to = cells[k : k + _ROWS, None]
+            cost = prev[None, own] + sums.within(*np.broadcast_arrays(begins[own][None, :], to))
+            out[k : k + _ROWS] = np.where((own < to) | (own == to) & several[own], cost, inf).min(axis=1, initial=inf)
+        return out + here
+
+    def before(later: np.ndarray) -> np.ndarray:
+        """Of a split in each cell with another one after it, the least cost of what lies behind it."""
+        out = np.full(n, inf)
+        other = np.flatnonzero(np.isfinite(later))
+        for k in range(0, n, _ROWS):
+            own = cells[k : k + _ROWS, None]
+            cost = later[None, other] + sums.within(*np.broadcast_arrays(begins[own], other[None, :]))
+            out[k : k + _ROWS] = np.where((other > own) | (other == own) & several[own], cost, inf).min(axis=1, initial=inf)
+        return out + here
+
+    forward = [np.where((cells > 0) | several, sums.within(np.zeros(n, np.int64), cells), inf) + here]
+    backward = [sums.within(begins, np.full(n, n)) + here]
+    for _ in range(classes - 2):
+        forward.append(after(forward[-1]))
+        backward.append(before(backward[-1]))
+    edges = [0, *_best_splits(sums, classes), n]
+    upper = sum(float(sums.within(a, b)) for a, b in pairwise(edges))
+    room = 1e-9 * max(upper, float(sums.square[-1]) * 1e-3)  # for the rounding of sums; it only keeps cells
+    may = [np.flatnonzero(f + b <= upper + room) for f, b in zip(forward, reversed(backward), strict=True)]
+
+    def mean(at: int, end: int, none: float) -> float:
+        rows = sums.count[end] - sums.count[at] if at < end else 0
+        return (sums.total[end] - sums.total[at]) / rows if rows > 0 else none
+
+    slack = 1e-9 * float(np.abs(high).max() + np.abs(low).max())
+    previous = np.concatenate([[-inf], high[:-1]])
+    while True:
+        first, last = [0, *(int(m[0]) for m in may)], [0, *(int(m[-1]) for m in may)]
+        least = [mean(a, b, low[a]) for a, b in zip(first, [*first[1:], n], strict=True)]
+        most = [mean(begins[a] if k else 0, begins[b] if b < n else n, high[min(b, n - 1)]) for k, (a, b) in enumerate(zip(last, [*last[1:], n], strict=True))]
+        tested = [m[(high[m] >= (least[k] + least[k + 1]) / 2 - slack) & (previous[m] <= (most[k] + most[k + 1]) / 2 + slack)] for k, m in enumerate(may)]
+        if any(len(t) == 0 for t in tested) or all(len(t) == len(m) for t, m in zip(tested, may, strict=True)):
+            break
+        may = tested
+    found = np.zeros(n, bool)
+    for m in may:
+        found[m] = True
+    return found
+
+
+def natural_breaks_by(values: DataFrame, by: list[str], column: str, classes: int, sample: int | None = None, cells: int = CELLS) -> DataFrame:
+    """Natural breaks of all finite values of each group, or of the first `sample` by seq; exact at any size.
+
+    A group's range is cut into cells, of which a task holds the sums, not the values. Cells that may hold a split of the best classes are cut again, the others are joined and done with, until all that are left have one value; see _candidates.
+    Each round reads only the values in open cells. Equal values are counted first. A group with fewer values than classes has as many classes as values. Of splits that cost the same but for rounding, any may be given.
+    """
+    held = values.filter(F.abs(F.col(column).cast("double")) < float("inf"))
     if sample is not None:
         held = held.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("seq"))).filter(F.col("nth") <= sample)
-    counted = held.groupBy(*by, F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("weight"))
-    ranges = counted.groupBy(*by).agg(F.count(F.lit(1)).alias("distinct"), F.min("value").alias("low"), F.max("value").alias("high"))
-    step = F.least(F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * most), F.lit(most - 1)).cast("double")
-    dealt = counted.join(ranges, by).withColumn("step", F.when(F.col("distinct") <= most, F.col("value")).otherwise(step))
-    bounded = dealt.groupBy(*by, "step").agg(F.min("value").alias("value"), F.sum("weight").alias("weight")).select(*by, "value", "weight")
+    names = [f"by{k}" for k in range(len(by))]
+    counted = held.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("weight"))
+    counted = stored(counted, "counted-values")
+    kinds = ", ".join(f"{n} {t}" for n, t in counted.dtypes if n in names)
+    summed = [F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"), F.sum("weight").alias("rows"), F.sum(F.col("weight") * F.col("off")).alias("total"), F.sum(F.col("weight") * F.col("off") * F.col("off")).alias("square")]
+    groups = stored(counted.groupBy(*names).agg(F.min("value").alias("g_low"), F.max("value").alias("g_high"), (F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias("mean")), "groups-of-values")
+
+    def joined(left: DataFrame, right: DataFrame, also: list[str]) -> DataFrame:
+        """By groups, null ones too, and further columns; right's other columns are added."""
+        renamed = right.select(*[F.col(c).alias(f"of_{c}") for c in [*names, *also]], *[c for c in right.columns if c not in [*names, *also]])
+        test = F.lit(True)
+        for c in [*names, *also]:
+            test = test & left[c].eqNullSafe(renamed[f"of_{c}"])
+        return left.join(renamed, test).drop(*[f"of_{c}" for c in [*names, *also]])
+
+    def part(low: str, high: str, parts: Column) -> Column:
+        share = F.coalesce(F.try_divide(F.col("value") - F.col(low), F.col(high) - F.col(low)), F.lit(0.0))
+        return F.least(F.floor(share * parts), parts - 1).cast("int")
+
+    active = joined(counted, groups, []).select(*names, "value", "weight", (F.col("value") - F.col("mean")).alias("off"), "mean", part("g_low", "g_high", F.lit(cells)).cast("string").alias("cell"))
+    done = None
+
+    def judged(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("low", ignore_index=True)
+        several, low, high = rows["n"].to_numpy() > 1, rows["low"].to_numpy() - rows["mean"].iloc[0], rows["high"].to_numpy() - rows["mean"].iloc[0]
+        sums = _Sums(rows["rows"].to_numpy(float), rows["total"].to_numpy(), rows["square"].to_numpy())
+        most = max(1, min(classes, int(rows["n"].sum())))
+        found = _candidates(sums, low, high, several, rows["shut"].to_numpy(bool), most) if most > 1 else np.zeros(len(rows), bool)
+        rows["shut"], rows["open"] = ~found, found & several
+        run = np.cumsum(found | np.concatenate([[True], found[:-1]]))  # neighbours without a split are one cell
+        how = {n: "first" for n in [*names, "cell", "low", "mean", "shut", "open"]} | {"high": "last", **dict.fromkeys(("n", "rows", "total", "square"), "sum")}
+        return rows.groupby(run, sort=True, dropna=False).agg(how)[order]
+
+    order = [*names, "cell", "low", "high", "n", "rows", "total", "square", "mean", "shut", "open"]
+    columns = f"{kinds}{', ' if kinds else ''}cell string, low double, high double, n long, rows long, total double, square double, mean double, shut boolean, open boolean"
+    while True:
+        active = stored(active, "open-values")
+        fresh = active.groupBy(*names, "cell").agg(*summed, F.first("mean").alias("mean")).withColumn("shut", F.lit(False))
+        every = fresh if done is None else fresh.unionByName(done)
+        every = stored(every.groupBy(*names).applyInPandas(judged, columns), "cells")
+        still = every.filter("open")
+        if still.isEmpty():
+            break
+        done = every.filter(~F.col("open")).drop("open")
+        open_cells = still.groupBy(*names).agg(F.count("*").alias("n_open"))
+        cut = joined(still.select(*names, "cell", "low", "high"), open_cells, [])
+        cut = stored(cut.select(*names, "cell", "low", "high", F.greatest(F.lit(8), (F.lit(cells) / F.col("n_open")).cast("int")).alias("parts")), "open-cells")
+        active = joined(active, cut, ["cell"]).select(*names, "value", "weight", "off", "mean", F.concat_ws(".", "cell", part("low", "high", F.col("parts"))).alias("cell"))
 
     def breaks(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*rows.iloc[0][by], natural_breaks(rows["value"].to_numpy(), classes, rows["weight"].to_numpy())]], columns=[*by, "breaks"])
-
-    schema = ", ".join([*(f"{n} {t}" for n, t in bounded.dtypes if n in by), "breaks array<double>"])
-    return bounded.groupBy(*by).applyInPandas(breaks, schema)
+        rows = rows.sort_values("low", ignore_index=True)
+        if rows["n"].sum() <= classes:  # as many classes as values, or as rows: each value stands for itself
+            limits = natural_breaks(rows["low"].to_numpy(), classes, rows["rows"].to_numpy())
+        else:
+            sums = _Sums(rows["rows"].to_numpy(float), rows["total"].to_numpy(), rows["square"].to_numpy())
+            limits = [float(rows["low"].iloc[0]), *(float(rows["low"].iloc[k]) for k in _best_splits(sums, classes)), float(rows["high"].iloc[-1])]
+        return pd.DataFrame([[*rows.iloc[0][names], limits]], columns=[*names, "breaks"])
+
+    found = every.groupBy(*names).applyInPandas(breaks, f"{kinds}{', ' if kinds else ''}breaks array<double>")
+    return found.select(*[F.col(n).alias(c) for c, n in zip(by, names, strict=True)], "breaks")
 
 
 def class_index(value: Column, breaks: Column) -> Column:

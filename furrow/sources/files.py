@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.operators.catalog import fallback_rows
+from furrow.sources import geojson
 
 LATITUDE, LONGITUDE = ("lat", "latitude", "y"), ("lon", "lng", "longitude", "x")
 FEATURE = "props map<string,string>, geometry_type string, coordinates array<array<double>>"
@@ -65,15 +66,12 @@ def _flat_points(kind: Column, text: Column) -> Column:
 
 
 #: A geometry's coordinates are kept as text until its type says how deep they are.
-_GEOMETRY = "struct<type:string,coordinates:string>"
-_GEOJSON = f"type string, properties map<string,string>, geometry {_GEOMETRY}, features array<struct<type:string,properties:map<string,string>,geometry:{_GEOMETRY}>>"
+_FEATURE_JSON = "type string, properties map<string,string>, geometry struct<type:string,coordinates:string>"
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """The features of collections, or single features, a document to a file; documents are read as streams of tokens, one task a file."""
-    documents = spark.read.schema(_GEOJSON).option("multiLine", True).json(path)
-    single = F.array(F.struct("type", "properties", "geometry"))
-    features = documents.select(F.explode(F.coalesce("features", single)).alias("f")).filter("f.type = 'Feature'")
+def read_geojson(spark: SparkSession, path: str, range_bytes: int = geojson.RANGE_BYTES) -> DataFrame:
+    """The features of collections, or single features, a document to a file; large files are read by many tasks."""
+    features = geojson.feature_texts(spark, path, range_bytes).select(F.from_json("feature", _FEATURE_JSON).alias("f")).filter("f.type = 'Feature'")
     kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     props = F.coalesce("f.properties", F.create_map().cast("map<string,string>"))
     return features.select(props.alias("props"), kind.alias("geometry_type"), _flat_points(kind, text).alias("coordinates"))

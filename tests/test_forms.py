@@ -62,7 +62,29 @@ def test_breaks_take_all_values(spark):
     rows = spark.range(8000).select(F.lit("g").alias("g"), F.col("id").alias("seq"), (F.col("id") % 100 + F.when(F.col("id") >= 6000, 10_000).otherwise(0)).cast("double").alias("x"))
     assert layers.natural_breaks_by(rows, ["g"], "x", 2).first()["breaks"] == [0.0, 10_000.0, 10_099.0]
     assert layers.natural_breaks_by(rows, ["g"], "x", 2, sample=5000).first()["breaks"][-1] == 99.0
-    assert layers.natural_breaks_by(rows, ["g"], "x", 2, most=50).first()["breaks"][1] == 10_000.0
+    assert layers.natural_breaks_by(rows, ["g"], "x", 2, cells=16).first()["breaks"][1] == 10_000.0
+
+
+@pytest.mark.parametrize("cells", [64, layers.CELLS])
+def test_breaks_of_many_values_are_those_of_all_at_once(spark, cells):
+    """200,000 different values in groups of several shapes, null and small groups, beside the function that holds all."""
+    rng = np.random.default_rng(8)
+    few = 1_500 if cells < 100 else 50_000
+    groups = {
+        "normal": rng.normal(size=few), "long tail": rng.pareto(1.5, size=few), "bumps": np.concatenate([rng.normal(m, 0.4, few // 4) for m in (0, 3, 4, 20)]), "squares": (np.arange(few) / 7.0) ** 2,
+        "one": np.array([5.0] * 9), "two": np.array([1.0, 1.0, 2.0]), "three": np.array([3.0, 1.0, 2.0]), None: rng.integers(0, 50, 4_000).astype(float),
+    }
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("normal", None), ("one", float("nan")), ("two", float("inf"))]
+    df = spark.createDataFrame(__import__("pandas").DataFrame(rows, columns=["g", "x"]), "g string, x double").repartition(4)
+    for classes in (4,) if cells < 100 else (6,):
+        found = {r.g: r.breaks for r in layers.natural_breaks_by(df, ["g"], "x", classes, cells=cells).collect()}
+        assert found == {g: pytest.approx(layers.natural_breaks(*np.unique(x, return_counts=True)[:1], classes, np.unique(x, return_counts=True)[1])) for g, x in groups.items()}
+
+
+def test_breaks_without_groups_or_rows(spark):
+    df = spark.range(1000).select((F.col("id") * F.col("id")).alias("x"))
+    assert layers.natural_breaks_by(df, [], "x", 4, cells=8).first()["breaks"] == layers.natural_breaks(np.arange(1000) ** 2, 4)
+    assert layers.natural_breaks_by(df.limit(0), [], "x", 4).count() == 0
 
 
 def test_exact_quantiles(spark):
