@@ -143,9 +143,11 @@ def audit_entries(raw: DataFrame) -> DataFrame:
 
 
 def forms_of(links: DataFrame, geo_id: str, project: str | None = None, catalog: DataFrame | None = None) -> DataFrame:
-    """form_id, permissions and created_at of a location's form links; of one project's forms where catalog(form_id, project) is given."""
+    """form_id, permissions and created_at of a location's form links; of one project's forms, for which catalog(form_id, project) is needed: ValueError without it."""
+    if project is not None and catalog is None:
+        raise ValueError("a project's forms need the catalog that names them")
     found = links.filter(F.col("geo_id").cast("string") == geo_id)
-    if project is not None and catalog is not None:
+    if project is not None:
         found = found.join(catalog.filter(F.col("project") == project).select(F.col("form_id").alias("of_form")).distinct(), F.col("form_id") == F.col("of_form"), "left_semi")
     return found.select("form_id", "permissions", "created_at")
 

@@ -6,23 +6,14 @@ CSV without coordinates gives its own columns.
 
 from __future__ import annotations
 
-import io
-import struct
-import xml.etree.ElementTree as ET
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.operators.catalog import fallback_rows
 from furrow.sources import geojson
+from furrow.sources.archives import read_archive
 
 LATITUDE, LONGITUDE = ("lat", "latitude", "y"), ("lon", "lng", "longitude", "x")
-FEATURE = "props map<string,string>, geometry_type string, coordinates array<array<double>>"
-#: An archive is read whole by one task, and so is its largest member.
-MAX_ARCHIVE_BYTES = 512 << 20
 #: Rows of an export that is one text.
 MAX_EXPORT = 10_000
 
@@ -105,103 +96,6 @@ def _kml_points(text: Column) -> Column:
     return F.transform(places, lambda p: F.transform(F.slice(F.split(p, ","), 1, 2), lambda v: v.try_cast("double")))
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Zipped shapefiles, and where there are none the first KML in a zip or KMZ file; archives over MAX_ARCHIVE_BYTES raise ValueError."""
-    found = spark.read.format("binaryFile").load(path)
-    large = [r.path for r in found.filter(F.col("length") > MAX_ARCHIVE_BYTES).select("path").limit(20).collect()]  # names alone
-    if large:
-        raise ValueError(f"archives over {MAX_ARCHIVE_BYTES} bytes: {', '.join(large)}")
-    files = found.select("content")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                yield pd.DataFrame(archive_features(content), columns=["props", "geometry_type", "coordinates"])
-
-    return files.mapInPandas(run, FEATURE)
-
-
-def archive_features(content: bytes) -> list[tuple[dict, str, list]]:
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        names = archive.namelist()
-        shapes = [n for n in names if n.lower().endswith(".shp")]
-        if shapes:
-            try:
-                return [f for n in shapes for f in _shapefile(archive, n, names)]
-            except (struct.error, ValueError):
-                pass  # not a shapefile after all: look for a KML
-        kml = next((n for n in names if n.lower().endswith(".kml")), None)
-        return _kml_features(archive.read(kml)) if kml else []
-
-
-def _kml_features(text: bytes) -> list[tuple[dict, str, list]]:
-    out = []
-    for mark in ET.fromstring(text).iter():
-        if not mark.tag.endswith("Placemark"):
-            continue
-        props, kind, points = {}, None, []
-        for part in mark.iter():
-            tag = part.tag.rpartition("}")[2]
-            if tag in ("name", "description") and part.text:
-                props[tag] = part.text
-            elif tag in ("Point", "LineString", "Polygon") and kind is None:
-                kind = tag
-            elif tag == "coordinates" and not points:
-                points = [[float(v) for v in p.split(",")[:2]] for p in (part.text or "").split()]
-        out.append((props, kind, points))
-    return out
-
-
-class UnknownShape(Exception):
-    """A shapefile's record has a type that isn't read."""
-
-
-def _shapefile(archive: zipfile.ZipFile, name: str, names: list[str]) -> list[tuple[dict, str, list]]:
-    """Records of points, lines and polygons: a 100-byte head, then for each record 8 bytes of head, its type and its numbers."""
-    data, base = archive.read(name), name[:-4].lower()
-    if struct.unpack(">i", data[:4])[0] != 9994:
-        raise ValueError("not a shapefile")
-    table = next((n for n in names if n.lower() == f"{base}.dbf"), None)
-    props = _dbf_rows(archive.read(table)) if table else []
-    # With Z or with M a kind's number is 10 or 20 more, and its further numbers come after the plane's.
-    kinds, out, at = {0: None, 1: "Point", 3: "LineString", 5: "Polygon", 8: "MultiPoint"}, [], 100
-    while at + 12 <= len(data):
-        words = struct.unpack(">i", data[at + 4 : at + 8])[0]
-        body = data[at + 8 : at + 8 + 2 * words]
-        shape = struct.unpack("<i", body[:4])[0]
-        shape = shape % 10 if shape in (11, 13, 15, 18, 21, 23, 25, 28) else shape
-        if shape not in kinds:
-            raise UnknownShape(f"{name}: shape type {shape}")
-        points: list[list[float]] = []
-        if shape == 1:
-            points = [list(struct.unpack("<2d", body[4:20]))]
-        elif shape in (3, 5):
-            parts, count = struct.unpack("<2i", body[36:44])
-            values = struct.unpack(f"<{2 * count}d", body[44 + 4 * parts : 44 + 4 * parts + 16 * count])
-            points = [list(p) for p in zip(values[::2], values[1::2], strict=True)]
-        elif shape == 8:
-            count = struct.unpack("<i", body[36:40])[0]
-            values = struct.unpack(f"<{2 * count}d", body[40 : 40 + 16 * count])
-            points = [list(p) for p in zip(values[::2], values[1::2], strict=True)]
-        out.append((props[len(out)] if len(out) < len(props) else {}, kinds[shape], points))
-        at += 8 + 2 * words
-    return out
-
-
-def _dbf_rows(data: bytes) -> list[dict[str, str]]:
-    """Attribute rows: a head with the count and sizes, 32 bytes for each field, then rows of fixed width."""
-    count, head, width = struct.unpack("<IHH", data[4:12])
-    fields = [(data[i : i + 11].split(b"\0")[0].decode(), data[i + 16]) for i in range(32, head - 1, 32) if data[i] != 0x0D]
-    rows = []
-    for r in range(count):
-        at, row = head + r * width + 1, {}
-        for name, size in fields:
-            row[name] = data[at : at + size].decode("utf-8", "replace").strip()
-            at += size
-        rows.append(row)
-    return rows
-
-
 def write_csv(rows: DataFrame, path: str) -> None:
     """Every field quoted, quotes doubled."""
     rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
