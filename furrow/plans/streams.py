@@ -26,23 +26,28 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sensors.tumbling(_events(spark, sf_dir), "1 day", "1 hour", "event_type")
-    done = sensors.drained(found, _work(spark), "complete")
+    work = _work(spark)
+    done = sensors.drained(sensors.tumbling(sensors.with_end(_events(spark, sf_dir), f"{work}/end"), "1 day", "1 hour", "event_type"), work)
     return done.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "events", js.quantised(F.col("mean")).alias("mean"))
 
 
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = sensors.drained(sensors.sliding(_events(spark, sf_dir), "2 days", "1 day", "1 hour"), _work(spark), "complete")
+    work = _work(spark)
+    done = sensors.drained(sensors.sliding(sensors.with_end(_events(spark, sf_dir), f"{work}/end"), "2 days", "1 day", "1 hour"), work)
     return done.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "events")
 
 
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = sensors.drained(sensors.sessions(_events(spark, sf_dir), "30 minutes", "1 hour", "user_id"), _work(spark), "complete")
+    work = _work(spark)
+    done = sensors.drained(sensors.sessions(sensors.with_end(_events(spark, sf_dir), f"{work}/end"), "30 minutes", "1 hour", "user_id"), work)
     return done.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "events")
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sensors.drained(sensors.without_repeats(_events(spark, sf_dir), "event_id", "10 days"), _work(spark)).select("event_id", "event_type")
+    """Every third event comes twice, and every seventh again under a time of its own."""
+    times = F.when(F.col("event_id") % 21 == 0, F.array(F.lit(0), F.lit(0), F.lit(7))).when(F.col("event_id") % 3 == 0, F.array(F.lit(0), F.lit(0))).when(F.col("event_id") % 7 == 0, F.array(F.lit(0), F.lit(7))).otherwise(F.array(F.lit(0)))
+    repeated = _events(spark, sf_dir).withColumn("later", F.explode(times)).withColumn("ts", F.col("ts") + F.make_dt_interval(mins=F.col("later"))).drop("later")
+    return sensors.drained(sensors.without_repeats(repeated, "event_id", "10 days"), _work(spark)).select("event_id", "event_type")
 
 
 def stream_event_ring(spark: SparkSession, sf_dir: str) -> DataFrame:

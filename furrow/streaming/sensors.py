@@ -63,6 +63,17 @@ def without_repeats(events: DataFrame, key: str, late: str) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
+def with_end(events: DataFrame, folder: str, end: str = "9999-01-01") -> DataFrame:
+    """The stream and, from a file of its own in folder, a last event whose time closes all windows before it; its other columns are null.
+
+    In append mode a window comes out once, when the watermark has passed it, so rows that are too late are left out and state shrinks.
+    """
+    spark = events.sparkSession
+    last = spark.range(1).select(*[F.lit(end).cast("timestamp").alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields])
+    last.write.parquet(folder)
+    return events.unionByName(spark.readStream.schema(events.schema).parquet(folder))
+
+
 def ring_writer(path: str, size: int, order: list[str]) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: keeps the newest rows in a versioned table; latest_ring reads the newest version.
 
