@@ -29,7 +29,7 @@ from furrow.llm.tokens import encoder
 
 GROUP_PIECES = 16_000
 #: Texts encoded at a time: what is held beside them is some forty times as much.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 6 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
@@ -45,14 +45,14 @@ class Capacity:
     rule: str = "norm"
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, tokens: int, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """A row for each piece; keep_ids adds its ids as little-endian unsigned 32-bit integers."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, tokens: int, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row for each piece; keep_ids adds its ids as little-endian unsigned 32-bit integers. Smaller blocks take less memory and more time."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = encoder(tokenizer).blocks
         for batch in batches:
             docs_of = batch.column(0).to_pylist()
-            for first, ids, counts in blocks(batch.column(1), end_id, BLOCK_BYTES):
+            for first, ids, counts in blocks(batch.column(1), end_id, block_bytes):
                 raw, at, out = ids.tobytes(), 0, []
                 for doc, count in zip(docs_of[first : first + len(counts)], counts.tolist(), strict=True):
                     for k in range(0, count, tokens):
