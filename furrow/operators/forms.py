@@ -49,7 +49,7 @@ def accepted_entries(bodies: DataFrame, column: str = "body") -> tuple[DataFrame
 
 
 def _out_of_limits(values: Column, field: str, limits: tuple[float | None, float | None, bool]) -> Column:
-    """The error of one field in any of the sources: that of the first value that has one."""
+    """The error of one field in any of the sources: that of the first value that has one. The messages are fixed values."""
     low, high, whole = limits
     candidates = F.transform(F.map_entries(values), lambda s: js.nonblank(F.try_element_at(s["value"], F.lit(field))))
 
