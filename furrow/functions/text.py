@@ -133,7 +133,9 @@ def display_text(value: Column, kind: str) -> Column:
 
 
 def ymd(epoch_ms: Column) -> Column:
-    return F.date_format(F.timestamp_millis(epoch_ms), "yyyy-MM-dd")
+    """The UTC date as year, month and day; years have four digits or as many as they need, and no plus sign. Null beyond the dates that Spark has."""
+    days = F.floor(epoch_ms / 86_400_000).try_cast("int")
+    return F.regexp_replace(F.date_from_unix_date(days).cast("string"), r"^\+|(?<=^-)0+", "")
 
 
 def local_minutes(epoch_ms: Column, zone: str) -> Column:

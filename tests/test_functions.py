@@ -158,3 +158,12 @@ def test_merge_keeps_explicit_nulls(spark):
     base = spark.createDataFrame([("1", "a", "b")], "id string, x string, y string")
     patch = spark.createDataFrame([("1", None, "c", ["x"])], "id string, x string, y string, patched array<string>")
     assert tuple(catalog.merge(base, patch, "id", ["x", "y"]).first()) == ("1", None, "b")
+
+
+def test_dates_of_any_year(spark):
+    days = [0, 2_932_896, 2_932_897, 6_000_000, -1, -719_529, None]
+    rows = spark.createDataFrame([(d,) for d in days], "d long").select(text.ymd(F.col("d") * 86_400_000 + 1).alias("at"), text.ymd(F.col("d") * 86_400_000 - 1).alias("before"))
+    found = rows.collect()
+    assert [r.at for r in found] == ["1970-01-01", "9999-12-31", "10000-01-01", "18397-06-11", "1969-12-31", "-1-12-31", None]
+    assert [r.before for r in found][:3] == ["1969-12-31", "9999-12-30", "9999-12-31"]
+    assert values(spark, text.ymd(F.lit(9_223_372_036_854_775_807))) == [None]
