@@ -6,17 +6,14 @@ Equal fingerprints (or sets of shingles) count once: what is joined grows with t
 
 - clusters(): 64 bits, all shingles with their repeats, links at max_bits or fewer. Two fingerprints that differ in at most max_bits bits differ in at
   most max_bits // segments bits of some segment, so balls of that radius around the one side find every pair.
-- near_copies(): links at a Jaccard similarity of the sets of shingles. At a similarity of 0.8 about 15 % of the bits
-  differ, which no complete ball of a useful segment covers. So fingerprints have WIDE_BITS bits, and either side enumerates a ball of its own: the BALL likeliest
-  differences among the WEAK bits of a segment whose votes were the closest. Pairs within MAX_DISTANCE bits are then verified on the sets themselves, so no estimate
-  links. Of pairs of larger sets at a similarity of 0.8 about 98.5 % share a value in some segment, at 0.85 or 0.9 practically all of texts of 200 shingles; a
-  group of copies has many pairs to be found by. The few votes of sets of up to SMALL shingles flip in lumps; these sets, and larger ones that can be like them, meet exactly: two sets at a similarity of s
-  share one of their n - ceil(s n) + 1 first shingles in any order, here the rarest first, so that few meet by a common line.
+- near_copies(): links at a Jaccard similarity s of the sets of shingles, all of them. A set of n shingles of which fewer than s n come in other sets too is like
+  none; the others meet by their shingles: two sets that similar share one of their n - ceil(s n) + 1 first ones in any order, here the rarest first, so that few
+  meet by a common line. Wide fingerprints of WIDE_BITS bits say which sets of a large group to compare first. Every link is verified on the sets themselves.
 
 The pairs of a value aren't all made. Near copies first meet the smallest node that has one of their own values, which already joins most of a large group; values that
 only one component holds need no further pairs, and of values with the same holders one is enough. In ROUNDS rounds a value has a head among its holders, first the one that lies most in the middle (by how many come upon its own values), then another one for
 every value, and each node is compared with up to three of its values' heads; what links is in one component and needs no comparison within it. Then members outside the
-component of their head are compared with all of the value's members of other components.
+component of their head are compared with all of the value's members of other components, unless what follows their first common shingle is too little.
 The result has the components of all pairs, while a large group of near copies stays linear. The links' connected
 components come from alternating rounds in which every node's neighbours move to the smallest one.
 
@@ -51,14 +48,10 @@ BLOCK = 1 << 14
 #: The form for near copies: shingles and similarity by default, and its fingerprints.
 NEAR_WORDS, SIMILARITY = 5, 0.8
 WIDE_BITS, WIDE_SEGMENTS = 256, 8  # of 32 bits each
-WEAK, BALL = 10, 48
-#: Values enumerated by a task.
-VALUES_OF_TASK = 1 << 20
+#: How far wide fingerprints of similar sets mostly differ: at most MAX_DISTANCE bits, in a segment by one of the BALL likeliest differences. No link depends on it.
+WEAK, BALL, MAX_DISTANCE = 10, 48, 64
 #: How often nodes are compared with heads of their places before all that are left are.
 ROUNDS = 2
-MAX_DISTANCE = 64
-#: Sets of at most so many shingles meet by the shingles themselves.
-SMALL = 25
 #: A set's shingles are counted by bucket, a bound on what two sets share; sets of more than MOST_COUNTED shingles are compared without it.
 BUCKETS, MOST_COUNTED = 256, (1 << 15) - 1
 #: Texts whose sets are given on at a time.
@@ -169,8 +162,11 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def _linked(members: DataFrame, near: Callable[[DataFrame], DataFrame], star: DataFrame | None = None, roots: DataFrame | None = None) -> DataFrame:
-    """Links with the components of all pairs (a, b) that near() keeps, among members(place, node, holds, own_value) of one place of which one at least holds it; star are links found before, roots their components."""
+def _linked(members: DataFrame, near: Callable[[DataFrame], DataFrame], star: DataFrame | None = None, roots: DataFrame | None = None, may_link: Column | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """Links with the components of all pairs (a, b) that near() keeps, among members(place, node, holds, own_value) of one place of which one at least holds it; star are links found before, roots their components.
+
+    may_link leaves out pairs of a place that can't link, or share an earlier place; it says so from members' columns `more`, and the other one's with x_ before their names.
+    """
     members = materialize(members, "members-of-places")
     crowds = members.groupBy("place").agg(F.count("*").alias("crowd"))
     # A node whose own values many others come upon lies in the middle of a group: the likeliest to be near the others.
@@ -195,9 +191,9 @@ def _linked(members: DataFrame, near: Callable[[DataFrame], DataFrame], star: Da
         of_head = roots.select(F.col("node").alias("head"), F.col("root").alias("main"))
         labelled = members.join(ranked.groupBy("place").agg(F.max_by("node", F.struct("central", -F.col("node"))).alias("head")), "place")
         labelled = labelled.join(of_node, "node", "left").join(of_head, "head", "left")
-        known = materialize(labelled.select("place", "node", "holds", "head", F.coalesce("own", "node").alias("own"), F.coalesce("main", "head").alias("main")), "rooted-members")
-    apart = known.filter("own <> main").select("place", F.col("node").alias("x"), F.col("holds").alias("x_holds"), F.col("own").alias("x_own"))
-    rest = known.join(apart, "place").filter((F.col("own") != F.col("x_own")) & (F.col("holds") | F.col("x_holds")))
+        known = materialize(labelled.select("place", "node", "holds", *more, "head", F.coalesce("own", "node").alias("own"), F.coalesce("main", "head").alias("main")), "rooted-members")
+    apart = known.filter("own <> main").select("place", F.col("node").alias("x"), F.col("holds").alias("x_holds"), F.col("own").alias("x_own"), *[F.col(c).alias(f"x_{c}") for c in more])
+    rest = known.join(apart, "place").filter((F.col("own") != F.col("x_own")) & (F.col("holds") | F.col("x_holds")) & (F.lit(True) if may_link is None else may_link))
     return star.unionByName(near(materialize(rest.select(*_ordered("node", "x")).distinct(), "other-pairs")))
 
 
@@ -259,8 +255,8 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     return prints.join(members, F.col("fp") == F.col("node")).select("id", "key", "fp", "component_id")
 
 
-def sets(rows: DataFrame, size: int, most: int) -> DataFrame:
-    """rows(id, text, key) with the hash `node` of the set of shingles, its size n, its wide fingerprint and weak bits, its counts by bucket and, up to `most` shingles, the set itself in place of text; key is carried."""
+def sets(rows: DataFrame, size: int) -> DataFrame:
+    """rows(id, text, key) with the hash `node` of the set of shingles, its size n, its wide fingerprint and its counts by bucket in place of text; key is carried."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -270,20 +266,15 @@ def sets(rows: DataFrame, size: int, most: int) -> DataFrame:
                 batch = whole.slice(k, TEXTS)
                 found = [np.unique(shingle_hashes(t.as_py(), size)) for t in batch.column(1)]
                 nodes = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
-                prints = [wide_fingerprint(s) for s in found]
+                prints = [wide_fingerprint(s)[0].view(np.int64) for s in found]
                 counts = [np.minimum(np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), MOST_COUNTED) for s in found]
-                lists = [
-                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts).astype(kind)))
-                    for parts, kind in (([p.view(np.int64) for p, _ in prints], np.int64), ([w.ravel() for _, w in prints], np.int16), (counts, np.int16))
-                ]
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts).astype(kind))) for parts, kind in ((prints, np.int64), (counts, np.int16))]
                 sizes = pa.array(list(map(len, found)), pa.int32())
-                few = [s.view(np.int64) if len(s) <= most else s[:0].view(np.int64) for s in found]
-                small = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, few)]), pa.int32()), pa.array(np.concatenate(few)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes), *lists, sizes, small], ["id", "key", "node", "fp", "weak", "counts", "n", "small"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes), *lists, sizes], ["id", "key", "node", "fp", "counts", "n"])
             give_back()
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, key long, node long, fp array<long>, weak array<short>, counts array<short>, n int, small array<long>")
+    return rows.mapInArrow(run, f"id {kind}, key long, node long, fp array<long>, counts array<short>, n int")
 
 
 def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
@@ -303,38 +294,29 @@ def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, "node long, shingles array<long>")
 
 
-def _ball_places(fp: Column, weak: Column) -> Column:
-    """The places that a wide fingerprint asks for and holds: in each segment, those of the values of its ball."""
-
-    def of_segment(k: Column) -> Column:
-        high, low = (F.shiftrightunsigned(F.get(fp, F.shiftright(k, 1)), at) for at in (32, 0))
-        value = F.when(k % 2 == 1, high).otherwise(low).bitwiseAND(F.lit((1 << 32) - 1))
-        own = value.bitwiseOR(F.shiftleft(k.cast("long"), 32))
-
-        def around(bits: Column) -> Column:
-            def flipped(subset: tuple[int, ...]) -> Column:
-                out = F.get(bits, 0)
-                for rank in subset:
-                    out = out.bitwiseXOR(F.get(bits, rank + 1))
-                return out
+def nodes_with_mates(texts: DataFrame, size: int, least: float) -> DataFrame:
+    """node of the sets of texts(text) that can be like another one: enough of their shingles come in other texts.
 
-            return F.array(*[flipped(s) for s in likely_differences()])
+    What moves is a shingle and its count for each distinct one of a task, and a row a set. A filter that takes a shingle for a repeated one only leaves more nodes.
+    """
+    own = shingle_sets(texts, size)
+    shared, bits = bloom.repeated(own.select(F.explode("shingles").alias("digest")), "digest")
+    tested = bloom.probe(own.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("digest")), "digest", shared, bits)
+    counted = tested.groupBy("node").agg(F.count_if("maybe").alias("shared"), F.first("n").alias("n"))
+    return materialize(counted.filter(F.col("shared") >= F.ceil(F.col("n") * least - 1e-9)).select("node"), "nodes-with-mates")
 
-        # The segment's value, and a number with each weak bit alone.
-        bits = F.concat(F.array(own), F.transform(F.slice(weak, k * WEAK + 1, WEAK), lambda b: F.pow(F.lit(2.0), b).cast("long")))
-        return F.transform(F.array(bits), around)[0]
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(WIDE_SEGMENTS - 1)), of_segment))
+def _first_shingles(held: DataFrame, least: float) -> DataFrame:
+    """For the rarest shingles of each of held(node, shingles), as many as make any two sets that are similar enough share one: node, its n, place, its holders, and how many shingles are left from there on.
 
-
-def _first_shingles(nodes: DataFrame, least: float) -> DataFrame:
-    """node and place for the rarest shingles of each of nodes(node, small): as many as make any two sets that are similar enough share one."""
-    own = nodes.filter(F.size("small") > 0).select("node", F.size("small").alias("n"), F.explode("small").alias("shingle"))
+    All nodes have their places in one order, by (holders, place): two sets share no more than either has left from their first common place on.
+    """
+    own = held.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     counts = own.groupBy("shingle").agg(F.count("*").alias("holders"))
-    ordered = own.join(counts, "shingle").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "shingle"))).alias("all"))  # a small set
+    ordered = own.join(counts, "shingle").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "shingle"))).alias("all"))  # a set, which a task has held before
     first = F.slice("all", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)
-    held = ordered.select("node", F.explode(first).alias("first")).filter("first.holders > 1")
-    return held.select("node", F.xxhash64(F.lit("shingle"), "first.shingle").alias("place"))
+    rare = ordered.select("node", "n", F.posexplode(first).alias("number", "first")).filter("first.holders > 1")
+    return rare.select("node", "n", F.col("first.shingle").alias("place"), "first.holders", (F.col("n") - F.col("number")).alias("left"))
 
 
 def _own_pairs(nodes: DataFrame) -> DataFrame:
@@ -347,20 +329,17 @@ def _own_pairs(nodes: DataFrame) -> DataFrame:
     return best.select(F.explode(F.array("first", "second")).alias("head"), "node").select(*_ordered("node", "head")).distinct()
 
 
-def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
-    """Links (a, b) of nodes(node, fp, weak, counts, n, small) whose sets have a Jaccard similarity of `least` or more, with the components of all that share a place; sets_of gives a table (node, shingles) of some nodes(node)."""
+def similar_links(nodes: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of nodes(node, fp, counts, n) whose sets held(node, shingles) have a Jaccard similarity of `least` or more, with the components of all such pairs."""
 
     def near(pairs: DataFrame) -> DataFrame:
-        one, other = (nodes.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("fp", "counts", "n")]) for n in ("a", "b"))
-        distance = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
+        one, other = (nodes.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("counts", "n")]) for n in ("a", "b"))
         # Sets whose sizes differ more can't be that similar.
         sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(least) - 1e-9
         # Two sets share no more of a bucket than the one with the fewer has there.
         shared = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, d: s + d)
         may_share = (F.greatest("n_a", "n_b") > MOST_COUNTED) | (shared >= (F.col("n_a") + F.col("n_b") - shared) * F.lit(least) - 1e-9)
-        close = materialize(pairs.join(one, "a").join(other, "b").filter(sized & ((distance <= MAX_DISTANCE) | (F.least("n_a", "n_b") <= SMALL)) & may_share).select("a", "b"), "close-pairs")
-        # Only the sets of these pairs are made and move.
-        held = sets_of(materialize(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted-sets"))
+        close = materialize(pairs.join(one, "a").join(other, "b").filter(sized & may_share).select("a", "b"), "close-pairs")
         left, right = (held.select(F.col("node").alias(n), F.col("shingles").alias(f"of_{n}")) for n in ("a", "b"))
         both = F.size(F.array_intersect("of_a", "of_b"))
         # Compared as a product, with room for the rounding of `least` alone.
@@ -370,51 +349,42 @@ def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], l
     with working_tables(nodes.sparkSession) as scope:
         star = scope.keep(materialize(near(_own_pairs(nodes)), "own-links"))
     roots = components(star)
-    rooted = nodes.join(roots, "node", "left").select("node", "fp", "weak", "n", "small", F.coalesce("root", "node").alias("root"))
-    # A task's values are counted in memory.
-    tasks = nodes.count() * WIDE_SEGMENTS * BALL // VALUES_OF_TASK + 1
-    balls = rooted.filter(F.col("n") > SMALL)  # smaller sets meet by their shingles alone
-    asked = balls.repartition(tasks, "node").select("node", "root", F.posexplode(_ball_places(F.col("fp"), F.col("weak"))).alias("number", "place"))
-    shared, bits = bloom.repeated(asked.select(F.xxhash64("place").alias("digest")), "digest")
-    found = bloom.probe(asked.withColumn("digest", F.xxhash64("place")), "digest", shared, bits).filter("maybe")
-    found = found.select("node", "root", F.col("digest").alias("place"), (F.col("number") % BALL == 0).alias("own_value"))
-    first = _first_shingles(rooted, least).join(rooted.select("node", "root"), "node").select("node", "root", "place", F.lit(True).alias("own_value"))
-    found = materialize(found.unionByName(first), "asked-places")
+    rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    found = materialize(_first_shingles(held, least).join(rooted, "node").select("node", "root", "place", "holders", "n", "left"), "asked-places")
     # Places within one component have nothing left to find, and of those with the same members one is enough.
     same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"set_{k}") for k in range(2)]
-    places = found.groupBy("place").agg(F.count("*").alias("n"), *same, F.count_if("own_value").alias("owners"), F.min("root").alias("low"), F.max("root").alias("high"))
-    some = places.filter("low <> high").groupBy("n", "set_0", "set_1").agg(F.max_by("place", F.struct("owners", "place")).alias("place")).select("place")
-    members = found.join(some, "place").select("place", "node", F.lit(True).alias("holds"), "own_value")
-    return _linked(members, near, star, roots)
+    places = found.groupBy("place").agg(F.count("*").alias("n"), *same, F.min("root").alias("low"), F.max("root").alias("high"), F.first("holders").alias("holders"))
+    some = places.filter("low <> high").groupBy("n", "set_0", "set_1").agg(F.min_by("place", F.struct("holders", "place")).alias("place")).select("place")
+    members = found.join(some, "place").select("place", "node", F.lit(True).alias("holds"), F.lit(True).alias("own_value"), "n", "left")
+    # What two sets must share, and may from this place on; it is so at the first place they share, if they are similar.
+    may_link = F.least("left", "x_left") * F.lit(1 + least) >= (F.col("n") + F.col("x_n")) * F.lit(least) - 1e-6
+    return _linked(members, near, star, roots, may_link, ("n", "left"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = NEAR_WORDS, least: float = SIMILARITY) -> DataFrame:
     """id, key (a hash of the text), fp (a hash of the set of shingles) and component_id of every row; sets of `size`-word shingles link at a Jaccard similarity of `least`."""
     texts = _texts(docs, id_col, text_col)
     with small_batches(docs.sparkSession):
-        found = materialize(sets(texts, size, int(SMALL / least + 1e-9)), "fingerprints-of-sets")
-    # A set is made again from one of its texts where it is compared: all sets would take twice the room of the texts.
-    firsts = materialize(found.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("rows"), F.min("key").alias("key")), "distinct-sets")
+        found = materialize(sets(texts, size), "fingerprints-of-sets")
+        mates = nodes_with_mates(texts, size, least)
+    firsts = materialize(found.groupBy("node").agg(F.min("id").alias("first_id"), F.min("key").alias("key")), "distinct-sets")
 
-    def filter_of(digests: DataFrame) -> tuple[DataFrame, int]:
+    def passing(rows: DataFrame, digests: DataFrame) -> DataFrame:
         bits = bloom.array_bits(digests.count())
-        return bloom.build(digests, "digest", bits), bits
-
-    # A set that comes once is taken as it stands; only rows of repeated ones, and a few by chance, are grouped.
-    repeated = filter_of(firsts.filter("rows > 1").select(F.xxhash64("node").alias("digest")))
-    rows = bloom.probe(found.withColumn("digest", F.xxhash64("node")), "digest", *repeated).select("maybe", "node", "fp", "weak", "counts", "n", "small")
-    again = rows.filter("maybe").groupBy("node").agg(*[F.first(n).alias(n) for n in ("fp", "weak", "counts", "n", "small")])
-    nodes = materialize(rows.filter(~F.col("maybe")).drop("maybe").unionByName(again), "nodes")
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        keys = materialize(wanted.join(firsts, "node").select(F.col("key").alias("digest")), "wanted-texts")
-        held = bloom.probe(texts.select("text", F.col("key").alias("digest")), "digest", *filter_of(keys)).filter("maybe").drop("maybe")
-        # Tasks drop their own copies first, so a text moves once from a task at most; then those that passed by chance go.
-        once = held.dropDuplicates(["digest"]).join(keys, "digest", "left_semi")
-        with small_batches(docs.sparkSession):
-            return materialize(shingle_sets(once, size), "wanted-shingles")
-
-    members = _roots(firsts.select("node", "first_id"), similar_links(nodes, sets_of, least))
+        return bloom.probe(rows, "digest", bloom.build(digests, "digest", bits), bits).filter("maybe").drop("maybe")
+
+    # Rows that pass the filter, copies of a set being one by then, are few beside the others; those that passed by chance go last.
+    some = passing(found.withColumn("digest", F.xxhash64("node")), mates.select(F.xxhash64("node").alias("digest")))
+    once = some.groupBy("node").agg(*[F.first(n).alias(n) for n in ("fp", "counts", "n")])
+    nodes = materialize(once.join(mates, "node", "left_semi"), "nodes")
+    # A set is made again from one of its texts: all sets would take twice the room of the texts.
+    keys = materialize(mates.join(firsts, "node").select(F.col("key").alias("digest")), "wanted-texts")
+    # Tasks drop their own copies first, so a text moves once from a task at most.
+    wanted = passing(texts.select("text", F.col("key").alias("digest")), keys).dropDuplicates(["digest"]).join(keys, "digest", "left_semi")
+    with small_batches(docs.sparkSession):
+        held = materialize(shingle_sets(wanted, size), "wanted-shingles")
+
+    members = _roots(firsts.select("node", "first_id"), similar_links(nodes, held, least))
     return found.select("id", "key", "node").join(members, "node").select("id", "key", F.col("node").alias("fp"), "component_id")
 
 

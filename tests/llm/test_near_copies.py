@@ -99,3 +99,28 @@ def test_near_copies_leave_only_what_goes(spark, documents, monkeypatch, tmp_pat
     assert simhash.keep_one(documents).count() > 0
     left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir() if not p.name.startswith(".")}
     assert left <= {"near-copies", "repeated-ids", "bloom", "spared"}
+
+
+def test_texts_like_none_are_not_paired_with_a_large_group(spark, monkeypatch):
+    """Texts that share two thirds with all of a group make no pairs with its members, and no link is lost."""
+    rng, texts = np.random.default_rng(13), {}
+    words = [f"w{v}" for v in range(60)]
+    for _ in range(60):
+        texts[len(texts)] = " ".join(edited(rng, words, 1))
+    for _ in range(60):  # an edit that two texts have, and one of their own
+        both = edited(rng, words, 1)
+        for _ in range(2):
+            texts[len(texts)] = " ".join(edited(rng, both, 2))
+    seen = {}
+    plain = simhash.materialize
+
+    def noted(df, label):
+        out = plain(df, label)
+        seen[label] = seen.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", noted)
+    docs = spark.createDataFrame([(d, t) for d, t in texts.items()], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == kept_by_brute_force(texts)
+    assert seen["other-pairs"] < len(texts) * 10
+    assert seen["asked-places"] < len(texts) * 15
