@@ -1,7 +1,7 @@
 """GeoJSON files read by many tasks.
 
 A byte of JSON can only be understood with what stands before it: whether it lies in a string, and how deep. So every range of a file is first summed up as a function of how it begins: for either beginning (in a string or not) how it ends and by how much the
-depth changes. The summaries, a few numbers a range, are composed in order; then each range knows its beginning, and gives the features that begin in it, reading on past its end for the last one.
+depth changes. The summaries, a few numbers a range, are added up in the order of a file's ranges; then each range knows its beginning, and gives the features that begin in it, reading on past its end for the last one.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from furrow.sources.ranges import byte_ranges, file_of
 
@@ -75,15 +76,16 @@ def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["path", "length", "start", "until", "plain_depth", "string_depth", "plain_end", "string_end", "first"])
 
 
-def _composed(found: pd.DataFrame) -> pd.DataFrame:
+def _composed(found: DataFrame) -> DataFrame:
     """The beginning of each range: in_string and depth; and the depth of features: inside the root's arrays, or the root itself where it is one."""
-    rows = []
-    for _, ranges in found.sort_values("start").groupby("path", sort=False):
-        in_string, depth, level = False, 0, 1 if ranges["first"].iloc[0] == "[" else 2
-        for r in ranges.itertuples():
-            rows.append((r.path, r.length, r.start, r.until, in_string, depth, level))
-            in_string, depth = (r.string_end, depth + r.string_depth) if in_string else (r.plain_end, depth + r.plain_depth)
-    return pd.DataFrame(rows, columns=["path", "length", "start", "until", "in_string", "depth", "level"])
+    # A file's ranges, of some hundred bytes each, are put in order; its bytes aren't.
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    # An odd number of quotes before it puts a range in a string.
+    begun = found.withColumn("in_string", F.coalesce(F.sum(F.col("plain_end").cast("int")).over(before), F.lit(0)) % 2 == 1)
+    own = F.when(F.col("in_string"), F.col("string_depth")).otherwise(F.col("plain_depth"))
+    begun = begun.withColumn("depth", F.coalesce(F.sum(own).over(before), F.lit(0)))
+    root = F.max("first").over(Window.partitionBy("path"))  # other ranges than the first have none
+    return begun.select("path", "length", "start", "until", "in_string", "depth", F.when(root == "[", 1).otherwise(2).cast("long").alias("level"))
 
 
 def _features(r: object) -> Iterator[bytes]:
@@ -159,11 +161,8 @@ def _given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def feature_texts(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The JSON of every object in the arrays of the files' roots, of every object of a root that is an array, and of roots that are features themselves.
 
-    A range's summary has some hundred bytes and goes through the driver, as the plan of the ranges does. A task holds a range and the end of its last feature.
+    A task holds a range, one after another, and the end of its last feature.
     """
-    summaries = byte_ranges(spark, path, range_bytes).mapInPandas(_summed, "path string, length long, start long, until long, plain_depth long, string_depth long, plain_end boolean, string_end boolean, first string").toPandas()
-    begun = _composed(summaries)
-    if not len(begun):
-        return spark.createDataFrame([], "feature string")
-    ranges = spark.createDataFrame(begun, "path string, length long, start long, until long, in_string boolean, depth long, level long")
-    return ranges.repartition(len(begun), "path", "start").mapInArrow(_given, "feature string")
+    ranges, tasks = byte_ranges(spark, path, range_bytes)
+    summaries = ranges.mapInPandas(_summed, "path string, length long, start long, until long, plain_depth long, string_depth long, plain_end boolean, string_end boolean, first string")
+    return _composed(summaries).repartition(tasks, "path", "start").mapInArrow(_given, "feature string")

@@ -55,3 +55,12 @@ def test_a_large_file_is_read_by_many_tasks(spark, tmp_path):
     found = files.read_geojson(spark, str(path), 2 << 20)
     assert found.count() == 20_000 and found.rdd.getNumPartitions() == -(-path.stat().st_size // (2 << 20)) > 9
     assert found.select("props.t").distinct().count() == 1
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    for k in range(30):
+        (tmp_path / f"{k}.json").write_text(json.dumps(collection(20, k)))
+    found = geojson.feature_texts(spark, str(tmp_path), 256)
+    ranges = sum(-(-p.stat().st_size // 256) for p in tmp_path.iterdir())
+    assert ranges > 300 and found.rdd.getNumPartitions() == 64
+    assert found.count() == 600
