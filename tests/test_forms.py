@@ -12,6 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from conftest import DATA
+
 from furrow import session
 from furrow.functions import geo, js, text
 from furrow.operators import catalog, forms, layers, lists, quantiles, raster, relate, schema
@@ -254,3 +256,11 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
         session.shared_folder(Session(**{"spark.master": "spark://host:7077"}))
     assert session.shared_folder(Session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:///work/"})) == "hdfs:///work"
     assert session.shared_folder(Session(**{"spark.master": "local[2]"})).startswith("file:///")
+
+
+def test_equal_forms_are_checked_once(spark):
+    from furrow.plans import registry
+
+    plan = registry.QUERIES["ec_submit"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    counts = [line for line in plan.splitlines() if "Aggregate" in line]
+    assert len(counts) == 2 and "Aggregate [l_linenumber" in counts[1] and "l_quantity" in counts[1].split("]")[0]
