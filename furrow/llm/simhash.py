@@ -162,9 +162,11 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def _linked(members: DataFrame, near: Callable[[DataFrame], DataFrame], star: DataFrame | None = None, roots: DataFrame | None = None, may_link: Column | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+def _linked(members: DataFrame, near: Callable[[DataFrame], DataFrame], star: DataFrame | None = None, roots: DataFrame | None = None, may_link: Column | None = None, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Links with the components of all pairs (a, b) that near() keeps, among members(place, node, holds, own_value) of one place of which one at least holds it; star are links found before, roots their components.
 
+    Beside them edges with the same components, of which the most are from a node to its root already.
+
     may_link leaves out pairs of a place that can't link, or share an earlier place; it says so from members' columns `more`, and the other one's with x_ before their names.
     """
     members = materialize(members, "members-of-places")
@@ -172,7 +174,8 @@ def _linked(members: DataFrame, near: Callable[[DataFrame], DataFrame], star: Da
     # A node whose own values many others come upon lies in the middle of a group: the likeliest to be near the others.
     centrality = members.filter("own_value").join(crowds, "place").groupBy("node").agg(F.sum("crowd").alias("central"))
     # A node that nobody comes upon at its own values still is a head where it is the only one.
-    ranked = members.filter("holds").join(centrality, "node", "left").select("place", "node", F.coalesce("central", F.lit(0)).alias("central"))
+    # Each step is a table: one plan of them all, with its exchanges begun together, would take the driver's memory.
+    ranked = materialize(members.filter("holds").join(centrality, "node", "left").select("place", "node", F.coalesce("central", F.lit(0)).alias("central")), "ranked-members")
     known = members.withColumns({"own": F.col("node"), "main": F.lit(None).cast("long"), "head": F.lit(None).cast("long")})
     for turn in range(ROUNDS):
         # After the middle ones, heads that differ from place to place.
@@ -184,9 +187,11 @@ def _linked(members: DataFrame, near: Callable[[DataFrame], DataFrame], star: Da
         best = met.groupBy("node").agg(F.max(F.struct("n", "head"))["head"].alias("first"), F.min(F.struct((-F.col("n")).alias("n"), "head"))["head"].alias("second"), F.max_by("head", F.xxhash64("head")).alias("third"))
         pairs = best.select(F.explode(F.array("first", "second", "third")).alias("head"), "node").select(*_ordered("node", "head")).distinct()
         with working_tables(members.sparkSession) as scope:
+            pairs = materialize(pairs, "pairs-with-heads")
             found = scope.keep(materialize(near(pairs if roots is None else _apart(pairs, roots)), "first-links"))
         star = found if star is None else star.unionByName(found)
-        roots = components(star)
+        # What was linked before is there as its roots.
+        roots = components(found if roots is None else _as_edges(roots).unionByName(found))
         of_node = roots.select("node", F.col("root").alias("own"))
         of_head = roots.select(F.col("node").alias("head"), F.col("root").alias("main"))
         labelled = members.join(ranked.groupBy("place").agg(F.max_by("node", F.struct("central", -F.col("node"))).alias("head")), "place")
@@ -194,7 +199,12 @@ def _linked(members: DataFrame, near: Callable[[DataFrame], DataFrame], star: Da
         known = materialize(labelled.select("place", "node", "holds", *more, "head", F.coalesce("own", "node").alias("own"), F.coalesce("main", "head").alias("main")), "rooted-members")
     apart = known.filter("own <> main").select("place", F.col("node").alias("x"), F.col("holds").alias("x_holds"), F.col("own").alias("x_own"), *[F.col(c).alias(f"x_{c}") for c in more])
     rest = known.join(apart, "place").filter((F.col("own") != F.col("x_own")) & (F.col("holds") | F.col("x_holds")) & (F.lit(True) if may_link is None else may_link))
-    return star.unionByName(near(materialize(rest.select(*_ordered("node", "x")).distinct(), "other-pairs")))
+    last = near(materialize(rest.select(*_ordered("node", "x")).distinct(), "other-pairs"))
+    return star.unionByName(last), _as_edges(roots).unionByName(last)
+
+
+def _as_edges(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
 
 
 def links(nodes: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
@@ -205,20 +215,27 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS)
     found = materialize(bloom.probe(asked, "place", held, bits).filter("maybe").select("node", "place", "holds", F.col("holds").alias("own_value")), "asked-places")
     # Places with one member, its own holder, have no pairs.
     some = found.groupBy("place").agg(F.count("*").alias("n"), F.max("holds").alias("held")).filter("n > 1 AND held").select("place")
-    return _linked(found.join(some, "place"), lambda pairs: pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
+    return _linked(found.join(some, "place"), lambda pairs: pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))[0]
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(a, b): root is the smallest node of its component."""
     with working_tables(edges.sparkSession) as scope:
-        current, done = materialize(edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct(), "links"), False
-        while not done:
-            current, done = _star_round(current)
+        links = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).filter("node <> root")
+        current = materialize(links.distinct(), "links")
+        while not _are_stars(current):
+            current = _star_round(current)
         return scope.keep(current)
 
 
-def _star_round(current: DataFrame) -> tuple[DataFrame, bool]:
-    """(node, root) after a round of the large and the small star, and whether nothing changed."""
+def _are_stars(current: DataFrame) -> bool:
+    """Whether each node of current(node, root) has one root, which is no node itself: then no round changes anything."""
+    ends = current.select("node", F.lit(1).alias("roots"), F.lit(0).alias("nodes")).unionByName(current.select(F.col("root").alias("node"), F.lit(0).alias("roots"), F.lit(1).alias("nodes")))
+    return ends.groupBy("node").agg(F.sum("roots").alias("roots"), F.max("nodes").alias("nodes")).filter("roots > 1 OR roots = 1 AND nodes = 1").isEmpty()
+
+
+def _star_round(current: DataFrame) -> DataFrame:
+    """(node, root) after a round of the large and the small star."""
     with working_tables(current.sparkSession) as scope:
         # Each node's larger neighbours, and itself, go to its smallest neighbour.
         both = current.unionByName(current.select(F.col("root").alias("node"), F.col("node").alias("root")))
@@ -228,9 +245,7 @@ def _star_round(current: DataFrame) -> tuple[DataFrame, bool]:
         # Each node and its smaller neighbours go to the smallest of them.
         least = large.groupBy("node").agg(F.min("root").alias("low"))
         smaller = large.join(least, "node").select(F.col("root").alias("node"), F.col("low").alias("root"))
-        after = scope.keep(materialize(smaller.unionByName(least.select("node", F.col("low").alias("root"))).filter("node <> root").distinct(), "small-star"))
-        new = after.join(current, ["node", "root"], "left_anti")
-        return after, after.count() == current.count() and new.isEmpty()
+        return scope.keep(materialize(smaller.unionByName(least.select("node", F.col("low").alias("root"))).filter("node <> root").distinct(), "small-star"))
 
 
 def _roots(firsts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -329,8 +344,8 @@ def _own_pairs(nodes: DataFrame) -> DataFrame:
     return best.select(F.explode(F.array("first", "second")).alias("head"), "node").select(*_ordered("node", "head")).distinct()
 
 
-def similar_links(nodes: DataFrame, held: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) of nodes(node, fp, counts, n) whose sets held(node, shingles) have a Jaccard similarity of `least` or more, with the components of all such pairs."""
+def similar_edges(nodes: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) with the components of all pairs of nodes(node, fp, counts, n) whose sets held(node, shingles) have a Jaccard similarity of `least` or more."""
 
     def near(pairs: DataFrame) -> DataFrame:
         one, other = (nodes.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("counts", "n")]) for n in ("a", "b"))
@@ -347,7 +362,7 @@ def similar_links(nodes: DataFrame, held: DataFrame, least: float) -> DataFrame:
         return close.join(left, "a").join(right, "b").filter(enough).select("a", "b")
 
     with working_tables(nodes.sparkSession) as scope:
-        star = scope.keep(materialize(near(_own_pairs(nodes)), "own-links"))
+        star = scope.keep(materialize(near(materialize(_own_pairs(nodes), "own-pairs")), "own-links"))
     roots = components(star)
     rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     found = materialize(_first_shingles(held, least).join(rooted, "node").select("node", "root", "place", "holders", "n", "left"), "asked-places")
@@ -358,7 +373,7 @@ def similar_links(nodes: DataFrame, held: DataFrame, least: float) -> DataFrame:
     members = found.join(some, "place").select("place", "node", F.lit(True).alias("holds"), F.lit(True).alias("own_value"), "n", "left")
     # What two sets must share, and may from this place on; it is so at the first place they share, if they are similar.
     may_link = F.least("left", "x_left") * F.lit(1 + least) >= (F.col("n") + F.col("x_n")) * F.lit(least) - 1e-6
-    return _linked(members, near, star, roots, may_link, ("n", "left"))
+    return _linked(members, near, star, roots, may_link, ("n", "left"))[1]
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = NEAR_WORDS, least: float = SIMILARITY) -> DataFrame:
@@ -384,7 +399,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with small_batches(docs.sparkSession):
         held = materialize(shingle_sets(wanted, size), "wanted-shingles")
 
-    members = _roots(firsts.select("node", "first_id"), similar_links(nodes, held, least))
+    members = _roots(firsts.select("node", "first_id"), similar_edges(nodes, held, least))
     return found.select("id", "key", "node").join(members, "node").select("id", "key", F.col("node").alias("fp"), "component_id")
 
 

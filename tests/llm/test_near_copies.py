@@ -124,3 +124,23 @@ def test_texts_like_none_are_not_paired_with_a_large_group(spark, monkeypatch):
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == kept_by_brute_force(texts)
     assert seen["other-pairs"] < len(texts) * 10
     assert seen["asked-places"] < len(texts) * 15
+
+
+def test_driver_plans_stay_small(spark, documents, monkeypatch):
+    """No plan of near_copies has many joins, and components that are stars already take no round."""
+    joins, labels = {}, []
+    plain = simhash.materialize
+
+    def noted(df, label):
+        labels.append(label)
+        joins[label] = max(joins.get(label, 0), df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return plain(df, label)
+
+    monkeypatch.setattr(simhash, "materialize", noted)
+    simhash.near_copies(documents).count()
+    assert max(joins.values()) <= 7, joins
+    assert labels.count("large-star") <= 8, labels
+    labels.clear()
+    stars = spark.createDataFrame([(1, 2), (3, 1), (4, 9), (5, 5), (2, 1)], "a long, b long")
+    assert {(r.node, r.root) for r in simhash.components(stars).collect()} == {(2, 1), (3, 1), (9, 4)}
+    assert labels == ["links"]
