@@ -203,7 +203,7 @@ def checked_chunks(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(c.as_py(), n.as_py(), i.as_py()) for c, n, i in zip(*batch.columns, strict=True)]
+            rows = list(zip(*[column.to_pylist() for column in batch.columns], strict=True))
             crcs = [zlib.crc32(np.frombuffer(i, kind).astype("<u4").tobytes()) for _, _, i in rows]
             ok = [hashlib.sha256(i).digest() == c and len(i) == n * kind.itemsize for c, n, i in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crcs, pa.int64()), pa.array(ok, pa.bool_())], ["chunk", "n", "crc32", "ok"])

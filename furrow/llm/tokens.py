@@ -3,7 +3,7 @@
 The tokenizers used here split a text before any merge, and always between a character that isn't white space and
 ASCII white space. A text's ids are therefore those of its words (with the white space before them, if it counts), one
 after the other, and a word seen before need not be encoded again. Arrow cuts a block of texts at single spaces and
-numbers its distinct words; only these are looked up, and those that are new are encoded in one call. Texts with
+numbers its distinct words; only these are looked up, all at once in an Arrow array of the words known, and those that are new are encoded in one call. Texts with
 other white space beside a space are cut by a pattern, or encoded whole where no cut is safe, as in texts with an added token's string.
 """
 
@@ -15,7 +15,8 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import compress, pairwise
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +30,47 @@ _UNIT = re.compile(rb"\s*\S+|\s+")
 _UNSAFE = re.compile(rb"(?:[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf)\s")
 
 #: A word that may be encoded with others in one text: a space before it and no white space, or what counts as such, in it.
-_PLAIN = re.compile(r" [^\s\u180e\u200b-\u200f\u2060\ufeff]+\Z")
+_PLAIN = r"^ [^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]+$"
 #: How many of them at a time.
 JOINED = 64
 
-#: Words in each of the two generations of a Python worker's memory, and the longest of them; about 170 bytes a word.
-MAX_WORDS = 100_000
+#: Words in a Python worker's memory, those of the latest blocks, and the bytes of the longest of them; about 50 bytes a word.
+MAX_WORDS = 400_000
 MAX_WORD_BYTES = 64
 #: Texts that come together are cut into blocks of about so many bytes.
 BLOCK_BYTES = 6 << 20
 
 
+class Spans(NamedTuple):
+    """Ids of words: those of word i are ids[begins[i] : begins[i] + sizes[i]]."""
+
+    ids: np.ndarray
+    begins: np.ndarray
+    sizes: np.ndarray
+
+    def of(self, places: np.ndarray) -> np.ndarray:
+        """The ids of the words at the places, one after the other."""
+        each = self.sizes[places]
+        until = np.cumsum(each)
+        total = int(until[-1]) if len(until) else 0
+        kind = np.int32 if total + len(self.ids) < 1 << 31 else np.int64
+        index = np.repeat((self.begins[places] - (until - each)).astype(kind), each)
+        index += np.arange(total, dtype=kind)
+        return self.ids[index]
+
+    def only(self, places: np.ndarray) -> Spans:
+        sizes = self.sizes[places]
+        return Spans(self.of(places), np.cumsum(sizes) - sizes, sizes)
+
+    def then(self, other: Spans) -> Spans:
+        return Spans(np.concatenate([self.ids, other.ids]), np.concatenate([self.begins, other.begins + len(self.ids)]), np.concatenate([self.sizes, other.sizes]))
+
+
+def spans(lists: list[list[int]]) -> Spans:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return Spans(np.fromiter(chain.from_iterable(lists), "<u4", int(sizes.sum())), np.cumsum(sizes) - sizes, sizes)
+
+
 class Encoder:
     """Gives texts' ids as unsigned 32-bit integers; added tokens' strings are plain text, or get their own ids with `special`."""
 
@@ -50,7 +81,7 @@ class Encoder:
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = not special
         added = [re.escape(t.content) for t in self.plain.get_added_tokens_decoder().values()] if special else []
-        #: Texts with what this finds, in any case as words are made small, are encoded whole.
+        #: Texts with what this finds, in any case if words are made small, are encoded whole.
         self.added = "|".join(sorted(added, key=len, reverse=True))
         self.has_added = re.compile(self.added, re.IGNORECASE).search
         self.vocab_size = self.plain.get_vocab_size()
@@ -59,66 +90,68 @@ class Encoder:
         # A byte-level vocabulary writes a space as this sign: a piece that begins with it begins a word.
         self.opens = np.array([(self.plain.id_to_token(i) or "").startswith("\u0120") for i in range(self.vocab_size)])
         self.joins = not self.drops_space and self._whole(" ab cd") == self._whole(" ab") + self._whole(" cd")
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.words, self.known = pa.array([], pa.string()), spans([])
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.plain.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _alone(self, units: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.plain.encode_batch_fast(units, add_special_tokens=False)]
+    def _lists(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_words(self, units: list[str]) -> list[bytes]:
+    def encode_words(self, units: pa.Array) -> Spans:
         """The ids of each word; many words in one text where the ids themselves say which begins where."""
         if not self.joins:
-            return self._alone(units)
-        fit = [_PLAIN.match(u) is not None for u in units]
-        plain = list(compress(units, fit))
-        groups = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
-        made: list[bytes] = []
-        for group, e in zip(groups, self.plain.encode_batch_fast(list(map("".join, groups)), add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            begins = (4 * np.flatnonzero(self.opens[ids])).tolist()
-            if len(begins) == len(group) and begins[0] == 0:
-                raw = ids.tobytes()
-                made += [raw[a:b] for a, b in pairwise([*begins, len(raw)])]
-            else:
-                made += self._alone(group)
-        if len(plain) == len(units):
-            return made
-        joined, others = iter(made), iter(self._alone([u for u, ok in zip(units, fit, strict=True) if not ok]))
-        return [next(joined) if ok else next(others) for ok in fit]
-
-    def _learn(self, new: list[str]) -> list[bytes]:
-        """The ids of words that aren't in `words`; they are put there, and a full generation becomes the older one."""
-        found = list(map(self.older.get, new))
-        unknown = [u for u, ids in zip(new, found, strict=True) if ids is None]
-        learned = iter(self.encode_words(unknown))
-        found = [next(learned) if ids is None else ids for ids in found]
-        if len(self.words) + len(new) > MAX_WORDS:
-            self.older, self.words = self.words, {}
-        self.words.update(zip(new, found, strict=True))
-        for long in [u for u in new if len(u) > MAX_WORD_BYTES]:
-            del self.words[long]
-        return found
-
-    def _ids_of(self, units: list[str]) -> list[bytes]:
-        """The ids of distinct words."""
-        known = list(map(self.words.get, units))
-        new = [u for u, ids in zip(units, known, strict=True) if ids is None]
-        learned = iter(self._learn(new))
-        return [next(learned) if ids is None else ids for ids in known]
-
-    def _irregular(self, text: str) -> bytes:
+            return spans(self._lists(_strings(units)))
+        fit = pc.match_substring_regex(units, _PLAIN).to_numpy(zero_copy_only=False)
+        plain, others = _strings(units.filter(pa.array(fit))), _strings(units.filter(pa.array(~fit)))
+        groups = range(0, len(plain), JOINED)
+        made = spans(self._lists(["".join(plain[k : k + JOINED]) for k in groups]))
+        # A group's words are told apart if as many pieces as it has words begin one, the first of them at its begin.
+        marks = self.opens[made.ids]
+        before = np.concatenate([[0], np.cumsum(marks)])
+        due = np.minimum(JOINED, len(plain) - np.arange(0, len(plain), JOINED))
+        clear = (before[made.begins + made.sizes] - before[made.begins] == due) & marks[made.begins]
+        if not clear.all():
+            parts = [made.only(np.flatnonzero(clear))]
+            for g in np.flatnonzero(~clear).tolist():
+                others += plain[JOINED * g : JOINED * (g + 1)]
+            made, marks = parts[0], self.opens[parts[0].ids]
+        begins = np.flatnonzero(marks)
+        apart = Spans(made.ids, begins, np.diff(begins, append=len(made.ids)))
+        # Words of clear groups stand first, then those that don't fit, then those of other groups.
+        joined, single = np.flatnonzero(fit), np.flatnonzero(~fit)
+        told = np.repeat(clear, due)
+        order = np.concatenate([joined[told], single, joined[~told]])
+        out = apart.then(spans(self._lists(others)))
+        places = np.empty(len(order), np.int64)
+        places[order] = np.arange(len(order))
+        return Spans(out.ids, out.begins[places], out.sizes[places])
+
+    def _ids_of(self, units: pa.Array) -> Spans:
+        """The ids of distinct words; those of the latest blocks are kept in mind."""
+        at = pc.index_in(units, value_set=self.words)
+        missing = at.is_null()
+        new = units.filter(missing)
+        both = self.known.then(self.encode_words(new))
+        fresh = missing.to_numpy(zero_copy_only=False)
+        places = at.fill_null(0).to_numpy().astype(np.int64)
+        places[fresh] = len(self.words) + np.arange(len(new))
+        unused = np.ones(len(self.words), bool)
+        unused[places[~fresh]] = False
+        short = np.flatnonzero(pc.binary_length(units).to_numpy() <= MAX_WORD_BYTES)[:MAX_WORDS]
+        rest = np.flatnonzero(unused)[: MAX_WORDS - len(short)]
+        self.words, self.known = pa.concat_arrays([units.take(pa.array(short)), self.words.take(pa.array(rest))]), both.only(np.concatenate([places[short], rest]))
+        return Spans(both.ids, both.begins[places], both.sizes[places])
+
+    def _cut(self, text: str) -> list[str] | None:
+        """The words of a text that isn't cut at its spaces; nothing if no place in it is safe."""
         raw = text.encode()
         if _UNSAFE.search(raw) or self.added and self.has_added(text):
-            return self._whole(text)
-        units = [u.decode() for u in _UNIT.findall(raw)]
-        distinct = list(dict.fromkeys(units))
-        return b"".join(map(dict(zip(distinct, self._ids_of(distinct), strict=True)).__getitem__, units))
+            return None
+        return [u.decode() for u in _UNIT.findall(raw)]
 
     def _block(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
-        odd = pc.match_substring_regex(texts, self.added, ignore_case=True).to_numpy(zero_copy_only=False) if self.added else np.zeros(len(texts), bool)
+        odd = pc.match_substring_regex(texts, self.added, ignore_case=self.drops_case).to_numpy(zero_copy_only=False) if self.added else np.zeros(len(texts), bool)
         if self.drops_space:
             regular = pc.if_else(odd, "", texts) if odd.any() else texts
             cut = pc.ascii_split_whitespace(pc.ascii_lower(regular) if self.drops_case else regular)
@@ -126,34 +159,31 @@ class Encoder:
             odd = odd | pc.match_substring_regex(texts, _IRREGULAR).to_numpy(zero_copy_only=False)
             cut = pc.split_pattern(pc.if_else(odd, "", texts) if odd.any() else texts, " ")
         flat = pc.list_flatten(cut).dictionary_encode()
-        units = _strings(flat.dictionary)
-        places = flat.indices.to_numpy()
+        units = [flat.dictionary.cast(pa.string())]
+        places = flat.indices.to_numpy().astype(np.int64)
         offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())]).astype(np.int64)
         if not self.drops_space:  # all but a text's first word have their space
             first = pc.take(pc.list_flatten(cut), pa.array(offsets[:-1])).dictionary_encode()
-            places = places.copy()
-            places[offsets[:-1]] = first.indices.to_numpy() + len(units)
-            units = [" " + u for u in units] + _strings(first.dictionary)
-        parts = self._ids_of(units)
+            places[offsets[:-1]] = first.indices.to_numpy() + len(units[0])
+            units = [pc.binary_join_element_wise(" ", units[0], ""), first.dictionary.cast(pa.string())]
         # Irregular texts stand as one more word each, and the end id as the last.
         own = np.flatnonzero(odd)
-        places = places.astype(np.int64)
-        places[offsets[own]] = len(parts) + np.arange(len(own))
-        parts += [self._irregular(texts[int(i)].as_py()) for i in own]
-        places = np.insert(places, offsets[1:], len(parts))
-        parts.append(end.to_bytes(4, "little"))
+        others = [texts[int(i)].as_py() for i in own]
+        cuts = [self._cut(t) for t in others]
+        more = pa.array(list(chain.from_iterable(c or [] for c in cuts)), pa.string()).dictionary_encode()
+        before, at, number = sum(map(len, units)), more.indices.to_numpy(), 0
+        words = self._ids_of(pa.concat_arrays([*units, more.dictionary]))
+        parts = []
+        for text, c in zip(others, cuts, strict=True):
+            parts.append(np.frombuffer(self._whole(text), "<u4") if c is None else words.of(before + at[number : number + len(c)]))
+            number += len(c or [])
+        n = len(words.sizes)
+        sizes = np.fromiter(map(len, [*parts, [end]]), np.int64, len(parts) + 1)
+        words = words.then(Spans(np.concatenate([*parts, np.array([end], "<u4")]), np.cumsum(sizes) - sizes, sizes))
+        places[offsets[own]] = n + np.arange(len(own))
+        places = np.insert(places, offsets[1:], n + len(own))
         starts = offsets[:-1] + np.arange(len(texts))
-
-        vocabulary = np.frombuffer(b"".join(parts), "<u4")
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        begins = np.cumsum(sizes) - sizes
-        each = sizes[places]
-        until = np.cumsum(each)
-        kind = np.int32 if until[-1] + len(vocabulary) < 1 << 31 else np.int64
-        index = np.repeat((begins[places] - (until - each)).astype(kind), each)
-        index += np.arange(until[-1], dtype=kind)
-        ids = vocabulary[index]
-        return ids, np.add.reduceat(each, starts)
+        return words.of(places), np.add.reduceat(words.sizes[places], starts)
 
     def blocks(self, texts: pa.Array, end: int, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(number of texts before, ids one text after the other, ids in each text) of blocks of texts; every text's ids end with `end`."""

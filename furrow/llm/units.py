@@ -74,8 +74,8 @@ class ByteLevel:
         self.bytes = [bytes(map(byte_of.__getitem__, p)) if all(c in byte_of for c in p) else p.encode() for p in pieces]
 
     def encode(self, words: list[str]) -> Tokens:
-        raw = self.encoder.encode_words(words)
-        return Tokens(np.frombuffer(b"".join(raw), "<u4").astype(np.int64), np.fromiter(map(len, raw), np.int64, len(raw)) // 4)
+        found = self.encoder.encode_words(pa.array(words, pa.string()))
+        return Tokens(found.of(np.arange(len(words))).astype(np.int64), found.sizes)
 
 
 class Pieces:
