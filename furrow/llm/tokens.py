@@ -5,11 +5,13 @@ ASCII white space. A text's ids are therefore those of its words (with the white
 after the other, and a word seen before need not be encoded again. Arrow cuts a block of texts at single spaces and
 numbers its distinct words; only these are looked up, all at once in an Arrow array of the words known, and those that are new are encoded in one call. Texts with
 other white space beside a space are cut by a pattern, or encoded whole where no cut is safe, as in texts with an added token's string.
+Where the tokenizer itself parts letters, digits and signs (byte-level vocabularies), distinct words are cut there too, and it is these pieces that are known.
 """
 
 from __future__ import annotations
 
 import ctypes
+import json
 import os
 import re
 from array import array
@@ -34,6 +36,20 @@ _PLAIN = r"^ [^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{202
 #: How many of them at a time.
 JOINED = 64
 
+#: What byte-level tokenizers part within a word, by the bytes of UTF-8: letters (U+00C0 to U+017F among them, but for two signs), digits, other signs,
+#: line feeds and spaces. Bytes of class 0 say that a word is left whole: other characters, and the apostrophe, which takes letters with it.
+LETTER, DIGIT, SIGN, FEED, SPACE = 1, 2, 3, 4, 5
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = SIGN
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]] = LETTER
+_CLASS[0x30:0x3A], _CLASS[0x27], _CLASS[0x0A], _CLASS[0x20] = DIGIT, 0, FEED, SPACE
+
+#: The byte alphabet of byte-level vocabularies: the sign of each byte in UTF-8, of one byte or two.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_ALPHABET = dict(zip([*_PRINTABLE, *sorted({*range(256)} - {*_PRINTABLE})], [*_PRINTABLE, *range(0x100, 0x200)], strict=False))
+_SIGN_BYTES = np.array([len(chr(_ALPHABET[b]).encode()) for b in range(256)])
+_SIGNS = np.array([list(chr(_ALPHABET[b]).encode().ljust(2)) for b in range(256)], np.uint8)
+
 #: Words in a Python worker's memory, those of the latest blocks, and the bytes of the longest of them; about 50 bytes a word.
 MAX_WORDS = 400_000
 MAX_WORD_BYTES = 64
@@ -71,12 +87,69 @@ def spans(lists: list[list[int]]) -> Spans:
     return Spans(np.fromiter(chain.from_iterable(lists), "<u4", int(sizes.sum())), np.cumsum(sizes) - sizes, sizes)
 
 
+class Cuts(NamedTuple):
+    """Where a byte-level tokenizer cuts words: their bytes, where each begins and ends, at which bytes it is cut, and which are known to be cut at no others."""
+
+    raw: np.ndarray
+    begins: np.ndarray
+    ends: np.ndarray
+    cut: np.ndarray
+    sure: np.ndarray
+
+
+def cuts(words: pa.Array) -> Cuts:
+    """A word is cut between characters of different classes; a space stays with what follows.
+
+    Not sure is one with a character of no class, with a space but at its begin, or with a line feed but between two others; it is left whole.
+    """
+    edges = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+    edges = edges - edges[0]
+    begins, ends = edges[:-1], edges[1:]
+    kinds = _CLASS[raw]
+    outer = np.zeros(len(raw) + 1, bool)
+    outer[edges] = True
+    cut = np.zeros(len(raw), bool)
+    np.not_equal(kinds[1:], kinds[:-1], out=cut[1:])
+    cut[1:] &= kinds[:-1] != SPACE
+    cut &= ~outer[:-1]
+    bad = kinds == 0
+    bad |= (kinds == SPACE) & ~outer[:-1]
+    blank, feeds = np.append(kinds >= FEED, True), np.flatnonzero(kinds == FEED)
+    bad[feeds] |= outer[feeds] | outer[feeds + 1] | blank[feeds - 1] | blank[feeds + 1]
+    lead = np.flatnonzero(raw == 0xC3)
+    bad[lead] |= np.isin(raw[lead + 1], (0x97, 0xB7))  # signs among the letters
+    faults = np.concatenate([[0], np.cumsum(bad)])
+    sure = faults[ends] == faults[begins]
+    if not sure.all():
+        cut &= np.repeat(sure, ends - begins)
+    return Cuts(raw, begins, ends, cut, sure)
+
+
+def _counts(found: Cuts) -> np.ndarray:
+    """The number of pieces of each word."""
+    within = np.concatenate([[0], np.cumsum(found.cut)])
+    return 1 + within[found.ends] - within[found.begins]
+
+
+def pieces(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of words, those of one word after those of another, and their number in each."""
+    found = cuts(words)
+    counts = _counts(found)
+    offsets = np.empty(int(counts.sum()) + 1, np.int32)
+    first = np.zeros(len(offsets), bool)
+    first[np.cumsum(counts) - counts] = first[-1] = True
+    offsets[first], offsets[~first] = np.append(found.begins, len(found.raw)), np.flatnonzero(found.cut)
+    return pa.StringArray.from_buffers(len(counts) and len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(found.raw)), counts
+
+
 class Encoder:
     """Gives texts' ids as unsigned 32-bit integers; added tokens' strings are plain text, or get their own ids with `special`."""
 
     def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = not special
@@ -90,6 +163,14 @@ class Encoder:
         # A byte-level vocabulary writes a space as this sign: a piece that begins with it begins a word.
         self.opens = np.array([(self.plain.id_to_token(i) or "").startswith("\u0120") for i in range(self.vocab_size)])
         self.joins = not self.drops_space and self._whole(" ab cd") == self._whole(" ab") + self._whole(" cd")
+        how = self.plain.pre_tokenizer
+        how = json.loads(how.__getstate__()) if how is not None and self.plain.normalizer is None else {}
+        self.parts_words = how.get("type") == "ByteLevel" and how["use_regex"] and not how["add_prefix_space"]
+        if self.parts_words:
+            #: The same model over texts that are cut and written in the byte alphabet already.
+            self.bare = Tokenizer(self.plain.model)
+            self.bare.pre_tokenizer = WhitespaceSplit()
+            self.n_bytes = np.array([len(self.plain.id_to_token(i) or "") for i in range(self.vocab_size)])
         self.words, self.known = pa.array([], pa.string()), spans([])
 
     def _whole(self, text: str) -> bytes:
@@ -99,6 +180,36 @@ class Encoder:
         return [e.ids for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_words(self, units: pa.Array) -> Spans:
+        """The ids of each word."""
+        if not self.parts_words:
+            return self._encode_joined(units)
+        found = cuts(units)
+        alone = found.sure & (_counts(found) == 1)
+        made, rest = self._encode_alone(units.filter(pa.array(alone))), self._encode_joined(units.filter(pa.array(~alone)))
+        both, places = made.then(rest), np.empty(len(units), np.int64)
+        places[np.concatenate([np.flatnonzero(alone), np.flatnonzero(~alone)])] = np.arange(len(units))
+        return Spans(both.ids, both.begins[places], both.sizes[places])
+
+    def _encode_alone(self, units: pa.Array) -> Spans:
+        """The ids of pieces that no tokenizer's pattern need cut; many in one text, told apart by the bytes of the ids' tokens."""
+        found = cuts(units)
+        width = _SIGN_BYTES[found.raw]
+        signs = _SIGNS[found.raw][np.arange(2) < width[:, None]]
+        until = np.concatenate([[0], np.cumsum(width)])[np.append(found.begins, len(found.raw))]
+        text = np.insert(signs, until[1:], np.uint8(0x20)).tobytes()
+        places = (until + np.arange(len(until))).tolist()
+        edges = [*range(0, len(units), JOINED), len(units)]
+        texts = [text[places[a] : places[b]].decode() for a, b in zip(edges, edges[1:], strict=False)]
+        lists = [e.ids for e in self.bare.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(lists), "<u4", sum(map(len, lists)))
+        reached = np.concatenate([[0], np.cumsum(self.n_bytes[ids])])
+        until = np.searchsorted(reached, found.ends, "right") - 1
+        if reached[-1] != len(found.raw) or (reached[until] != found.ends).any():  # a vocabulary without some byte
+            return spans(self._lists(_strings(units)))
+        sizes = np.diff(until, prepend=0)
+        return Spans(ids, until - sizes, sizes)
+
+    def _encode_joined(self, units: pa.Array) -> Spans:
         """The ids of each word; many words in one text where the ids themselves say which begins where."""
         if not self.joins:
             return spans(self._lists(_strings(units)))
@@ -127,8 +238,18 @@ class Encoder:
         places[order] = np.arange(len(order))
         return Spans(out.ids, out.begins[places], out.sizes[places])
 
-    def _ids_of(self, units: pa.Array) -> Spans:
-        """The ids of distinct words; those of the latest blocks are kept in mind."""
+    def _ids_of(self, words: pa.Array) -> Spans:
+        """The ids of distinct words."""
+        if not self.parts_words or not len(words):
+            return self._ids_of_units(words)
+        parts, counts = pieces(words)
+        numbered = parts.dictionary_encode()
+        found, places = self._ids_of_units(numbered.dictionary), numbered.indices.to_numpy()
+        sizes = np.add.reduceat(found.sizes[places], np.cumsum(counts) - counts)
+        return Spans(found.of(places), np.cumsum(sizes) - sizes, sizes)
+
+    def _ids_of_units(self, units: pa.Array) -> Spans:
+        """The ids of distinct words or pieces; those of the latest blocks are kept in mind."""
         at = pc.index_in(units, value_set=self.words)
         missing = at.is_null()
         new = units.filter(missing)
